@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from itertools import chain
+from xml.parsers import expat
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Health buckets in order of severity with label and remedy.
 BUCKETS: list[tuple[str, str, str | None]] = [
@@ -108,13 +111,26 @@ def root_name(body: Column) -> Column:
     return F.lower(F.regexp_extract(F.regexp_replace(body, "^﻿", ""), _ROOT, 1))
 
 
+@F.pandas_udf(T.BooleanType())
+def _well_formed(bodies: pd.Series) -> pd.Series:
+    def check(body: str) -> bool:
+        try:
+            expat.ParserCreate().Parse(body.encode("utf-8"), True)
+        except (expat.ExpatError, ValueError, LookupError):
+            return False
+        return True
+
+    return bodies.map(check, na_action="ignore").astype(object)
+
+
 def looks_like_feed(body: Column) -> Column:
-    """Whether fetched text is a feed, by its root element or by its JSON Feed version."""
+    """Whether fetched text is a feed: well-formed XML with a feed's root, or a JSON Feed version.
+
+    The root's name is read inside the JVM; only texts that may be feeds are parsed in Python.
+    """
     text = F.coalesce(body, F.lit(""))
-    name = root_name(text)
-    # A document cut before its root closes is not well formed.
-    closed = F.rlike(text, F.lit(r"(?s)(</[^<>]*|/)>\s*(?:<!--.*?-->\s*)*$"))
-    xml = name.isin("rss", "feed", "rdf") & closed
+    maybe = root_name(text).isin("rss", "feed", "rdf")
+    xml = maybe & F.coalesce(_well_formed(F.when(maybe, text)), F.lit(False))
     json_text = F.when(F.startswith(F.ltrim(text), F.lit("{")), text)
     version = F.try_variant_get(F.try_parse_json(json_text), "$.version", "string")
     return xml | F.coalesce(F.contains(version, F.lit("jsonfeed.org")), F.lit(False))

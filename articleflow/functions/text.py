@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Whitespace as a Unicode-aware reader sees it: the White_Space property plus the four
 # information separators.
@@ -26,7 +27,7 @@ def text_or_empty(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode_entities(values: pd.Series) -> pd.Series:
     return values.map(html.unescape, na_action="ignore")
 

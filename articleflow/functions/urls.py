@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Address prefixes of the archive copy and of the image proxy.
 ARCHIVE_PREFIX = "https://web.archive.org/web/"
@@ -46,7 +47,7 @@ def _join(base: str | None, href: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _resolve(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([_join(b, h) for b, h in zip(base, href)], dtype=object)
 

@@ -128,7 +128,7 @@ def keyword_tags(entries: DataFrame, n: int = 5, text: str = "content") -> DataF
     ).select("entry_id", "tag", "rank")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hashed_embedding(texts: pd.Series) -> pd.Series:
     """Vector without a model: signed hashes of the words, added up in ``EMBED_WIDTH`` places."""
 

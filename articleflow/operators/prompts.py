@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from articleflow.functions.text import slugify
 from articleflow.operators.ordering import OrderedGroups
-from articleflow.schemas import TABLES
+from articleflow.schemas import schema_of
 from articleflow.session import cut_lineage
 
 # Built-in prompts by id and name; the wording is this library's own.
@@ -21,7 +21,7 @@ BUILTIN = [
 
 def builtin_prompts(spark: SparkSession) -> DataFrame:
     rows = [(slug, name, text, True, None) for slug, name, text in BUILTIN]
-    return spark.createDataFrame(rows, TABLES["summary_prompts"])
+    return spark.createDataFrame(rows, schema_of("summary_prompts"))
 
 
 def list_prompts(prompts: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from articleflow.functions.text import safe_filename, text_or_empty
 from articleflow.operators.entries import tags_per_entry
@@ -92,7 +93,7 @@ def _markdown(body: str | None) -> str:
     return re.sub(r"\n{3,}", "\n\n", "".join(writer.out)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def to_markdown(bodies: pd.Series) -> pd.Series:
     return bodies.map(_markdown, na_action="ignore")
 

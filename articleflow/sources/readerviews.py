@@ -11,6 +11,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from articleflow.session import ship_package
+
 AS_OF = datetime(2024, 1, 30, 12, 0, 0)
 _DAY0 = "TIMESTAMP_NTZ '2024-01-01 00:00:00'"
 _AS_OF = "TIMESTAMP_NTZ '2024-01-30 12:00:00'"
@@ -28,6 +30,7 @@ class ReaderViews:
         self.folder = folder
         self.streaming = streaming
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship_package(spark)
 
     def table(self, name: str) -> DataFrame:
         path = f"{self.folder}/{name}.parquet"

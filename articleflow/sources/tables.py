@@ -6,22 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from articleflow.operators.ordering import top_per_group
-from articleflow.schemas import TABLES, conform
+from articleflow.schemas import conform, schema_of
 
 
 def read_table(spark: SparkSession, table: str, path: str) -> DataFrame:
     """Scan of a known table. The stored schema may be older; see :func:`conform`."""
     stored = spark.read.option("mergeSchema", "true").parquet(path)
-    if [(f.name, f.dataType) for f in stored.schema] == [
-        (f.name, f.dataType) for f in TABLES[table]
-    ] and table not in ("feed_config", "article_snapshots"):
-        return stored
     return conform(stored, table)
 
 
 def read_exact(spark: SparkSession, table: str, path: str) -> DataFrame:
     """Scan with the declared schema given to the reader, so files are not opened for inference."""
-    return spark.read.schema(TABLES[table]).parquet(path)
+    return spark.read.schema(schema_of(table)).parquet(path)
 
 
 def lookup(df: DataFrame, key: str, *values: object) -> DataFrame:
