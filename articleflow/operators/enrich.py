@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import PandasUDFType
 
 from articleflow.functions.text import first_words, parse_tags, text_or_empty
 from articleflow.operators.ordering import top_per_group
@@ -69,8 +68,7 @@ def call_model(
                     rows[i] = row
             yield pd.DataFrame(rows, columns=["value", "error"], dtype=object)
 
-    run = F.pandas_udf(run, result, PandasUDFType.SCALAR_ITER)
-    answered = df.withColumn("_answer", run(prompt))
+    answered = df.withColumn("_answer", F.pandas_udf(run, result)(prompt))
     return answered.withColumns(
         {out: F.col("_answer.value"), f"{out}_error": F.col("_answer.error")}
     ).drop("_answer")

@@ -404,7 +404,7 @@ def _selected(blocks: Column, pattern: Column) -> Column:
     """Blocks inside the first element the selector matches; empty without selector or match."""
     first = F.get(
         F.filter(
-            F.transform(blocks, lambda b: F.regexp_extract(b["path"], pattern, F.lit(1))),
+            F.transform(blocks, lambda b: F.call_function("regexp_extract", b["path"], pattern, F.lit(1))),
             lambda p: F.length(p) > 0,
         ),
         F.lit(0),

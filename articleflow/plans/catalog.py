@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from articleflow.plans import registry
 
-MODULES = ("reading", "feeds")
+MODULES = ("reading", "feeds", "texts", "versions", "streams")
 
 
 def _load() -> None:

@@ -37,7 +37,13 @@ class ReaderViews:
         static = self.spark.read.parquet(path)
         if not self.streaming:
             return static
-        return self.spark.readStream.schema(static.schema).parquet(path)
+        reader = self.spark.readStream.schema(static.schema)
+        jvm_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = jvm_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.getFileStatus(jvm_path).isDirectory():
+            return reader.parquet(path)
+        # A file source watches folders; a table that is one file is picked by name.
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
 
     def entries(self) -> DataFrame:
         return self.table("documents").selectExpr(

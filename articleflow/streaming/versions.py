@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -94,6 +96,9 @@ def stream_changes(polls: DataFrame, on_revert: str = "touch") -> DataFrame:
     """
     if "force" not in polls.columns:
         polls = polls.withColumn("force", F.lit(False))
+    # Spark inspects the processor in a driver-side worker that does not see files shipped to
+    # executors, so the class travels with the plan.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     narrow = polls.select(
         "entry_id",
         "feed_id",
