@@ -62,19 +62,11 @@ def resolve_url(base: Column, href: Column) -> Column:
 
 def parse_pairs(col: Column) -> Column:
     """``k=v; k2=v2`` to a map: the first ``=`` splits, the last key wins, the rest is dropped."""
-    parts = F.transform(F.split(col, ";"), lambda p: F.btrim(p))
-    pairs = F.filter(parts, lambda p: F.contains(p, F.lit("=")))
-    split = F.transform(
-        pairs,
-        lambda p: F.struct(
-            F.btrim(F.substring_index(p, "=", 1)).alias("key"),
-            F.btrim(F.substr(p, F.instr(p, "=") + 1)).alias("value"),
-        ),
-    )
-    last = F.filter(
-        split,
-        lambda kv, i: ~F.exists(
-            F.slice(split, i + 2, F.size(split)), lambda later: later["key"] == kv["key"]
-        ),
-    )
-    return F.map_from_entries(last)
+    parts = F.filter(F.split(col, ";"), lambda p: F.contains(p, F.lit("=")))
+
+    def put(seen: Column, p: Column) -> Column:
+        key = F.btrim(F.substring_index(p, "=", 1))
+        value = F.btrim(F.substr(p, F.instr(p, "=") + 1))
+        return F.map_concat(F.map_filter(seen, lambda k, _: k != key), F.create_map(key, value))
+
+    return F.aggregate(parts, F.expr("cast(map() as map<string,string>)"), put)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from articleflow.functions.feedtext import feed_type, is_feed_link, looks_like_feed
 from articleflow.functions.text import text_or_empty
 from articleflow.operators.ordering import top_per_group
+from articleflow.operators.sizing import spread
 
 
 def resolve_fetch(requests: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def _link_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def raw_links(pages: DataFrame) -> DataFrame:
     """Every announced alternate of every page (url, html); only pages with links are parsed."""
     some = pages.where(F.contains(F.lower("html"), F.lit("<link"))).select("url", "html")
-    parsed = some.mapInPandas(
+    parsed = spread(some).mapInPandas(
         _link_rows,
         "url string, pos int, rel string, link_type string, href string, target string, title string",
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from articleflow.functions.text import first_words, parse_tags, text_or_empty
-from articleflow.operators.ordering import top_per_group
+from articleflow.operators.sizing import spread
 
 # Words sent per task, and shortest text it is called for.
 LIMITS = {"summarise": (4000, 100), "classify": (2000, 50), "embed": (1200, 1)}
@@ -95,35 +96,67 @@ def summarise(requests: DataFrame, fn, text: str = "text") -> DataFrame:
     return call_model(requests, fn, prompt, "summary", "string")
 
 
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _words(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(words, dtype=object))
+
+
+def _tag_words(text: str | None) -> tuple[list[str], list[int], np.ndarray]:
+    """Distinct candidate words of a text in order, their counts and their buckets."""
+    counts = Counter(w for w in _words(text) if 4 <= len(w) < 50)
+    words = list(counts)
+    buckets = _hashes(words) % np.uint64(TERM_BUCKETS) if words else np.zeros(0)
+    return words, list(counts.values()), buckets.astype(np.int64)
+
+
+def document_frequencies(entries: DataFrame, text: str = "content") -> DataFrame:
+    """(bucket, df): number of entries with a word of the hash bucket; at most TERM_BUCKETS rows."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(TERM_BUCKETS, dtype=np.int64)
+        for batch in batches:
+            for value in batch["text"]:
+                total[np.unique(_tag_words(value)[2])] += 1
+        used = np.nonzero(total)[0]
+        yield pd.DataFrame({"bucket": used, "n": total[used]})
+
+    parts = spread(entries.select(F.col(text).alias("text"))).mapInPandas(count, "bucket bigint, n bigint")
+    return parts.groupBy("bucket").agg(F.sum("n").alias("df"))
+
+
 def keyword_tags(entries: DataFrame, n: int = 5, text: str = "content") -> DataFrame:
-    """Tags without a model: the words of an entry that are frequent in it and rare elsewhere.
+    """Tags without a model: (entry_id, tag, rank) of the words that are frequent in an entry and
+    rare elsewhere.
 
-    (entry_id, tag, rank). Words are counted inside their row; document frequencies are kept per
-    hash bucket, at most ``TERM_BUCKETS`` rows, so they are broadcast and no word, however common,
-    collects rows in one task. Ranking happens inside the row as well.
+    All words of an entry sit in one row, so counting and ranking need no shuffle. Only document
+    frequencies are exchanged, one small array per task, and the result, bounded by TERM_BUCKETS
+    numbers, goes back to the tasks with the code.
     """
-    tokens = F.filter(
-        F.split(F.lower(text_or_empty(F.col(text))), r"[^\p{L}]+"),
-        lambda w: (F.length(w) >= 4) & (F.length(w) < 50),
-    )
-    words = entries.select("entry_id", tokens.alias("words"))
-    counted = words.select(
-        "entry_id", F.explode("words").alias("word")
-    ).groupBy("entry_id", "word").agg(F.count(F.lit(1)).alias("tf"))
-    bucket = F.pmod(F.xxhash64("word"), F.lit(TERM_BUCKETS))
-    df = (
-        words.select(F.explode(F.array_distinct("words")).alias("word"))
-        .groupBy(bucket.alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
+    idf = np.zeros(TERM_BUCKETS)
+    found = document_frequencies(entries, text).collect()
     total = entries.count()
-    stats = df.select("bucket", F.log(F.lit(total + 1) / (F.col("df") + 1)).alias("idf"))
-    scored = counted.withColumn("bucket", bucket).join(F.broadcast(stats), "bucket").select(
-        "entry_id", F.col("word").alias("tag"), (F.col("tf") * F.col("idf")).alias("score")
-    )
-    return top_per_group(
-        scored, ["entry_id"], [F.desc("score"), F.col("tag")], n, rank="rank"
-    ).select("entry_id", "tag", "rank")
+    for row in found:
+        idf[row["bucket"]] = np.log((total + 1) / (row["df"] + 1))
+    table = entries.sparkSession.sparkContext.broadcast(idf)
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for entry_id, value in zip(batch["entry_id"], batch["text"]):
+                words, counts, buckets = _tag_words(value)
+                scores = np.array(counts) * table.value[buckets]
+                best = sorted(range(len(words)), key=lambda i: (-scores[i], words[i]))[:n]
+                rows.extend((entry_id, words[i], r) for r, i in enumerate(best, 1))
+            yield pd.DataFrame(rows, columns=["entry_id", "tag", "rank"])
+
+    narrow = spread(entries.select("entry_id", F.col(text).alias("text")))
+    return narrow.mapInPandas(rank, "entry_id bigint, tag string, rank int")
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -131,10 +164,10 @@ def hashed_embedding(texts: pd.Series) -> pd.Series:
     """Vector without a model: signed hashes of the words, added up in ``EMBED_WIDTH`` places."""
 
     def vector(text: str | None) -> np.ndarray:
-        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        words = _words(text)
         if not words:
             return np.zeros(EMBED_WIDTH)
-        h = pd.util.hash_array(np.array(words, dtype=object))
+        h = _hashes(words)
         sign = np.where((h >> np.uint64(32)) & np.uint64(1), 1.0, -1.0)
         place = (h % np.uint64(EMBED_WIDTH)).astype(int)
         return np.bincount(place, weights=sign, minlength=EMBED_WIDTH)

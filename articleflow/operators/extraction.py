@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from articleflow.functions.text import collapse_ws, content_hash, source_hash, text_or_empty
 from articleflow.functions.urls import IMAGE_PROXY_PREFIX, image_proxy_url
-from articleflow.operators.sizing import attach
+from articleflow.operators.sizing import attach, spread
 
 # Tags kept in extracted HTML, and tags dropped with their content.
 ALLOWED_TAGS = (
@@ -400,21 +400,21 @@ def _as_text(blocks: Column) -> Column:
     )
 
 
-def _selected(blocks: Column, pattern: Column) -> Column:
-    """Blocks inside the first element the selector matches; empty without selector or match."""
-    first = F.get(
-        F.filter(
-            F.transform(blocks, lambda b: F.call_function("regexp_extract", b["path"], pattern, F.lit(1))),
-            lambda p: F.length(p) > 0,
-        ),
-        F.lit(0),
+def _first_match(blocks: Column, pattern: Column) -> Column:
+    """Path of the first element the selector matches; null without selector or match."""
+    matches = F.transform(
+        blocks, lambda b: F.call_function("regexp_extract", b["path"], pattern, F.lit(1))
     )
-    inside = F.filter(
+    return F.get(F.filter(matches, lambda p: F.length(p) > 0), F.lit(0))
+
+
+def _inside(blocks: Column, root: Column) -> Column:
+    """Blocks of one element; none for a null path."""
+    below = F.concat(root, F.lit("/"))
+    return F.filter(
         blocks,
-        lambda b: (b["path"] == first) | F.startswith(b["path"], F.concat(first, F.lit("/"))),
+        lambda b: F.coalesce((b["path"] == root) | F.startswith(b["path"], below), F.lit(False)),
     )
-    none = F.filter(blocks, lambda _: F.lit(False))
-    return F.when(pattern.isNotNull() & first.isNotNull(), inside).otherwise(none)
 
 
 def quality(text: Column, html_text: Column) -> tuple[Column, Column]:
@@ -452,7 +452,7 @@ def extract_articles(
                 "unsupported": F.array().cast("array<string>"),
             }
         )
-    df = page_blocks(pages).drop("html")
+    df = page_blocks(spread(pages)).drop("html")
     df = df.withColumn(
         "blocks",
         _measured(
@@ -461,7 +461,8 @@ def extract_articles(
     )
     df = df.withColumn("flags", _content_flags(F.col("blocks")))
     df = df.withColumn("chosen", F.filter("blocks", lambda b, i: F.get(F.col("flags"), i)))
-    df = df.withColumn("picked", _selected(F.col("blocks"), F.col("select_pattern")))
+    df = df.withColumn("root", _first_match(F.col("blocks"), F.col("select_pattern")))
+    df = df.withColumn("picked", _inside(F.col("blocks"), F.col("root")))
     body = F.when(F.size("picked") > 0, F.col("picked")).otherwise(F.col("chosen"))
     df = df.withColumns({"content_text": _as_text(F.col("chosen")), "body": body})
     df = df.withColumn("html_text", _as_text(F.col("body")))

@@ -59,7 +59,17 @@ def read_filters(filters: DataFrame) -> list[SavedFilter]:
     ]
 
 
+def _lowered(entries: DataFrame) -> DataFrame:
+    """Entries with a lower-case copy of each rule field, made once for all filters."""
+    present = [c for c in FIELDS if c in entries.columns]
+    return entries.select(
+        "entry_id", *[F.lower(text_or_empty(F.col(c))).alias(f"_{c}") for c in present]
+    )
+
+
 def _field(name: str | None, columns: set[str]) -> Column:
+    if name in FIELDS and f"_{name}" in columns:
+        return F.col(f"_{name}")
     if name in FIELDS and name in columns:
         return F.lower(text_or_empty(F.col(name)))
     return F.lit("")
@@ -123,13 +133,11 @@ def _driven(filters: list[SavedFilter], columns: list[str]) -> Column:
         )
     )
     table = F.from_json(F.lit(json.dumps(rows)), schema)
-    present = [c for c in FIELDS if c in columns]
+    present = [c for c in FIELDS if f"_{c}" in columns]
 
     def value_of(name: Column) -> Column:
         return reduce(
-            lambda acc, c: F.when(name == c, F.lower(text_or_empty(F.col(c)))).otherwise(acc),
-            present,
-            F.lit(""),
+            lambda acc, c: F.when(name == c, F.col(f"_{c}")).otherwise(acc), present, F.lit("")
         )
 
     def holds(rule: Column) -> Column:
@@ -158,6 +166,7 @@ def match_filters(
     walked per entry, in blocks, so that any number of filters is handled.
     """
     active = [f for f in filters if f.rules and f.auto_action]
+    entries = _lowered(entries)
     empty = F.array().cast("array<struct<filter_id:bigint,action:string>>")
     if not active:
         hits = empty

@@ -1,4 +1,4 @@
-"""Joins of large tables with small ones, guarded by a row count."""
+"""Decisions that depend on the size of an input."""
 
 from __future__ import annotations
 
@@ -30,3 +30,16 @@ def attach(
     if fits(dimension, max_rows):
         dimension = F.broadcast(dimension)
     return facts.join(dimension, on, how)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before costly work per row, if the input is too small to be split.
+
+    A file below the split size is read by one task. The test uses the size Spark estimates from
+    file metadata; inputs that give every core a full split pass through without a shuffle.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if size < split * cores else df

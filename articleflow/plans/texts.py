@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from articleflow.functions import metadata, text, urls
 from articleflow.operators import enrich, prompts
+from articleflow.operators.sizing import spread
 from articleflow.plans.registry import AS_OF_SQL, query
 from articleflow.sources import markdown
 from articleflow.sources.readerviews import ReaderViews, as_of
@@ -21,19 +22,19 @@ _EXCERPT_SQL = """
           SELECT entry_id, trim(regexp_replace(regexp_replace(content, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) AS t FROM v_entries)""",
 )
 def excerpt(v: ReaderViews) -> DataFrame:
-    return v.entries().select("entry_id", text.excerpt(F.col("content")).alias("excerpt"))
+    return spread(v.entries()).select("entry_id", text.excerpt(F.col("content")).alias("excerpt"))
 
 
 @query(
     "excerpt_html",
     f"""SELECT page_id, {_EXCERPT_SQL} AS excerpt FROM (
           SELECT page_id, trim(regexp_replace(
-                   replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'),
-                     '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'),
+                   replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'),
+                     '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '&amp', '&'),
                    '\\s+', ' ', 'g')) AS t FROM pages)""",
 )
 def excerpt_html(v: ReaderViews) -> DataFrame:
-    return v.table("pages").select("page_id", text.excerpt(F.col("html")).alias("excerpt"))
+    return spread(v.table("pages")).select("page_id", text.excerpt(F.col("html")).alias("excerpt"))
 
 
 @query(
@@ -85,7 +86,7 @@ def hashes(v: ReaderViews) -> DataFrame:
 )
 def model_inputs(v: ReaderViews) -> DataFrame:
     cols = [F.md5(enrich.model_input(F.col("content"), t)).alias(t) for t in ("summarise", "classify", "embed")]
-    return v.entries().select("entry_id", *cols)
+    return spread(v.entries()).select("entry_id", *cols)
 
 
 @query(
@@ -290,7 +291,7 @@ def _first_words_model(texts: list[str]) -> list[str]:
        FROM documents WHERE length(text) >= 50""",
 )
 def model_tags(v: ReaderViews) -> DataFrame:
-    tagged = enrich.classify(v.entries(), _first_words_model, "content")
+    tagged = enrich.classify(spread(v.entries()), _first_words_model, "content")
     return tagged.where("size(tags) > 0").select("entry_id", F.array_join("tags", "|").alias("tags"))
 
 
@@ -301,7 +302,7 @@ def keyword_tags(v: ReaderViews) -> DataFrame:
 
 @query("hashed_embeddings")
 def hashed_embeddings(v: ReaderViews) -> DataFrame:
-    return v.entries().select("entry_id", enrich.hashed_embedding(F.col("content")).alias("embedding"))
+    return spread(v.entries()).select("entry_id", enrich.hashed_embedding(F.col("content")).alias("embedding"))
 
 
 @query(
@@ -325,4 +326,4 @@ def markdown_export(v: ReaderViews) -> DataFrame:
 @query("markdown_documents")
 def markdown_documents(v: ReaderViews) -> DataFrame:
     """Whole documents of the web pages, HTML turned into Markdown."""
-    return v.table("pages").select("page_id", "url", markdown.to_markdown(F.col("html")).alias("document"))
+    return spread(v.table("pages")).select("page_id", "url", markdown.to_markdown(F.col("html")).alias("document"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from articleflow.operators.sizing import spread
+
 # Element names of items and of their dates.
 ITEM_NAMES = ("item", "entry")
 DATE_NAMES = ("pubDate", "published", "updated", "date")
@@ -52,4 +54,4 @@ def parse_feed_items(bodies: DataFrame, limit: int | None = 3) -> DataFrame:
             yield pd.DataFrame(rows, columns=["url", "pos", "title", "published"])
 
     xmlish = bodies.where(F.contains(F.col("body"), F.lit("<"))).select("url", "body")
-    return xmlish.mapInPandas(parse, "url string, pos int, title string, published string")
+    return spread(xmlish).mapInPandas(parse, "url string, pos int, title string, published string")
