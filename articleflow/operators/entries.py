@@ -184,10 +184,11 @@ def shown_tags(own: Column, model: Column, n: int = 5) -> tuple[Column, Column]:
 
 
 def _page_keys(df: DataFrame, q: EntryQuery, order: list[Column]) -> list:
+    """Keys and priorities of one page, at most MAX_PAGE rows."""
     keys = df.select("entry_id", "priority", "published_at").orderBy(*order)
     if q.offset:
         keys = keys.offset(q.offset)
-    return keys.limit(q.limit).collect()
+    return keys.limit(q.limit).select("entry_id", "priority").collect()
 
 
 def entry_list(
@@ -222,12 +223,13 @@ def entry_list(
     if q.limit is not None:
         if q.limit > MAX_PAGE:
             raise ValueError(f"a page has at most {MAX_PAGE} entries")
-        keys = [r["entry_id"] for r in _page_keys(found, q, order)]
-        on_page = F.col("entry_id").isin(keys)
-        base = entries if keys else entries.where(F.lit(False))
-        if q.feed_id is not None:
-            base = base.where(F.col("feed_id") == q.feed_id)
-        found = with_priority(base.where(on_page), config)
+        keys = _page_keys(found, q, order)
+        on_page = F.col("entry_id").isin([r["entry_id"] for r in keys])
+        priorities = entries.sparkSession.createDataFrame(
+            [(r["entry_id"], r["priority"]) for r in keys], "entry_id bigint, priority int"
+        )
+        # Key values are constants now, so all three scans skip row groups without them.
+        found = entries.where(on_page).join(F.broadcast(priorities), "entry_id")
         tags = tags.where(on_page)
         changed = changed_entries(snapshots.where(on_page)).select("entry_id")
     out = entries_with_tags(found.drop("tags") if "tags" in found.columns else found, tags)

@@ -299,10 +299,14 @@ def _items(values) -> list[str]:
 
 
 def _without_removed(blocks: Column, remove: Column) -> Column:
+    # Patterns never match empty text. Extraction keeps the last compiled pattern, a match test
+    # against a column would compile it per block.
     own = F.coalesce(remove, F.lit("(?!)"))
-    return F.filter(
-        blocks, lambda b: ~F.rlike(b["path"], F.lit(_UNIVERSAL)) & ~F.rlike(b["path"], own)
-    )
+
+    def hit(b: Column) -> Column:
+        return F.length(F.call_function("regexp_extract", b["path"], own, F.lit(0))) > 0
+
+    return F.filter(blocks, lambda b: ~F.rlike(b["path"], F.lit(_UNIVERSAL)) & ~hit(b))
 
 
 def _unwrapped(blocks: Column, tags: Column) -> Column:
@@ -341,8 +345,8 @@ def _measured(blocks: Column) -> Column:
     )
 
 
-def _content_flags(blocks: Column) -> Column:
-    """Content decision per block: the published decision tree over word counts and link density
+def _judged(blocks: Column) -> Column:
+    """Blocks with the decision ``content``: the published decision tree over word counts and link density
     of a block and its neighbours. Images follow the block before them; headings need fewer words.
     """
 
@@ -363,7 +367,7 @@ def _content_flags(blocks: Column) -> Column:
             (text | heading) & (b["tag"] != "title")
         )
 
-    return F.transform(blocks, decide)
+    return F.transform(blocks, lambda b, i: b.withField("content", decide(b, i)))
 
 
 def _image(b: Column) -> Column:
@@ -441,6 +445,7 @@ def extract_articles(
         pages = pages.withColumn("source_hash", source_hash(F.col("html")))
     if known is not None:
         pages = pages.join(known.select("url", "source_hash"), ["url", "source_hash"], "left_anti")
+    pages = spread(pages)
     if config is not None:
         pages = attach(pages, config, "feed_id")
     else:
@@ -452,18 +457,18 @@ def extract_articles(
                 "unsupported": F.array().cast("array<string>"),
             }
         )
-    df = page_blocks(spread(pages)).drop("html")
+    df = page_blocks(pages).drop("html")
     df = df.withColumn(
         "blocks",
         _measured(
             _without_removed(_unwrapped(F.col("blocks"), F.col("unwrap_tags")), F.col("remove_pattern"))
         ),
     )
-    df = df.withColumn("flags", _content_flags(F.col("blocks")))
-    df = df.withColumn("chosen", F.filter("blocks", lambda b, i: F.get(F.col("flags"), i)))
+    df = df.withColumn("chosen", F.filter(_judged(F.col("blocks")), lambda b: b["content"]))
     df = df.withColumn("root", _first_match(F.col("blocks"), F.col("select_pattern")))
     df = df.withColumn("picked", _inside(F.col("blocks"), F.col("root")))
-    body = F.when(F.size("picked") > 0, F.col("picked")).otherwise(F.col("chosen"))
+    picked = F.transform("picked", lambda b: b.withField("content", F.lit(True)))
+    body = F.when(F.size("picked") > 0, picked).otherwise(F.col("chosen"))
     df = df.withColumns({"content_text": _as_text(F.col("chosen")), "body": body})
     df = df.withColumn("html_text", _as_text(F.col("body")))
     too_short, missed = quality(F.col("content_text"), F.col("html_text"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from articleflow.functions.text import clamp, text_or_empty
+from articleflow.session import cut_lineage
 from articleflow.sources.tables import upsert_columns
 
 # Action -> (column, kind, value). ``set`` writes a value, ``flip`` inverts a flag,
@@ -42,7 +43,8 @@ def fold_actions(actions: DataFrame) -> DataFrame:
     follows it. ``actions``: id, action, value, ts, seq (orders actions of one instant).
 
     Two aggregations, both combining before their shuffle, so an id with a large part of the log
-    costs no more than others. Flips are counted per instant first, then against the last write.
+    costs no more than others. The first one's result, a row per id and column, is kept, so the log
+    is read twice: for it, and for the flips of columns that were also written.
     """
     log = actions.select(
         "id",
@@ -53,10 +55,12 @@ def fold_actions(actions: DataFrame) -> DataFrame:
     ).where("field IS NOT NULL AND (kind <> 'text' OR coalesce(value, '') <> '')")
     is_flip = F.col("kind") == "flip"
     write_at = F.when(~is_flip, F.col("at"))
-    writes = log.groupBy("id", "field").agg(
-        F.max_by("value", write_at).alias("value"),
-        F.max(write_at).alias("written_at"),
-        F.count_if(is_flip).alias("all_flips"),
+    writes = cut_lineage(
+        log.groupBy("id", "field").agg(
+            F.max_by("value", write_at).alias("value"),
+            F.max(write_at).alias("written_at"),
+            F.count_if(is_flip).alias("all_flips"),
+        )
     )
     # Flips that a later write overrides are subtracted; the log is joined back only for columns
     # that see both kinds.

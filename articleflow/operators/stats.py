@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from articleflow.functions.text import percent_of
+from articleflow.operators.sizing import attach
 
 DAY = "make_dt_interval({})"
 
@@ -60,7 +61,7 @@ def top_feeds(
         .orderBy(F.desc("cnt"), "feed_id")
         .limit(k)
     )
-    named = feeds.select("feed_id", "title").join(F.broadcast(winners), "feed_id", "right")
+    named = attach(winners, feeds.select("feed_id", "title"), "feed_id")
     name = F.coalesce("title", F.concat(F.lit("Feed "), F.col("feed_id").cast("string")))
     out = named.select("feed_id", name.alias("name"), "cnt")
     return with_bars(out, "cnt").orderBy(F.desc("cnt"), "feed_id")

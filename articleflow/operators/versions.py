@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from articleflow.functions.text import source_hash, text_or_empty
@@ -64,8 +64,8 @@ def detect_changes(
     An entry exists from its first successful extraction on, and every poll of an existing entry
     leaves its source hash behind. So the previous poll's hash decides about fetching, the first
     occurrence of a content hash decides about a new version, and version numbers are running
-    counts. Only hashes are shuffled, never content. Entries with very many polls are cut into
-    segments (see ``ordering``).
+    counts: one shuffle by entry, of hashes only, serves all of these. Entries with very many polls
+    are cut into segments (see ``ordering``).
     """
     if on_revert not in ("touch", "version"):
         raise ValueError("on_revert is 'touch' or 'version'")
@@ -119,20 +119,12 @@ def detect_changes(
     df = df.withColumn("_store", F.col("_ok") & ~F.col("_skip") & ~F.col("_backfill"))
 
     if on_revert == "touch":
-        # First occurrence of a content per entry. The key includes the content hash, so one
-        # entry's polls spread over many tasks, and repeated polls fold before the shuffle.
-        point = F.struct("_at", "source_hash", "_tie")
-        firsts = (
-            df.where("_store").groupBy("entry_id", "content_hash").agg(F.min(point).alias("_first"))
-        )
+        df = _mark_first(df, groups, order)
         if stored is not None:
-            firsts = firsts.join(
-                stored.select("entry_id", "content_hash").distinct(),
-                ["entry_id", "content_hash"],
-                "left_anti",
-            )
-        df = df.join(firsts, ["entry_id", "content_hash"], "left")
-        fresh = F.col("_store") & F.coalesce(F.col("_first") == point, F.lit(False))
+            known = stored.select("entry_id", "content_hash", F.lit(True).alias("_known")).distinct()
+            df = df.join(known, ["entry_id", "content_hash"], "left")
+            df = df.withColumn("_earliest", F.col("_earliest") & F.col("_known").isNull())
+        fresh = F.col("_store") & F.coalesce("_earliest", F.lit(False))
         groups = groups.with_rows(df.withColumn("_insert", fresh))
         groups = groups.carry_last(F.when(F.col("_insert"), F.col("content_hash")), "_last_content")
     else:
@@ -162,6 +154,22 @@ def detect_changes(
     return df.select(*keep, action.alias("action"), version.alias("version"))
 
 
+def _mark_first(df: DataFrame, groups: OrderedGroups, order: list[str]) -> DataFrame:
+    """Flag ``_earliest`` on the first stored poll of every content of an entry.
+
+    While all entries are of moderate size a window does, on the partitioning by entry the rows
+    already have. Otherwise the first polls are aggregated per (entry, content), which combines
+    before its shuffle, and joined back.
+    """
+    if groups.hot is None:
+        w = Window.partitionBy("entry_id", "content_hash", "_store").orderBy(*order)
+        return df.withColumn("_earliest", F.row_number().over(w) == 1)
+    point = F.struct(*order)
+    firsts = df.where("_store").groupBy("entry_id", "content_hash").agg(F.min(point).alias("_first"))
+    joined = df.join(firsts, ["entry_id", "content_hash"], "left")
+    return joined.withColumn("_earliest", F.col("_first") == point)
+
+
 def poll_hashes(polls: DataFrame) -> DataFrame:
     """Polls whose article body is the polled content itself: both hashes come from it."""
     return polls.select(
