@@ -54,7 +54,7 @@ def _resolve(base: pd.Series, href: pd.Series) -> pd.Series:
 
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute form of a link. Links that already name a scheme do not travel to Python."""
-    absolute = F.rlike(href, F.lit(r"^https?://[^/?#]+/[^.]*$"))
+    absolute = F.rlike(href, F.lit(r"^https?://[^/?#]+/[^.?#;]*$"))
     return F.when(absolute, href).otherwise(
         _resolve(F.when(~absolute, base), F.when(~absolute, href))
     )

@@ -79,6 +79,7 @@ class _Blocks(HTMLParser):
     def _fresh(self) -> None:
         self.text: list[str] = []
         self.inner: list[str] = []
+        self.marks: list[str] = []
         self.link_chars = 0
 
     def _step(self, tag: str, attrs) -> str:
@@ -95,6 +96,7 @@ class _Blocks(HTMLParser):
 
     def _flush(self) -> None:
         text = " ".join("".join(self.text).split())
+        self.inner.extend(f"</{t}>" for t in reversed(self.marks))
         if text:
             self.blocks.append(
                 {
@@ -138,6 +140,8 @@ class _Blocks(HTMLParser):
                 self.inner.append(
                     f"<{tag}" + "".join(f' {k}="{escape(v or "")}"' for k, v in shown) + ">"
                 )
+                if tag != "br":
+                    self.marks.append(tag)
             if tag == "br":
                 self.text.append("\n")
                 return
@@ -156,8 +160,12 @@ class _Blocks(HTMLParser):
         index = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
         if index is None:
             return
-        if tag in _INLINE and tag in ALLOWED_TAGS:
-            self.inner.append(f"</{tag}>")
+        if tag in self.marks:
+            while self.marks:
+                top = self.marks.pop()
+                self.inner.append(f"</{top}>")
+                if top == tag:
+                    break
         self._close_to(index)
 
     def handle_data(self, data):
@@ -252,6 +260,9 @@ _UNIVERSAL = (
     r'\{class="(?:[^"]*(?: |%0A|%09))?sidebar(?:(?: |%0A|%09)[^"]*)?"\}|\{role="complementary"\}'
 )
 
+# Elements whose text is never the article's.
+_NEVER_CONTENT = r"/(?:title|footer|form|button|select|menu|dialog)#"
+
 COMPILED = "select_pattern string, remove_pattern string, unwrap_tags array<string>, unsupported array<string>"
 
 
@@ -347,11 +358,16 @@ def _measured(blocks: Column) -> Column:
 
 def _judged(blocks: Column) -> Column:
     """Blocks with the decision ``content``: the published decision tree over word counts and link density
-    of a block and its neighbours. Images follow the block before them; headings need fewer words.
+    of a block and its neighbours, looking past an image. Images follow the block before them;
+    headings need fewer words.
     """
 
     def decide(b: Column, i: Column) -> Column:
-        prev, nxt = F.get(blocks, i - 1), F.get(blocks, i + 1)
+        def beside(step: int) -> Column:
+            near = F.get(blocks, i + step)
+            return F.when(near["tag"] == "img", F.get(blocks, i + 2 * step)).otherwise(near)
+
+        prev, nxt = beside(-1), beside(1)
         prev_density = F.coalesce(prev["density"], F.lit(0.0))
         prev_words = F.coalesce(prev["words"], F.lit(0))
         next_words = F.coalesce(nxt["words"], F.lit(0))
@@ -363,9 +379,7 @@ def _judged(blocks: Column) -> Column:
             after_links
         )
         heading = F.rlike(b["tag"], F.lit("^h[1-6]$")) & (next_words > 4)
-        return F.when(b["tag"] == "img", prev_words > 16).otherwise(
-            (text | heading) & (b["tag"] != "title")
-        )
+        return F.when(b["tag"] == "img", prev_words > 16).otherwise(text | heading)
 
     return F.transform(blocks, lambda b, i: b.withField("content", decide(b, i)))
 
@@ -464,7 +478,10 @@ def extract_articles(
             _without_removed(_unwrapped(F.col("blocks"), F.col("unwrap_tags")), F.col("remove_pattern"))
         ),
     )
-    df = df.withColumn("chosen", F.filter(_judged(F.col("blocks")), lambda b: b["content"]))
+    df = df.withColumn(
+        "scored", F.filter("blocks", lambda b: ~F.rlike(b["path"], F.lit(_NEVER_CONTENT)))
+    )
+    df = df.withColumn("chosen", F.filter(_judged(F.col("scored")), lambda b: b["content"]))
     df = df.withColumn("root", _first_match(F.col("blocks"), F.col("select_pattern")))
     df = df.withColumn("picked", _inside(F.col("blocks"), F.col("root")))
     picked = F.transform("picked", lambda b: b.withField("content", F.lit(True)))

@@ -571,7 +571,7 @@ def bulk_result(v: ReaderViews) -> DataFrame:
                      CASE WHEN event_id % 3 > 0 THEN CAST(event_id % 9 AS INTEGER) - 2 END AS priority FROM events),
        last AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY feed_id ORDER BY ts DESC, event_id DESC) = 1)
        SELECT coalesce(c.feed_id, l.feed_id) AS feed_id,
-              coalesce(least(3, greatest(1, l.priority)), c.priority, 2) AS priority,
+              coalesce(CASE WHEN l.priority IS NOT NULL THEN least(3, greatest(1, l.priority)) END, c.priority, 2) AS priority,
               coalesce(c.fetch_full_content, false) AS fetch_full_content
        FROM v_feed_config c FULL JOIN last l USING (feed_id)""",
 )
