@@ -216,7 +216,3 @@ def percent_of(part: Column, whole: Column) -> Column:
 def clamp(col: Column, low: int, high: int) -> Column:
     """Value kept within bounds; null stays null."""
     return F.when(col.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), col)))
-
-
-# Names of the presentation helpers, for use from SQL expressions through the registry below.
-REGISTERED = {"excerpt": excerpt, "reading_time": reading_time, "timeago": time_ago}

@@ -12,11 +12,8 @@ from articleflow.functions.text import (
     seconds_between,
     text_or_empty,
 )
-from articleflow.operators.entries import (
-    DEFAULT_PRIORITY,
-    latest_per_feed,
-    unread_per_feed,
-)
+from articleflow.operators.entries import DEFAULT_PRIORITY, unread_per_feed
+from articleflow.operators.sizing import attach
 from articleflow.session import cut_lineage
 
 
@@ -242,7 +239,8 @@ def posts_by_old_address(
 def author_titles(feeds: DataFrame, entries: DataFrame) -> DataFrame:
     """New titles for author feeds: author of the newest entry, else the name in the address."""
     pages = feeds.where(F.contains("feed_url", F.lit("/author/")))
-    newest = entries.groupBy("feed_id").agg(
+    signed = attach(entries, pages.select("feed_id"), "feed_id", "left_semi")
+    newest = signed.groupBy("feed_id").agg(
         F.max_by("author", F.struct("published_at", -F.col("entry_id"))).alias("author")
     )
     joined = pages.join(newest, "feed_id", "left")

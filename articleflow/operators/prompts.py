@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from articleflow.functions.text import slugify
@@ -44,33 +44,40 @@ def _bases(col: Column) -> Column:
 def unique_slugs(names: DataFrame, taken: DataFrame) -> DataFrame:
     """Slug of each saved name (seq, name), with the lowest free suffix in order of ``seq``.
 
-    ``taken``: column ``slug``. The r-th request for a base gets its r-th free number. Runs of
-    taken numbers are folded, so a base with numbers 1..n in use needs one run. Where two bases
-    ask for the same slug the earlier request keeps it and the later ones are numbered again.
+    ``taken``: column ``slug``. The r-th request for a base gets its r-th free number: r plus the
+    count of taken numbers below it. With j numbers taken up to and including n, n - j free ones
+    lie below n, so a taken number counts for r when n - j < r. Both counts are running sums over
+    ordered groups, which stay balanced when one base gets most requests. Where two bases ask for
+    the same slug the earlier request keeps it and the later ones are numbered again.
     """
     waiting = names.select("seq", "name", slugify(F.col("name")).alias("base"))
     used = taken.select("slug").distinct()
     done = None
     while True:
-        holders = used.select("slug", F.explode(_bases(F.col("slug"))).alias("base")).select(
-            "base", _number(F.col("slug"), F.col("base")).alias("n")
-        ).where("n IS NOT NULL")
-        rank = Window.partitionBy("base").orderBy("n")
-        runs = (
-            holders.join(waiting.select("base").distinct(), "base", "left_semi")
-            .withColumn("free_before", F.col("n") - F.row_number().over(rank))
-            .groupBy("base", "free_before")
-            .agg(F.count(F.lit(1)).alias("length"))
-            .groupBy("base")
-            .agg(F.collect_list(F.struct("free_before", "length")).alias("runs"))
+        holders = (
+            used.select("slug", F.explode(_bases(F.col("slug"))).alias("base"))
+            .select("base", _number(F.col("slug"), F.col("base")).alias("n"))
+            .where("n IS NOT NULL")
+            .join(waiting.select("base"), "base", "left_semi")
+        )
+        held = OrderedGroups.build(holders, ["base"], ["n"]).running_sum(F.lit(1), "j").result()
+        blocks = held.select(
+            "base",
+            (F.col("n") - F.col("j")).alias("pos"),
+            F.lit(1).alias("kind"),
+            F.lit(None).cast(waiting.schema["seq"].dataType).alias("seq"),
+            F.lit(None).cast("string").alias("name"),
+            F.col("n").alias("tie"),
         )
         ranked = OrderedGroups.build(waiting, ["base"], ["seq"]).running_sum(F.lit(1), "r").result()
-        joined = ranked.join(runs, "base", "left")
-        ahead = F.filter(F.col("runs"), lambda x: x["free_before"] < F.col("r"))
-        shift = F.aggregate(ahead, F.lit(0).cast("bigint"), lambda acc, x: acc + x["length"])
-        n = F.col("r") + F.coalesce(shift, F.lit(0))
+        asked = ranked.select(
+            "base", F.col("r").alias("pos"), F.lit(0).alias("kind"), "seq", "name", F.col("r").alias("tie")
+        )
+        line = OrderedGroups.build(blocks.unionByName(asked), ["base"], ["pos", "kind", "tie"])
+        placed = line.running_sum(F.col("kind"), "blocked").result().where("kind = 0")
+        n = F.col("pos") + F.col("blocked")
         slug = F.when(n == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), n.cast("string")))
-        offered = joined.select("seq", "name", "base", slug.alias("slug"))
+        offered = placed.select("seq", "name", "base", slug.alias("slug"))
         first = offered.groupBy("slug").agg(F.min("seq").alias("seq"))
         won = cut_lineage(offered.join(first, ["slug", "seq"], "left_semi"))
         done = won if done is None else done.unionByName(won)

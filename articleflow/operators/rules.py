@@ -59,6 +59,10 @@ def read_filters(filters: DataFrame) -> list[SavedFilter]:
     ]
 
 
+def list_filters(filters: DataFrame) -> DataFrame:
+    return filters.orderBy(F.desc("created_at"), F.desc("id"))
+
+
 def _lowered(entries: DataFrame) -> DataFrame:
     """Entries with a lower-case copy of each rule field, made once for all filters."""
     present = [c for c in FIELDS if c in entries.columns]

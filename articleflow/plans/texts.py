@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from articleflow.functions import metadata, text, urls
+from articleflow.functions import metadata, sqlnames, text, urls
 from articleflow.operators import enrich, prompts
 from articleflow.operators.sizing import spread
 from articleflow.plans.registry import AS_OF_SQL, query
@@ -63,6 +63,39 @@ def timeago(v: ReaderViews) -> DataFrame:
     return v.table("events").select("event_id", text.time_ago(ts, as_of()).alias("ago"))
 
 
+@query(
+    "sql_functions",
+    f"""SELECT page_id, {_EXCERPT_SQL} AS excerpt, CASE WHEN words < 460 THEN 0 ELSE words // 230 END AS minutes FROM (
+          SELECT page_id, len(regexp_extract_all(html, '\\S+')) AS words, trim(regexp_replace(
+                   replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'),
+                     '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '&amp', '&'),
+                   '\\s+', ' ', 'g')) AS t FROM pages)""",
+)
+def sql_functions(v: ReaderViews) -> DataFrame:
+    """The helpers called from SQL text."""
+    sqlnames.register(v.spark)
+    spread(v.table("pages")).createOrReplaceTempView("articleflow_pages")
+    return v.spark.sql(
+        """SELECT page_id,
+                  cut_at_word(plain_text(decode_entities(regexp_replace(html, '<[^>]+>', ''))), 400) AS excerpt,
+                  IF(reading_time(html) = '1 min read', 0L, CAST(split(reading_time(html), ' ')[0] AS BIGINT)) AS minutes
+           FROM articleflow_pages"""
+    ).selectExpr("page_id", "excerpt", "minutes")
+
+
+@query(
+    "sql_timeago",
+    f"""SELECT event_id, CASE WHEN gap >= 86400000000 THEN strftime(ts, '%Y-%m-%d %H:%M') ELSE {_AGO} END AS ago
+        FROM (SELECT *, abs(gap) // 1000000 AS s, CASE WHEN gap < 0 THEN ' from now' ELSE ' ago' END AS d
+              FROM (SELECT event_id, ts, epoch_us({AS_OF_SQL}) - epoch_us(ts) AS gap FROM events))""",
+)
+def sql_timeago(v: ReaderViews) -> DataFrame:
+    sqlnames.register(v.spark)
+    return v.table("events").selectExpr(
+        "event_id", "timeago(CAST(ts AS TIMESTAMP), TIMESTAMP '2024-01-30 12:00:00') AS ago"
+    )
+
+
 @query(
     "hashes",
     """SELECT entry_id, sha256(content) AS source_hash, sha256(content || chr(10) || '<p>' || title || '</p>') AS content_hash
