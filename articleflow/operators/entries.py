@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from articleflow.functions.text import text_or_empty
-from articleflow.operators.ordering import OrderedGroups, all_of, top_per_group
+from articleflow.operators.ordering import all_of, over_groups, top_per_group
 from articleflow.operators.sizing import attach
 from articleflow.operators.versions import changed_entries
 
@@ -253,12 +253,13 @@ def neighbours(entries: DataFrame, segment_rows: int | None = None) -> DataFrame
     keyed = entries.where(F.col("published_at").isNotNull()).select(
         "feed_id", "entry_id", "published_at", age.alias("_age")
     )
-    kw = {} if segment_rows is None else {"segment_rows": segment_rows}
-    groups = OrderedGroups.build(keyed, ["feed_id"], ["_age", "entry_id"], **kw)
-    return (
-        groups.neighbours({"prev_entry_id": ("entry_id", -1), "next_entry_id": ("entry_id", 1)})
-        .result()
-        .drop("_age")
+    wanted = {"prev_entry_id": ("entry_id", -1), "next_entry_id": ("entry_id", 1)}
+    return over_groups(
+        keyed,
+        ["feed_id"],
+        ["_age", "entry_id"],
+        lambda g: g.neighbours(wanted).result().drop("_age"),
+        segment_rows,
     )
 
 

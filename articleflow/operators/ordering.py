@@ -3,18 +3,21 @@
 A window puts a whole group into one task. Here a group above a size limit is cut into segments by
 ranges of its sort key; windows run per segment, and a summary with one row per segment carries
 values across the seams. The cut points come from a small sample, which affects only how even the
-segments are: the result is exact for any cut points. Groups within the limit stay one segment.
+segments are: the result is exact for any cut points. Groups within the limit are left whole.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from articleflow.session import cut_lineage
+
 SEGMENT_ROWS = 2_000_000
 MAX_HOT_GROUPS = 1_000
 SAMPLES_PER_SEGMENT = 60
@@ -76,38 +79,27 @@ class OrderedGroups:
     df: DataFrame
     keys: list[str]
     order: list[str]
-    hot: DataFrame | None = None
-    _tmp: list[str] = field(default_factory=list)
-
-    @classmethod
-    def build(
-        cls, df: DataFrame, keys: list[str], order: list[str], segment_rows: int = SEGMENT_ROWS
-    ) -> OrderedGroups:
-        cuts = _cut_points(df, keys, order, segment_rows)
-        if cuts is None:
-            return cls(df, keys, order)
-        # The hot groups are few by construction, and so are their cut points.
-        marked = df.join(F.broadcast(cuts), keys, "left")
-        below = F.filter(F.col("_cuts"), lambda c: c < _key_struct(order))
-        seg = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(below))
-        return cls(
-            marked.withColumn(_SEG, seg).drop("_cuts"), keys, order, cuts.select(*keys)
-        )
+    segmented: bool = False
+    steps: int = 0
 
     def _window(self):
-        keys = [*self.keys, _SEG] if self.hot is not None else self.keys
+        keys = [*self.keys, _SEG] if self.segmented else self.keys
         return Window.partitionBy(*keys).orderBy(*self.order)
 
     def _segments(self, *aggs: Column) -> DataFrame:
-        """One row per segment of the hot groups."""
-        return (
-            self.df.join(F.broadcast(self.hot), self.keys, "left_semi")
-            .groupBy(*self.keys, _SEG)
-            .agg(*aggs)
-        )
+        """One row per segment."""
+        return self.df.groupBy(*self.keys, _SEG).agg(*aggs)
 
     def with_rows(self, df: DataFrame) -> OrderedGroups:
-        return OrderedGroups(df, self.keys, self.order, self.hot)
+        """The same groups with other columns; rows, keys and order stay."""
+        return replace(self, df=df)
+
+    def _ready(self, df: DataFrame) -> DataFrame:
+        """Rows for a step that reads them twice; results of earlier steps are stored first."""
+        return cut_lineage(df) if self.segmented and self.steps else df
+
+    def _next(self, df: DataFrame) -> OrderedGroups:
+        return replace(self, df=df, steps=self.steps + 1)
 
     def _join_seams(self, df: DataFrame, seams: DataFrame) -> DataFrame:
         return df.join(F.broadcast(seams), [*self.keys, _SEG], "left")
@@ -119,13 +111,14 @@ class OrderedGroups:
         after = {n: c for n, (c, step) in columns.items() if step > 0}
         shifted = {n: F.lag(c).over(w) for n, c in before.items()}
         shifted.update({n: F.lead(c).over(w) for n, c in after.items()})
-        if self.hot is None:
-            return self.with_rows(self.df.withColumns(shifted))
+        if not self.segmented:
+            return self._next(self.df.withColumns(shifted))
         shifted["_first"] = F.lag(F.lit(1)).over(w).isNull()
         shifted["_last"] = F.lead(F.lit(1)).over(w).isNull()
-        df = self.df.withColumns(shifted)
+        rows = self._ready(self.df)
+        df = rows.withColumns(shifted)
         key = _key_struct(self.order)
-        edge = self._segments(
+        edge = self.with_rows(rows)._segments(
             F.max_by(F.struct(F.lit(1).alias("_"), *[F.col(c).alias(n) for n, c in before.items()]), key).alias("tail"),
             F.min_by(F.struct(F.lit(1).alias("_"), *[F.col(c).alias(n) for n, c in after.items()]), key).alias("head"),
         )
@@ -138,15 +131,15 @@ class OrderedGroups:
         fixed.update(
             {n: F.when(F.col("_last"), F.col("_head")[n]).otherwise(F.col(n)) for n in after}
         )
-        return self.with_rows(df.withColumns(fixed).drop("_first", "_last", "_tail", "_head"))
+        return self._next(df.withColumns(fixed).drop("_first", "_last", "_tail", "_head"))
 
     def running_sum(self, value: Column, out: str) -> OrderedGroups:
         """Add the sum of ``value`` over the group's rows up to and including this one."""
-        df = self.df.withColumn("_v", value.cast("bigint"))
+        df = self._ready(self.df.withColumn("_v", value.cast("bigint")))
         w = self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
         local = F.sum("_v").over(w)
-        if self.hot is None:
-            return self.with_rows(df.withColumn(out, local).drop("_v"))
+        if not self.segmented:
+            return self._next(df.withColumn(out, local).drop("_v"))
         ws = Window.partitionBy(*self.keys).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
         totals = (
             self.with_rows(df)
@@ -154,17 +147,17 @@ class OrderedGroups:
             .select(*self.keys, _SEG, F.sum("_t").over(ws).alias("_base"))
         )
         df = self._join_seams(df.withColumn(out, local), totals)
-        return self.with_rows(
+        return self._next(
             df.withColumn(out, F.col(out) + F.coalesce(F.col("_base"), F.lit(0))).drop("_v", "_base")
         )
 
     def carry_last(self, value: Column, out: str) -> OrderedGroups:
         """Add the nearest non-null ``value`` among the group's rows before this one."""
-        df = self.df.withColumn("_v", value)
+        df = self._ready(self.df.withColumn("_v", value))
         w = self._window().rowsBetween(Window.unboundedPreceding, -1)
         df_local = df.withColumn(out, F.last("_v", ignorenulls=True).over(w))
-        if self.hot is None:
-            return self.with_rows(df_local.drop("_v"))
+        if not self.segmented:
+            return self._next(df_local.drop("_v"))
         key = _key_struct(self.order)
         ws = Window.partitionBy(*self.keys).orderBy(_SEG).rowsBetween(Window.unboundedPreceding, -1)
         tails = (
@@ -173,7 +166,7 @@ class OrderedGroups:
             .select(*self.keys, _SEG, F.last("_t", ignorenulls=True).over(ws).alias("_base"))
         )
         out_df = self._join_seams(df_local, tails)
-        return self.with_rows(
+        return self._next(
             out_df.withColumn(out, F.coalesce(F.col(out), F.col("_base"))).drop("_v", "_base")
         )
 
@@ -181,6 +174,29 @@ class OrderedGroups:
         return self.df.drop(_SEG)
 
 
+def over_groups(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    work: Callable[[OrderedGroups], DataFrame],
+    segment_rows: int | None = None,
+) -> DataFrame:
+    """Run ``work`` on the groups of a table.
+
+    If every group is within the limit, that is one call. Otherwise the rows of the few larger
+    groups are stored once with their segment and worked on apart; the rest takes the plain way.
+    """
+    cuts = _cut_points(df, keys, order, segment_rows or SEGMENT_ROWS)
+    if cuts is None:
+        return work(OrderedGroups(df, keys, order))
+    cuts = F.broadcast(cuts)
+    below = F.filter(F.col("_cuts"), lambda c: c < _key_struct(order))
+    hot = df.join(cuts, keys).withColumn(_SEG, F.size(below)).drop("_cuts").select(*df.columns, _SEG)
+    large = work(OrderedGroups(cut_lineage(hot), keys, order, segmented=True))
+    usual = work(OrderedGroups(df.join(cuts, keys, "left_anti"), keys, order))
+    return usual.unionByName(large)
+
+
 def top_per_group(
     df: DataFrame, keys: list[str], order: list[Column], k: int, spread: int = 1, rank: str | None = None
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from articleflow.functions.text import slugify
-from articleflow.operators.ordering import OrderedGroups
+from articleflow.operators.ordering import over_groups
 from articleflow.schemas import schema_of
 from articleflow.session import cut_lineage
 
@@ -60,7 +60,9 @@ def unique_slugs(names: DataFrame, taken: DataFrame) -> DataFrame:
             .where("n IS NOT NULL")
             .join(waiting.select("base"), "base", "left_semi")
         )
-        held = OrderedGroups.build(holders, ["base"], ["n"]).running_sum(F.lit(1), "j").result()
+        held = over_groups(
+            holders, ["base"], ["n"], lambda g: g.running_sum(F.lit(1), "j").result()
+        )
         blocks = held.select(
             "base",
             (F.col("n") - F.col("j")).alias("pos"),
@@ -69,12 +71,18 @@ def unique_slugs(names: DataFrame, taken: DataFrame) -> DataFrame:
             F.lit(None).cast("string").alias("name"),
             F.col("n").alias("tie"),
         )
-        ranked = OrderedGroups.build(waiting, ["base"], ["seq"]).running_sum(F.lit(1), "r").result()
+        ranked = over_groups(
+            waiting, ["base"], ["seq"], lambda g: g.running_sum(F.lit(1), "r").result()
+        )
         asked = ranked.select(
             "base", F.col("r").alias("pos"), F.lit(0).alias("kind"), "seq", "name", F.col("r").alias("tie")
         )
-        line = OrderedGroups.build(blocks.unionByName(asked), ["base"], ["pos", "kind", "tie"])
-        placed = line.running_sum(F.col("kind"), "blocked").result().where("kind = 0")
+        placed = over_groups(
+            blocks.unionByName(asked),
+            ["base"],
+            ["pos", "kind", "tie"],
+            lambda g: g.running_sum(F.col("kind"), "blocked").result(),
+        ).where("kind = 0")
         n = F.col("pos") + F.col("blocked")
         slug = F.when(n == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), n.cast("string")))
         offered = placed.select("seq", "name", "base", slug.alias("slug"))

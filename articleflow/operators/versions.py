@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from articleflow.functions.text import source_hash, text_or_empty
-from articleflow.operators.ordering import OrderedGroups, top_per_group
+from articleflow.operators.ordering import OrderedGroups, over_groups, top_per_group
+from articleflow.session import cut_lineage
 
 
 def latest_snapshots(snapshots: DataFrame) -> DataFrame:
@@ -99,9 +100,17 @@ def detect_changes(
     order = ["_at", "source_hash", "_tie"]
     tie = F.concat_ws(":", F.coalesce("content_hash", F.lit("")), F.col("_ok").cast("string"))
     rows = rows.withColumns({"_tie": tie, "source_hash": text_or_empty(F.col("source_hash"))})
-    kw = {} if segment_rows is None else {"segment_rows": segment_rows}
-    groups = OrderedGroups.build(rows, ["entry_id"], order, **kw)
+    keep = [c for c in polls.columns if c != "force"]
+    return over_groups(
+        rows,
+        ["entry_id"],
+        order,
+        lambda groups: _decide(groups, stored, on_revert).select(*keep, "action", "version"),
+        segment_rows,
+    )
+
 
+def _decide(groups: OrderedGroups, stored: DataFrame | None, on_revert: str) -> DataFrame:
     # Existence: a stored version or an earlier successful extraction. A failed on-demand fetch
     # leaves no trace, every other poll leaves its source hash.
     leaves = F.when(F.col("_ok") | ~F.col("force"), F.col("source_hash"))
@@ -119,7 +128,7 @@ def detect_changes(
     df = df.withColumn("_store", F.col("_ok") & ~F.col("_skip") & ~F.col("_backfill"))
 
     if on_revert == "touch":
-        df = _mark_first(df, groups, order)
+        df = _mark_first(df, groups)
         if stored is not None:
             known = stored.select("entry_id", "content_hash", F.lit(True).alias("_known")).distinct()
             df = df.join(known, ["entry_id", "content_hash"], "left")
@@ -150,21 +159,21 @@ def detect_changes(
         .otherwise("revert_touch")
     )
     version = (F.coalesce("_base_version", F.lit(0)) + F.col("_inserts")).cast("int")
-    keep = [c for c in polls.columns if c != "force"]
-    return df.select(*keep, action.alias("action"), version.alias("version"))
+    return df.withColumns({"action": action, "version": version})
 
 
-def _mark_first(df: DataFrame, groups: OrderedGroups, order: list[str]) -> DataFrame:
+def _mark_first(df: DataFrame, groups: OrderedGroups) -> DataFrame:
     """Flag ``_earliest`` on the first stored poll of every content of an entry.
 
-    While all entries are of moderate size a window does, on the partitioning by entry the rows
-    already have. Otherwise the first polls are aggregated per (entry, content), which combines
+    For entries of moderate size a window does, on the partitioning by entry the rows
+    already have. For large ones the first polls are aggregated per (entry, content), which combines
     before its shuffle, and joined back.
     """
-    if groups.hot is None:
-        w = Window.partitionBy("entry_id", "content_hash", "_store").orderBy(*order)
+    if not groups.segmented:
+        w = Window.partitionBy("entry_id", "content_hash", "_store").orderBy(*groups.order)
         return df.withColumn("_earliest", F.row_number().over(w) == 1)
-    point = F.struct(*order)
+    df = cut_lineage(df)
+    point = F.struct(*groups.order)
     firsts = df.where("_store").groupBy("entry_id", "content_hash").agg(F.min(point).alias("_first"))
     joined = df.join(firsts, ["entry_id", "content_hash"], "left")
     return joined.withColumn("_earliest", F.col("_first") == point)
@@ -189,18 +198,16 @@ def throughput(decided: DataFrame) -> DataFrame:
 
 def version_pairs(snapshots: DataFrame, segment_rows: int | None = None) -> DataFrame:
     """Every version next to the one before it, where the text differs."""
-    kw = {} if segment_rows is None else {"segment_rows": segment_rows}
     narrow = snapshots.select("entry_id", "version", "fetched_at", "content_text")
+    before = {
+        "from_version": ("version", -1),
+        "from_fetched_at": ("fetched_at", -1),
+        "from_text": ("content_text", -1),
+    }
     return (
-        OrderedGroups.build(narrow, ["entry_id"], ["version"], **kw)
-        .neighbours(
-            {
-                "from_version": ("version", -1),
-                "from_fetched_at": ("fetched_at", -1),
-                "from_text": ("content_text", -1),
-            }
+        over_groups(
+            narrow, ["entry_id"], ["version"], lambda g: g.neighbours(before).result(), segment_rows
         )
-        .result()
         .where(F.col("from_version").isNotNull())
         .withColumnsRenamed(
             {"version": "to_version", "fetched_at": "to_fetched_at", "content_text": "to_text"}

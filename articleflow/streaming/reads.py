@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from articleflow.operators.ordering import OrderedGroups, top_per_group
+from articleflow.operators.ordering import over_groups, top_per_group
 
 
 def daily_reads(read_events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -57,6 +57,8 @@ def unread_deltas(log: DataFrame) -> DataFrame:
     The first poll only sets the level.
     """
     keyed = log.select(F.lit(1).alias("_all"), "poll", "count")
-    rows = OrderedGroups.build(keyed, ["_all"], ["poll"]).neighbours({"_last": ("count", -1)}).result()
+    rows = over_groups(
+        keyed, ["_all"], ["poll"], lambda g: g.neighbours({"_last": ("count", -1)}).result()
+    )
     new = F.greatest(F.col("count") - F.coalesce("_last", "count"), F.lit(0))
     return rows.select("poll", "count", new.alias("new"))

@@ -21,7 +21,7 @@ from articleflow.operators import (
     versions,
 )
 from articleflow.operators.entries import EntryQuery
-from articleflow.operators.ordering import OrderedGroups, top_per_group
+from articleflow.operators.ordering import over_groups, top_per_group
 from articleflow.operators.sizing import attach
 from articleflow.sources import tables
 
@@ -44,25 +44,37 @@ def skewed(spark):
 
 
 def test_segments_are_cut(skewed):
-    groups = OrderedGroups.build(skewed, ["g"], ["t", "id"], segment_rows=100)
-    sizes = groups.df.where("g = 0").groupBy("_segment").count().collect()
+    seen = []
+
+    def work(groups):
+        seen.append(groups)
+        return groups.result()
+
+    out = over_groups(skewed, ["g"], ["t", "id"], work, segment_rows=200)
+    large, usual = seen
+    sizes = large.df.groupBy("_segment").count().collect()
+    assert {r["g"] for r in large.df.select("g").distinct().collect()} == {0}
     assert len(sizes) > 3 and max(r["count"] for r in sizes) < 600
+    assert usual.df.where("g = 0").isEmpty() and out.count() == skewed.count()
 
 
 @pytest.mark.parametrize("what", ["neighbours", "running_sum", "carry_last"])
 def test_segments_change_nothing(skewed, what):
-    def run(limit):
-        groups = OrderedGroups.build(skewed, ["g"], ["t", "id"], segment_rows=limit)
+    def work(groups):
         if what == "neighbours":
             groups = groups.neighbours({"before": ("id", -1), "after": ("id", 1)})
         elif what == "running_sum":
             groups = groups.running_sum(F.col("hit"), "hits")
         else:
             groups = groups.carry_last(F.when(F.col("hit"), F.col("id")), "last_hit")
-        return groups.result().select("g", "t", "id", *[c for c in groups.df.columns if c in ("before", "after", "hits", "last_hit")])
+        return groups.result()
+
+    def run(limit):
+        out = over_groups(skewed, ["g"], ["t", "id"], work, limit)
+        return sorted(repr(r) for r in out.select(sorted(out.columns)).collect())
 
-    plain, cut = rows(run(10_000)), rows(run(40))
-    assert plain and sorted(map(repr, plain)) == sorted(map(repr, cut))
+    plain = run(10_000)
+    assert plain and plain == run(40) == run(200)
 
 
 @pytest.fixture
