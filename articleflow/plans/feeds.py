@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from articleflow.functions import feedtext
 from articleflow.operators import discovery, feeds, rules, sharing, sitesettings, state
+from articleflow.operators.sizing import spread
 from articleflow.plans.registry import AS_OF_SQL, query
 from articleflow.sources import outline, tables
 from articleflow.sources.feedxml import parse_feed_items
-from articleflow.sources.readerviews import ReaderViews, as_of
 from articleflow.session import work_folder
-
-_NTZ_AS_OF = "TIMESTAMP_NTZ '2024-01-30 12:00:00'"
+from articleflow.sources.readerviews import ReaderViews, as_of
 
 
 @query(
@@ -454,7 +453,7 @@ def feed_items(v: ReaderViews) -> DataFrame:
     lines = "split(regexp_replace(text, '[^A-Za-z\\n ]', ''), '\\n')"
     item = """transform({lines}, (line, i) -> concat('<', tag, '><title>', line, '</title>',
                 IF(i % 2 = 1, concat('<', dt, '>day ', i + 1, '</', dt, '>'), ''), '</', tag, '>'))"""
-    bodies = v.table("documents").selectExpr(
+    bodies = spread(v.table("documents")).selectExpr(
         "doc_id", "text", "IF(doc_id % 2 = 0, 'item', 'entry') AS tag", "IF(doc_id % 2 = 0, 'pubDate', 'updated') AS dt"
     ).selectExpr(
         "concat('d', doc_id) AS url",

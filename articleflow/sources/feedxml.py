@@ -53,5 +53,5 @@ def parse_feed_items(bodies: DataFrame, limit: int | None = 3) -> DataFrame:
                     rows.append((url, pos, title, published))
             yield pd.DataFrame(rows, columns=["url", "pos", "title", "published"])
 
-    xmlish = bodies.where(F.contains(F.col("body"), F.lit("<"))).select("url", "body")
-    return spread(xmlish).mapInPandas(parse, "url string, pos int, title string, published string")
+    xmlish = spread(bodies.where(F.contains("body", F.lit("<"))).select("url", "body"))
+    return xmlish.mapInPandas(parse, "url string, pos int, title string, published string")
