@@ -140,7 +140,8 @@ def _tiles(cells: DataFrame, tile_rows: int) -> DataFrame:
         F.ceil(F.count_if("resident") / tile_rows).cast("int").alias("blocks_a"),
         F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("blocks_b"),
     )
-    sized = cells.join(sizes, "cell").where("blocks_a > 0")
+    # One row per pivot or hash bucket, a number fixed by the caller.
+    sized = cells.join(F.broadcast(sizes), "cell").where("blocks_a > 0")
     spot = F.xxhash64("group_id")
     every_a = F.transform(
         F.sequence(F.lit(0), F.col("blocks_a") - 1),

@@ -118,7 +118,7 @@ class ReaderViews:
             "CAST(turn + 1 AS INT) AS version",
             "text AS content_text",
             "concat('<p>', text, '</p>') AS content_html",
-            f"{_DAY0} + make_dt_interval(0, 0, CAST(conv_id * 60 + turn AS INT)) AS fetched_at",
+            f"{_DAY0} + make_dt_interval(CAST(conv_id DIV 24 AS INT), CAST(conv_id % 24 AS INT), CAST(turn AS INT)) AS fetched_at",
             """CASE conv_id % 4
                  WHEN 0 THEN concat('{"summary":"old ', turn, '"}')
                  WHEN 1 THEN concat('{"summaries":{"default":"d', turn, '","eli5":"e', turn, '"}}')
@@ -132,7 +132,7 @@ class ReaderViews:
             "conv_id",
             "turn",
             "text",
-            f"{_DAY0} + make_dt_interval(0, 0, CAST(conv_id * 60 + turn AS INT)) AS polled_at",
+            f"{_DAY0} + make_dt_interval(CAST(conv_id DIV 24 AS INT), CAST(conv_id % 24 AS INT), CAST(turn AS INT)) AS polled_at",
         )
         again = F.expr("IF((conv_id + turn) % 3 = 0, array(0, 30), array(0))")
         return once.withColumn("delay", F.explode(again)).selectExpr(
