@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from articleflow.llm import bpe_codec, packing, token_counts
+from articleflow.llm import bagminhash, bpe_codec, packing, token_counts
 from articleflow.llm.bpe import Tokenizer
 from articleflow.llm.common import read_table
 
@@ -51,3 +51,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     tokenizer = Tokenizer.read(path, public_tokenizers.PATTERN)
     return bpe_codec.digests(bpe_codec.encode(docs, tokenizer), tokenizer)
+
+
+@query
+def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(read_table(spark, sf_dir, "documents"))
