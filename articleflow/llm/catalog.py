@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from articleflow.llm import bagminhash, bpe_codec, packing, token_counts
+from articleflow.llm import bagminhash, bpe_codec, packing, secrets, token_counts, url_rules
 from articleflow.llm.bpe import Tokenizer
 from articleflow.llm.common import read_table
 
@@ -33,6 +33,11 @@ def base_tokenizer() -> Tokenizer:
     return Tokenizer.read(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
@@ -45,6 +50,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), base_tokenizer())
 
 
+@query
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of a labelled document has its number; toxic or poor documents speak for a block."""
+    pages = read_table(spark, sf_dir, "pages")
+    labels = read_table(spark, sf_dir, "labels")
+    blocked = ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("blocked")
+    labelled = pages.select(F.col("page_id").alias("doc_id"), "url").join(
+        labels.select("doc_id", blocked), "doc_id"
+    )
+    return url_rules.judge(pages, labelled)
+
+
 @query
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
