@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from articleflow.llm import bagminhash, bpe_codec, packing, secrets, token_counts, url_rules
+from articleflow.llm import (
+    bagminhash,
+    bpe_codec,
+    cell_dedup,
+    cross_polytope,
+    packing,
+    secrets,
+    token_counts,
+    url_rules,
+)
 from articleflow.llm.bpe import Tokenizer
 from articleflow.llm.common import read_table
 
@@ -50,6 +59,17 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), base_tokenizer())
 
 
+@query
+def op6_cell_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cell_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_table(spark, sf_dir, "embeddings")
+    return cross_polytope.search(table, F.col("vec_id") % 20 == 0)
+
+
 @query
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page of a labelled document has its number; toxic or poor documents speak for a block."""

@@ -141,7 +141,7 @@ def _dense(word: Column, at: Column, rules: SecretRules, cls: CharacterClass, ra
         places = F.sequence(F.lit(0), F.size(codes) - 1)
         return F.aggregate(places, first, step, closed)
 
-    codes = F.transform(F.split(word, "(?!^)"), lambda c: F.instr(F.lit(letters), c) - 1)
+    codes = F.transform(F.split(word, "(?!^)(?!$)"), lambda c: F.instr(F.lit(letters), c) - 1)
     return _let(codes, slide)
 
 
