@@ -117,8 +117,9 @@ def dedup(
     options: SubstringDedup = SubstringDedup(),
     id_col: str = "doc_id",
     text_col: str = "text",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per row of ``docs``: id, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by one
+    """Per row of ``docs``: a struct ``row`` of the columns ``carry`` (if any), id, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by one
     space) and ``kept_sha256``.
 
     A word goes if it lies in a run of ``words`` words that also starts in a document of a smaller id,
@@ -127,8 +128,10 @@ def dedup(
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if carry:
+        texts = docs.select(F.struct(*carry).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     texts = texts.withColumn("print", F.xxhash64("text"))
-    known = texts.where("doc_id is not null and text is not null")
+    known = texts.where("doc_id is not null and text is not null").select("doc_id", "text", "print")
     found = shared(recurring(known, options))
     total = found.groupBy("window").agg(F.lit(1).alias("n")).count()
     shards = max(1, -(-total // options.shard))
@@ -196,7 +199,9 @@ def dedup(
     places = places.groupBy("doc_id", "print").agg(
         F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")
     )
-    joined = texts.join(places, ["doc_id", "print"], "left").select("doc_id", "text", "starts", "ends")
+    joined = texts.join(places, ["doc_id", "print"], "left").select(
+        *(["row"] if carry else []), "doc_id", "text", "starts", "ends"
+    )
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         total, removed, kept = [], [], []
@@ -209,10 +214,14 @@ def dedup(
             removed.append(int(gone.sum()))
             kept.append(" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
         digests = [hashlib.sha256(k.encode()).hexdigest() for k in kept]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string())],
-            names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"],
-        )
-
-    out = map_slices(joined, cut, f"doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string")
+        arrays = [pa.array(v, pa.int64()) for v in (total, removed)]
+        arrays += [pa.array(v, pa.string()) for v in (kept, digests)]
+        names = ["n_words", "n_removed", "kept_text", "kept_sha256"]
+        own = ["row", "doc_id"] if carry else ["doc_id"]
+        return pa.RecordBatch.from_arrays([*map(batch.column, own), *arrays], names=own + names)
+
+    schema = f"doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string"
+    if carry:
+        schema = f"row {joined.schema['row'].dataType.simpleString()}, {schema}"
+    out = map_slices(joined, cut, schema)
     return out.withColumnRenamed("doc_id", id_col)
