@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from articleflow.functions.htmlparse import PageParser
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -25,7 +25,7 @@ def resolve_fetch(requests: DataFrame, attempts: DataFrame) -> DataFrame:
     return requests.join(won.select("url", "stage", "body"), "url", "left")
 
 
-class _Links(HTMLParser):
+class _Links(PageParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.found: list[dict[str, str]] = []

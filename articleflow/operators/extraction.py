@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from html import escape
-from html.parser import HTMLParser
+from articleflow.functions.htmlparse import PageParser
 from urllib.parse import quote, urljoin
 
 import pandas as pd
@@ -60,7 +60,7 @@ _BLOCK_ARROW = pa.list_(
 )
 
 
-class _Blocks(HTMLParser):
+class _Blocks(PageParser):
     """Cuts a page into runs of inline content, each with the path of elements around it.
 
     A path step reads ``/tag#number{attribute="value"}…`` with values percent-encoded, so that

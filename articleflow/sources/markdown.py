@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from articleflow.functions.htmlparse import PageParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,7 +20,7 @@ _BLOCKS = {"p", "div", "article", "section", "table", "tr", "figure", "figcaptio
 _SKIP = {"script", "style"}
 
 
-class _Writer(HTMLParser):
+class _Writer(PageParser):
     """Collects the Markdown of one article."""
 
     def __init__(self) -> None:
