@@ -10,21 +10,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Health buckets in order of severity with label and remedy.
+# Names of the health buckets in order of severity, and remedies. Labels are our own words.
 BUCKETS: list[tuple[str, str, str | None]] = [
-    ("http_404", "HTTP 404 — URL not found", "auto-discover"),
-    ("not_a_feed", "Not a feed — URL returns HTML", "auto-discover"),
-    ("bot_blocked", "Bot-protected — blocked by a firewall", "set-proxy"),
-    ("server_5xx", "Server error (5xx)", "bulk-refresh"),
-    ("auth", "Authentication required", None),
-    ("tls", "TLS / certificate error", "allow-self-signed"),
-    ("unsupported_scheme", "Unsupported URL scheme (not real feeds)", "pause-polling"),
-    ("dns_fail", "DNS lookup failed", "pause-polling"),
-    ("connect_fail", "Connection failed", "pause-polling"),
-    ("other", "Other errors", "pause-polling"),
-    ("stale", "Stale (not polled in 24h)", None),
-    ("paused", "Paused — polling disabled, entries kept", "resume-polling"),
-    ("ok", "Healthy", None),
+    ("http_404", "Address no longer exists (404)", "auto-discover"),
+    ("not_a_feed", "A web page where a feed was expected", "auto-discover"),
+    ("bot_blocked", "Refused as automated traffic", "set-proxy"),
+    ("server_5xx", "The site failed to answer (5xx)", "bulk-refresh"),
+    ("auth", "A login is needed", None),
+    ("tls", "Secure connection could not be set up", "allow-self-signed"),
+    ("unsupported_scheme", "Address of a kind that cannot be fetched", "pause-polling"),
+    ("dns_fail", "Host name unknown", "pause-polling"),
+    ("connect_fail", "Host did not accept a connection", "pause-polling"),
+    ("other", "Failed for another reason", "pause-polling"),
+    ("stale", "No poll for a day", None),
+    ("paused", "Polling switched off by the user", "resume-polling"),
+    ("ok", "Working", None),
 ]
 
 # Limits of the health check.

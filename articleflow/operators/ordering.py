@@ -14,12 +14,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from articleflow.session import cut_lineage
 
 SEGMENT_ROWS = 2_000_000
-MAX_HOT_GROUPS = 1_000
 SAMPLES_PER_SEGMENT = 60
 _SEG = "_segment"
 
@@ -28,48 +26,35 @@ def _key_struct(order: list[str]) -> Column:
     return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
 
 
+def _same_group(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    """Null keys form a group too, so they are equal here."""
+    return all_of([left[k].eqNullSafe(right[f"_key_{k}"]) for k in keys])
+
+
 def _cut_points(
     df: DataFrame, keys: list[str], order: list[str], segment_rows: int
 ) -> DataFrame | None:
-    """Table (keys, cuts) for groups above the limit; None when there is no such group."""
-    spark = df.sparkSession
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    top = sizes.agg(F.max("_n").alias("largest"), F.sum("_n").alias("total")).first()
-    if top is None or top.largest is None or top.largest <= segment_rows:
-        return None
-    # At most MAX_HOT_GROUPS groups can exceed this share of the table.
-    limit = max(segment_rows, top.total // MAX_HOT_GROUPS)
-    hot = sizes.where(F.col("_n") > limit).collect()
-    if not hot:
-        return None
-    hot_rows = sum(r["_n"] for r in hot)
-    key_fields = [df.schema[k] for k in keys]
-    hot_keys = spark.createDataFrame(
-        [tuple(r[k] for k in keys) for r in hot], T.StructType(key_fields)
-    )
-    wanted = SAMPLES_PER_SEGMENT * sum(-(-r["_n"] // limit) for r in hot)
-    sample = (
-        df.select(*keys, *[c for c in order if c not in keys])
-        .join(F.broadcast(hot_keys), keys, "left_semi")
-        .sample(fraction=min(1.0, wanted / hot_rows), seed=7)
-        .collect()
-    )
-    by_key: dict[tuple, list[tuple]] = {}
-    for row in sample:
-        by_key.setdefault(tuple(row[k] for k in keys), []).append(tuple(row[c] for c in order))
-    cuts = []
-    for key, points in by_key.items():
-        points.sort()
-        chosen = sorted(set(points[SAMPLES_PER_SEGMENT::SAMPLES_PER_SEGMENT]))
-        if chosen:
-            cuts.append((*key, chosen))
-    if not cuts:
+    """Table (keys named ``_key_…``, cuts) of every group above the limit; None when there is none.
+
+    The limit is the same for any table and any number of groups. Cut points stay in a stored table,
+    one for about every ``segment_rows`` rows of a large group, and never pass through the driver.
+    """
+    named = [F.col(k).alias(f"_key_{k}") for k in keys]
+    sizes = df.groupBy(*named).agg(F.count(F.lit(1)).alias("_n"))
+    hot = cut_lineage(sizes.where(F.col("_n") > segment_rows))
+    if hot.isEmpty():
         return None
-    point = T.StructType(
-        [T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(order)]
-    )
-    schema = T.StructType([*key_fields, T.StructField("_cuts", T.ArrayType(point))])
-    return spark.createDataFrame(cuts, schema)
+    rows = df.select(*keys, *[c for c in order if c not in keys])
+    share = F.lit(SAMPLES_PER_SEGMENT) * F.ceil(F.col("_n") / segment_rows) / F.col("_n")
+    points = rows.join(hot, _same_group(rows, hot, keys)).where(F.rand(7) < share)
+    names = [f"_key_{k}" for k in keys]
+    sorted_points = F.array_sort(F.collect_list(_key_struct(order)))
+    every = F.filter(sorted_points, lambda _, i: (i > 0) & (i % SAMPLES_PER_SEGMENT == 0))
+    sampled = points.groupBy(*names).agg(F.array_distinct(every).alias("_cuts"))
+    # A large group stays in the table even if its sample gives no cut.
+    again = sampled.select(*[F.col(n).alias(n[len("_key_") :]) for n in names], "_cuts")
+    joined = hot.join(again, _same_group(again, hot, keys), "left")
+    return cut_lineage(joined.select(*names, F.coalesce("_cuts", F.array()).alias("_cuts")))
 
 
 @dataclass
@@ -102,7 +87,10 @@ class OrderedGroups:
         return replace(self, df=df, steps=self.steps + 1)
 
     def _join_seams(self, df: DataFrame, seams: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(seams), [*self.keys, _SEG], "left")
+        """Spark broadcasts the seams if they are small enough; segments bound its partitions if not."""
+        named = seams.withColumnsRenamed({c: f"_key_{c}" for c in (*self.keys, _SEG)})
+        joined = df.join(named, _same_group(df, named, [*self.keys, _SEG]), "left")
+        return joined.drop(*[f"_key_{c}" for c in (*self.keys, _SEG)])
 
     def neighbours(self, columns: dict[str, tuple[str, int]]) -> OrderedGroups:
         """Add columns holding a value of the previous (-1) or next (+1) row of the group."""
@@ -183,17 +171,18 @@ def over_groups(
 ) -> DataFrame:
     """Run ``work`` on the groups of a table.
 
-    If every group is within the limit, that is one call. Otherwise the rows of the few larger
-    groups are stored once with their segment and worked on apart; the rest takes the plain way.
+    If every group is within the limit, that is one call. Otherwise the rows of the larger groups,
+    however many, are stored once with their segment and worked on apart; the rest takes the plain
+    way. A group of null keys is a group like others.
     """
     cuts = _cut_points(df, keys, order, segment_rows or SEGMENT_ROWS)
     if cuts is None:
         return work(OrderedGroups(df, keys, order))
-    cuts = F.broadcast(cuts)
     below = F.filter(F.col("_cuts"), lambda c: c < _key_struct(order))
-    hot = df.join(cuts, keys).withColumn(_SEG, F.size(below)).drop("_cuts").select(*df.columns, _SEG)
+    same = _same_group(df, cuts, keys)
+    hot = df.join(cuts, same).withColumn(_SEG, F.size(below)).select(*df.columns, _SEG)
     large = work(OrderedGroups(cut_lineage(hot), keys, order, segmented=True))
-    usual = work(OrderedGroups(df.join(cuts, keys, "left_anti"), keys, order))
+    usual = work(OrderedGroups(df.join(cuts, same, "left_anti"), keys, order))
     return usual.unionByName(large)
 
 

@@ -24,7 +24,13 @@ def builtin_prompts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schema_of("summary_prompts"))
 
 
-def list_prompts(prompts: DataFrame) -> DataFrame:
+def list_prompts(prompts: DataFrame, position: str | None = None) -> DataFrame:
+    """Prompts in list order, built-in ones first; ``position`` names a column for the place, from 1."""
+    if position:
+        keyed = prompts.withColumns({"_all": F.lit(1), "_own": ~F.col("is_builtin")})
+        order = ["_own", "name", "id"]
+        placed = over_groups(keyed, ["_all"], order, lambda g: g.running_sum(F.lit(1), position).result())
+        prompts = placed.drop("_all", "_own")
     return prompts.orderBy(F.desc("is_builtin"), "name", "id")
 
 

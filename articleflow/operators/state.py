@@ -109,18 +109,20 @@ def bulk_result(attempts: DataFrame) -> DataFrame:
 
 def set_config(config: DataFrame, changes: DataFrame) -> DataFrame:
     """Feed settings after changes: feed_id, at and any of priority, fetch_full_content,
-    extract_rules. Priority is kept within 1..3, a missing column or null leaves the old value."""
+    extract_rules. Every column takes its own latest value that is not null, so changes of different
+    columns never undo each other; without one the old value stays. Priority is kept within 1..3."""
     if "priority" in changes.columns:
         changes = changes.withColumn("priority", clamp(F.col("priority"), 1, 3))
     defaults = {"priority": 2, "fetch_full_content": False}
     return upsert_columns(
-        config, changes, ["feed_id"], [F.desc("at")], {k: v for k, v in defaults.items() if k in config.columns}
+        config, changes, ["feed_id"], F.col("at"), {k: v for k, v in defaults.items() if k in config.columns}
     )
 
 
 def toggled(config: DataFrame, feed_ids: DataFrame, column: str = "fetch_full_content") -> DataFrame:
-    """Settings with a flag inverted for the given feeds; a feed without settings gets a row."""
-    asked = feed_ids.select("feed_id").distinct().withColumn("_asked", F.lit(True))
+    """Settings with a flag inverted once per row of ``feed_ids``, so an even number of rows leaves it
+    as it was; a feed without settings gets a row."""
+    asked = feed_ids.groupBy("feed_id").agg((F.count(F.lit(1)) % 2 == 1).alias("_asked"))
     joined = config.join(asked, "feed_id", "full_outer")
     flag = F.coalesce(F.col(column), F.lit(False)) != F.coalesce("_asked", F.lit(False))
     out = joined.withColumn(column, flag).drop("_asked")
@@ -132,18 +134,21 @@ def toggled(config: DataFrame, feed_ids: DataFrame, column: str = "fetch_full_co
 def apply_discovered(feeds: DataFrame, updates: DataFrame) -> DataFrame:
     """Feeds after accepted discoveries: new address, and title and site where given.
 
-    ``updates``: feed_id, new_url, new_title, new_site_url.
+    ``updates``: feed_id, new_url, new_title, new_site_url, and ``at`` if a feed may have several.
+    They fold into one row per feed before the join: per column the latest value that is not blank,
+    the greatest one where times are equal or missing. So feeds keep one row each.
     """
 
     def given(col: str) -> Column:
         trimmed = F.trim(text_or_empty(F.col(col)))
         return F.when(trimmed != "", trimmed)
 
-    joined = feeds.join(updates, "feed_id", "left")
-    return joined.withColumns(
-        {
-            "feed_url": F.coalesce("new_url", "feed_url"),
-            "title": F.coalesce(given("new_title"), F.col("title")),
-            "site_url": F.coalesce(given("new_site_url"), F.col("site_url")),
-        }
-    ).drop("new_url", "new_title", "new_site_url")
+    at = F.col("at") if "at" in updates.columns else F.lit(None).cast("timestamp")
+    names = {"feed_url": "new_url", "title": "new_title", "site_url": "new_site_url"}
+    latest = [
+        F.max(F.when(given(n).isNotNull(), F.struct(at.alias("at"), given(n).alias("value"))))["value"].alias(f"_{n}")
+        for n in names.values()
+    ]
+    joined = feeds.join(updates.groupBy("feed_id").agg(*latest), "feed_id", "left")
+    taken = {c: F.coalesce(f"_{n}", c) for c, n in names.items()}
+    return joined.withColumns(taken).drop(*[f"_{n}" for n in names.values()])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from articleflow.functions.text import source_hash, text_or_empty
 from articleflow.operators.ordering import OrderedGroups, over_groups, top_per_group
 from articleflow.session import cut_lineage
+from articleflow.sources.tables import insert_absent
 
 
 def latest_snapshots(snapshots: DataFrame) -> DataFrame:
@@ -32,9 +33,9 @@ def next_versions(snapshots: DataFrame) -> DataFrame:
 
 
 def unique_snapshots(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """New snapshots whose (entry, content) is not stored yet; the append stays idempotent."""
-    keys = ["entry_id", "content_hash"]
-    return new.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+    """New snapshots whose (entry, content) is not stored yet, the smallest row of equal ones; the
+    append stays idempotent."""
+    return insert_absent(stored, new, ["entry_id", "content_hash"])
 
 
 def detect_changes(

@@ -368,7 +368,7 @@ _BODIES = """CASE doc_id % 10
 
 
 def _bodies(v: ReaderViews) -> DataFrame:
-    clean = "regexp_replace(substring(text, 1, 60), '[^A-Za-z ]', ' ') AS title"
+    clean = "regexp_replace(text, '[^A-Za-z ]', ' ') AS title"
     return v.table("documents").selectExpr("doc_id", clean).selectExpr("doc_id", f"{_BODIES} AS body")
 
 
@@ -423,16 +423,24 @@ def url_routes(v: ReaderViews) -> DataFrame:
 
 @query(
     "apply_discovered",
-    """SELECT f.feed_id, CASE WHEN f.feed_id % 2 = 0 THEN 'https://new.example.org/' || f.feed_id ELSE feed_url END AS feed_url,
-              CASE WHEN f.feed_id % 4 = 0 THEN 'T' || f.feed_id ELSE title END AS title,
-              CASE WHEN f.feed_id % 6 = 0 THEN 'https://s.example.org' ELSE site_url END AS site_url FROM v_feeds f""",
+    """WITH u AS (SELECT doc_id, doc_id % 25 AS feed_id, 'https://new.example.org/' || doc_id AS new_url,
+                     CASE WHEN doc_id % 3 = 0 THEN 'T' || doc_id END AS new_title,
+                     CASE WHEN doc_id % 7 = 0 THEN 'https://s.example.org/' || doc_id END AS new_site_url
+              FROM documents WHERE doc_id % 2 = 0),
+       l AS (SELECT feed_id, arg_max(new_url, doc_id) AS new_url,
+                    arg_max(new_title, doc_id) FILTER (WHERE new_title IS NOT NULL) AS new_title,
+                    arg_max(new_site_url, doc_id) FILTER (WHERE new_site_url IS NOT NULL) AS new_site_url FROM u GROUP BY 1)
+       SELECT f.feed_id, coalesce(new_url, feed_url) AS feed_url, coalesce(new_title, title) AS title,
+              coalesce(new_site_url, site_url) AS site_url FROM v_feeds f LEFT JOIN l USING (feed_id)""",
 )
 def apply_discovered(v: ReaderViews) -> DataFrame:
-    updates = v.feeds().where("feed_id % 2 = 0").selectExpr(
-        "feed_id",
-        "concat('https://new.example.org/', feed_id) AS new_url",
-        "IF(feed_id % 4 = 0, concat(' T', feed_id), '  ') AS new_title",
-        "IF(feed_id % 6 = 0, 'https://s.example.org', NULL) AS new_site_url",
+    """Many partial updates per feed, some with blank values."""
+    updates = v.table("documents").where("doc_id % 2 = 0").selectExpr(
+        "doc_id % 25 AS feed_id",
+        "doc_id AS at",
+        "concat('https://new.example.org/', doc_id) AS new_url",
+        "IF(doc_id % 3 = 0, concat(' T', doc_id), '  ') AS new_title",
+        "IF(doc_id % 7 = 0, concat('https://s.example.org/', doc_id), NULL) AS new_site_url",
     )
     return state.apply_discovered(v.feeds(), updates).select("feed_id", "feed_url", "title", "site_url")
 
@@ -567,18 +575,21 @@ def bulk_result(v: ReaderViews) -> DataFrame:
 @query(
     "config_upsert",
     """WITH ch AS (SELECT user_id % 25 AS feed_id, event_id, ts,
-                     CASE WHEN event_id % 3 > 0 THEN CAST(event_id % 9 AS INTEGER) - 2 END AS priority FROM events),
-       last AS (SELECT * FROM ch QUALIFY row_number() OVER (PARTITION BY feed_id ORDER BY ts DESC, event_id DESC) = 1)
+                     CASE WHEN event_id % 3 = 1 THEN CAST(event_id % 9 AS INTEGER) - 2 END AS priority,
+                     CASE WHEN event_id % 3 = 2 THEN event_id % 2 = 0 END AS full_text FROM events),
+       last AS (SELECT feed_id, arg_max(priority, (ts, event_id)) FILTER (WHERE priority IS NOT NULL) AS priority,
+                       arg_max(full_text, (ts, event_id)) FILTER (WHERE full_text IS NOT NULL) AS full_text FROM ch GROUP BY 1)
        SELECT coalesce(c.feed_id, l.feed_id) AS feed_id,
               coalesce(CASE WHEN l.priority IS NOT NULL THEN least(3, greatest(1, l.priority)) END, c.priority, 2) AS priority,
-              coalesce(c.fetch_full_content, false) AS fetch_full_content
+              coalesce(l.full_text, c.fetch_full_content, false) AS fetch_full_content
        FROM v_feed_config c FULL JOIN last l USING (feed_id)""",
 )
 def config_upsert(v: ReaderViews) -> DataFrame:
     changes = v.table("events").selectExpr(
         "user_id % 25 AS feed_id",
         "struct(ts, event_id) AS at",
-        "IF(event_id % 3 > 0, CAST(event_id % 9 AS INT) - 2, NULL) AS priority",
+        "IF(event_id % 3 = 1, CAST(event_id % 9 AS INT) - 2, NULL) AS priority",
+        "IF(event_id % 3 = 2, event_id % 2 = 0, NULL) AS fetch_full_content",
     )
     return state.set_config(v.feed_config(), changes).select("feed_id", "priority", "fetch_full_content")
 
@@ -586,8 +597,8 @@ def config_upsert(v: ReaderViews) -> DataFrame:
 @query(
     "config_toggle",
     """SELECT coalesce(c.feed_id, a.feed_id) AS feed_id, coalesce(c.priority, 2) AS priority,
-              coalesce(c.fetch_full_content, false) <> (a.feed_id IS NOT NULL) AS fetch_full_content
-       FROM v_feed_config c FULL JOIN (SELECT DISTINCT user_id % 25 AS feed_id FROM events WHERE event_type = 'click') a USING (feed_id)""",
+              coalesce(c.fetch_full_content, false) <> coalesce(a.n % 2 = 1, false) AS fetch_full_content
+       FROM v_feed_config c FULL JOIN (SELECT user_id % 25 AS feed_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) a USING (feed_id)""",
 )
 def config_toggle(v: ReaderViews) -> DataFrame:
     asked = v.table("events").where("event_type = 'click'").selectExpr("user_id % 25 AS feed_id")

@@ -286,18 +286,14 @@ def clamped_values(v: ReaderViews) -> DataFrame:
     "prompt_list",
     """SELECT CAST(event_id AS VARCHAR) AS id, event_type AS name, user_id % 2 = 0 AS is_builtin,
               row_number() OVER (ORDER BY (user_id % 2 = 0) DESC, event_type, CAST(event_id AS VARCHAR)) AS position
-       FROM events ORDER BY position LIMIT 100""",
+       FROM events""",
 )
 def prompt_list(v: ReaderViews) -> DataFrame:
-    """First hundred of a large prompt table in list order."""
+    """A large prompt table in list order, every row with its place."""
     rows = v.table("events").selectExpr(
         "CAST(event_id AS STRING) AS id", "event_type AS name", "user_id % 2 = 0 AS is_builtin"
     )
-    top = prompts.list_prompts(rows).limit(100)
-    from pyspark.sql import Window
-
-    w = Window.orderBy(F.desc("is_builtin"), "name", "id")
-    return top.withColumn("position", F.row_number().over(w).cast("bigint"))
+    return prompts.list_prompts(rows, position="position")
 
 
 @query(

@@ -46,14 +46,18 @@ def upsert(
 
 
 def upsert_columns(
-    base: DataFrame, changes: DataFrame, keys: list[str], version: list[Column], defaults: dict
+    base: DataFrame, changes: DataFrame, keys: list[str], version: Column, defaults: dict
 ) -> DataFrame:
-    """As :func:`upsert`, but a null in the change keeps the stored value, or the default."""
-    latest = top_per_group(changes, keys, version, 1)
+    """Keyed update by column: each takes its value of the greatest ``version`` that is not null (the
+    greatest of equal versions), else the stored value, else the default. One aggregation that
+    combines before its shuffle, so a key with many changes costs no more than others."""
     values = [c for c in base.columns if c not in keys]
-    renamed = latest.select(
-        *keys, *[F.col(c).alias(f"_new_{c}") for c in values if c in latest.columns]
-    )
+    latest = [
+        F.max(F.when(F.col(c).isNotNull(), F.struct(version.alias("at"), F.col(c).alias("value"))))["value"].alias(f"_new_{c}")
+        for c in values
+        if c in changes.columns
+    ]
+    renamed = changes.groupBy(*keys).agg(*latest) if latest else changes.select(*keys).distinct()
     joined = base.join(renamed, keys, "full_outer")
     out = [F.col(k) for k in keys]
     for c in values:
@@ -66,8 +70,20 @@ def upsert_columns(
 
 
 def insert_absent(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key is not stored, one per key; append the result."""
-    return new.dropDuplicates(keys).join(base.select(*keys), keys, "left_anti")
+    """Rows of ``new`` whose key is not stored, the smallest row per key; append the result."""
+    return smallest_per_key(new, keys).join(base.select(*keys), keys, "left_anti")
+
+
+def smallest_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, the same one in every run: the smallest by its other columns in their order.
+
+    Columns must be of types that have an order.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.select(*keys).distinct()
+    picked = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row"))
+    return picked.select(*keys, "_row.*").select(*df.columns)
 
 
 def delete_keys(base: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

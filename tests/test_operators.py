@@ -58,6 +58,21 @@ def test_segments_are_cut(skewed):
     assert usual.df.where("g = 0").isEmpty() and out.count() == skewed.count()
 
 
+def test_every_large_group_is_cut(spark):
+    """Many groups above the limit, one of them of a null key."""
+    data = [(None if g == 0 else g, i) for g in range(30) for i in range(120)]
+    df = spark.createDataFrame(data, "g int, i int")
+    seen = []
+
+    def work(groups):
+        seen.append(groups)
+        return groups.running_sum(F.lit(1), "n").result()
+
+    out = over_groups(df, ["g"], ["i"], work, segment_rows=70)
+    assert seen[0].segmented and seen[0].df.count() == len(data) and seen[1].df.isEmpty()
+    assert out.where("n <> i + 1").isEmpty() and out.count() == len(data)
+
+
 @pytest.mark.parametrize("what", ["neighbours", "running_sum", "carry_last"])
 def test_segments_change_nothing(skewed, what):
     def work(groups):
@@ -317,7 +332,28 @@ def test_config_changes(spark):
     changes = spark.createDataFrame([(1, 9, 1), (1, 0, 2), (3, None, 1)], "feed_id bigint, priority int, at int")
     assert rows(state.set_config(config, changes)) == [(1, 1, True), (2, 1, False), (3, 2, False)]
     flipped = state.toggled(config, spark.createDataFrame([(2,), (4,), (4,)], "feed_id bigint"))
-    assert rows(flipped, "feed_id", "priority", "fetch_full_content") == [(1, 2, True), (2, 1, True), (4, 2, True)]
+    assert rows(flipped, "feed_id", "priority", "fetch_full_content") == [(1, 2, True), (2, 1, True), (4, 2, False)]
+
+
+def test_config_columns_change_apart(spark):
+    config = spark.createDataFrame([(1, 2, False)], "feed_id bigint, priority int, fetch_full_content boolean")
+    log = [(1, 1, None, 1), (1, None, True, 2), (5, 3, None, 2), (5, None, None, 3)]
+    changes = spark.createDataFrame(log, "feed_id bigint, priority int, fetch_full_content boolean, at int")
+    assert rows(state.set_config(config, changes)) == [(1, 1, True), (5, 3, False)]
+
+
+def test_discovered_updates_keep_one_row_per_feed(spark):
+    known = spark.createDataFrame([(1, "a", "A", "s"), (2, "b", "B", None)], "feed_id bigint, feed_url string, title string, site_url string")
+    log = [(1, 1, "u1", "T1", None), (1, 2, "u2", "  ", "s2"), (1, 3, "", None, " ")]
+    updates = spark.createDataFrame(log, "feed_id bigint, at int, new_url string, new_title string, new_site_url string")
+    out = rows(state.apply_discovered(known, updates), "feed_id", "feed_url", "title", "site_url")
+    assert out == [(1, "u2", "T1", "s2"), (2, "b", "B", None)]
+    assert state.apply_discovered(known, updates.drop("at")).count() == 2
+
+
+def test_survivors_are_the_smallest_rows(spark):
+    new = spark.createDataFrame([(1, "b", 2), (1, "a", 3), (2, "c", 1)], "k int, v string, n int")
+    assert rows(tables.insert_absent(new.where("k = 2"), new, ["k"])) == [(1, "a", 3)]
 
 
 def test_schema_evolution(spark, tmp_path):
