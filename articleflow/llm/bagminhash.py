@@ -24,12 +24,15 @@ from articleflow.llm.wordhash import mix, shingles, split_words, weighted
 @dataclass(frozen=True)
 class NearDuplicates:
     """``bands`` bands of ``rows`` registers; a pair of similarity s shares a band with probability
-    1 - (1 - s^rows)^bands, which is 1 - 5e-8 at the threshold with the values given."""
+    1 - (1 - s^rows)^bands, which is 1 - 5e-8 at the threshold with the values given. ``pivots`` and
+    ``rounds`` change the order in which pairs of a crowded bucket are tested, not the result."""
 
     words: int = 5
     threshold: float = 0.8
     bands: int = 32
     rows: int = 4
+    pivots: int = 8
+    rounds: int = 3
 
 
 def signatures(
@@ -166,9 +169,11 @@ def near_duplicates(
     document; rows of a null id take the class of an equal text, else null.
 
     Equal multisets fold into their smallest id first. In every bucket of a band all members are
-    verified against the bucket's smallest id. Members that are still in different components are
-    then verified against each other, so no candidate pair between components stays untested,
-    and pairs inside a component, which can change nothing, are never made.
+    verified against the bucket's smallest id, and members outside the bucket's main component
+    against ``pivots`` members of it, ``rounds`` times: work that grows with the bucket. Members that
+    are still in different components are then verified against each other, so no candidate pair
+    between components stays untested, and pairs inside a component, which can change nothing, are
+    never made.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketches = shared(sketch(texts, options))
@@ -187,38 +192,32 @@ def near_duplicates(
     held = members.select("doc_id").distinct().join(equal, "doc_id").select("doc_id", "c1", "c2")
     full = texts.join(held.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
     candidates = shared(full.dropDuplicates(["doc_id"]))
-    weights = equal.select(F.col("doc_id").alias("b"), F.col("weight").alias("weight_b"))
-    pairs = members.where("first < doc_id").select(
-        F.col("doc_id").alias("a"), F.col("first").alias("b"), F.col("weight").alias("weight_a")
-    )
-    pairs = pairs.distinct().join(weights, "b")
-    tested = shared(_verified(pairs, candidates, options))
-    links = tested.where("linked").select("a", "b")
-    label = components(links)
-
-    placed = members.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-        "key", "doc_id", "weight", F.coalesce("component", "doc_id").alias("component")
-    )
-    placed = shared(placed)
-    mixed = placed.groupBy("key", "component").count().groupBy("key")
-    mixed = mixed.agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("n"))
-    mixed = shared(mixed.where("n > 1").select("key", "main"))
-    open_rows = shared(placed.join(mixed, "key"))
+    first = members.where("first < doc_id").select(F.col("doc_id").alias("x"), F.col("first").alias("y"))
+    tested = shared(_verified(_sized(first, equal), candidates, options))
+    label = components(tested.where("linked"))
+    for turn in range(options.rounds):
+        open_rows = _open(members, label)
+        if open_rows.isEmpty():
+            break
+        picks = [
+            F.min_by("doc_id", F.xxhash64("doc_id", F.lit(turn * options.pivots + j))) for j in range(options.pivots)
+        ]
+        pivots = open_rows.where("component = main").groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("y"))
+        some = open_rows.where("component <> main").join(pivots, "key")
+        some = some.select(F.col("doc_id").alias("x"), F.explode("y").alias("y"))
+        some = _sized(some, equal).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        tested = shared(tested.union(shared(_verified(some, candidates, options))))
+        label = components(tested.where("linked"))
+    open_rows = _open(members, label)
     few = open_rows.where("component <> main")
-    across = few.alias("x").join(open_rows.alias("y"), "key").where(
-        "x.component <> y.component and (y.component = y.main or x.doc_id > y.doc_id)"
+    across = few.alias("f").join(open_rows.alias("o"), "key").where(
+        "f.component <> o.component and (o.component = o.main or f.doc_id > o.doc_id)"
     )
-    swap = F.col("x.doc_id") > F.col("y.doc_id")
-    across = across.select(
-        F.greatest("x.doc_id", "y.doc_id").alias("a"),
-        F.least("x.doc_id", "y.doc_id").alias("b"),
-        F.when(swap, F.col("x.weight")).otherwise(F.col("y.weight")).alias("weight_a"),
-        F.when(swap, F.col("y.weight")).otherwise(F.col("x.weight")).alias("weight_b"),
-    ).distinct()
+    across = _sized(across.select(F.col("f.doc_id").alias("x"), F.col("o.doc_id").alias("y")), equal)
     across = across.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = shared(_verified(across, candidates, options).where("linked").select("a", "b"))
+    more = shared(_verified(across, candidates, options).where("linked"))
     if not more.isEmpty():
-        label = components(links.union(more))
+        label = components(tested.where("linked").union(more))
 
     classes = equal.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     classes = shared(classes.select("c1", "c2", F.coalesce("component", "doc_id").alias("class_id")))
@@ -231,6 +230,25 @@ def near_duplicates(
     )
 
 
+def _open(members: DataFrame, label: DataFrame) -> DataFrame:
+    """``key``, ``doc_id``, ``component``, ``main`` of the buckets whose members are in several
+    components; ``main`` is the one with the most members there."""
+    placed = members.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    placed = shared(placed.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+    counts = placed.groupBy("key", "component").count().groupBy("key")
+    mixed = counts.agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("n"))
+    mixed = shared(mixed.where("n > 1").select("key", "main"))
+    return shared(placed.join(mixed, "key"))
+
+
+def _sized(pairs: DataFrame, equal: DataFrame) -> DataFrame:
+    """Distinct pairs ``x``, ``y`` as ``a``, ``b`` (the smaller id) with their weights."""
+    pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(equal.select(F.col("doc_id").alias(side), F.col("weight").alias(f"weight_{side}")), side)
+    return pairs
+
+
 def _verified(pairs: DataFrame, candidates: DataFrame, options: NearDuplicates) -> DataFrame:
     """``a``, ``b``, ``linked`` of pairs whose sizes allow the threshold; the others can't link."""
     kind = candidates.schema["doc_id"].dataType.simpleString()
