@@ -1,4 +1,4 @@
-"""Embedding near-duplicates: spherical k-means cells, cosine products in blocks inside each cell."""
+"""Embedding near-duplicates: spherical k-means cells, cosine products of every two cells within reach."""
 
 from __future__ import annotations
 
@@ -15,14 +15,18 @@ from pyspark.sql import functions as F
 
 from articleflow.llm.common import map_slices, shared
 from articleflow.llm.components import components
-from articleflow.llm.vectors import lists, matrix, numbers, unit, usable, usual_length
+from articleflow.llm.vectors import matrix, numbers, unit, usable, usual_length
+
+
+# Blocks of vectors that travel together; a cell holds about as many.
+PACK = 8
 
 
 @dataclass(frozen=True)
 class CellDedup:
-    """About sqrt(n) cells, so cells hold about sqrt(n) vectors; the centres are fitted on a sample of
-    about ``sample`` distinct vectors, and every vector joins its ``nearest`` nearest cells. A pair is
-    found if it shares a cell. ``block``: vectors multiplied at once."""
+    """A cell for every ``PACK`` blocks; the centres are fitted on a sample of about ``sample`` distinct
+    vectors. Links are counted exactly whatever the cells are. ``nearest``: centres whose bisectors
+    tell which cells a vector can't reach. ``block``: vectors multiplied at once."""
 
     threshold: float = 0.95
     nearest: int = 4
@@ -34,8 +38,8 @@ class CellDedup:
 
 def _centres(distinct: DataFrame, count: int, options: CellDedup) -> np.ndarray | None:
     """Unit centres by k-means under the cosine distance; None where one cell is enough."""
-    cells = min(options.most_cells, math.isqrt(max(0, count - 1)) + 1)
-    if count <= options.block:
+    cells = min(options.most_cells, -(-count // (PACK * options.block)))
+    if cells <= 1:
         return None
     step = max(1, count // options.sample)
     part = distinct.where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(step)) == 0)
@@ -60,9 +64,11 @@ def near_duplicates(
     nothing and are kept. Every row is a vector of its own, so a repeated row links with its copy;
     rows of a null id take no part (no links, null component, not kept).
 
-    Exact copies fold into one vector with its number of rows. A cell of more than ``block`` vectors
-    is cut into blocks, and pairs of blocks are the unit of work, so a crowded cell spreads over many
-    tasks. A pair of blocks gives counts and a spanning forest of its links, never the links.
+    Exact copies fold into one vector with its number of rows. A vector lives in the cell of its
+    nearest centre and visits every other cell in which an angle bound leaves room for a link, so no
+    pair at the threshold is missed. Cells are cut into groups of about ``PACK`` blocks; a pair of
+    groups is the unit of work, so a crowd spreads over many tasks. A pair of groups gives counts
+    and a spanning forest of its links, never the links.
     """
     rows = table.select(F.col(id_col).alias("id"), numbers(table, vector_col).alias("vector"))
     length = usual_length(rows, "vector")
@@ -78,77 +84,7 @@ def near_duplicates(
     count = counted.count()
     kind = rows.schema["id"].dataType.simpleString()
     centres = _centres(counted, count, options)
-    cells_per_row = 1 if centres is None else min(options.nearest, len(centres))
-
-    def assign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        vectors = unit(matrix(batch.column("vector"), length))
-        if centres is None:
-            near = np.zeros((len(vectors), 1), np.int64)
-        else:
-            near = np.argpartition(-(vectors @ centres.T), cells_per_row - 1, axis=1)
-            near = np.sort(near[:, :cells_per_row], axis=1).astype(np.int64)
-        names = ["key", "times", "vector", "cells"]
-        arrays = [batch.column("key"), batch.column("times"), batch.column("vector"), lists(near)]
-        return pa.RecordBatch.from_arrays(arrays, names=names)
-
-    vector_kind = rows.schema["vector"].dataType.simpleString()
-    member = f"key {kind}, times long, vector {vector_kind}, cells array<bigint>"
-    placed = shared(map_slices(counted.select("key", "times", "vector"), assign, member, "vector"))
-    sizes = placed.select(F.explode("cells").alias("cell")).groupBy("cell").count()
-    # One number per cell; there are at most ``most_cells``.
-    blocks = sizes.select("cell", F.ceil(F.col("count") / options.block).cast("int").alias("blocks"))
-    spread = placed.select("key", "times", "vector", "cells", F.explode("cells").alias("cell"))
-    spread = spread.join(F.broadcast(blocks), "cell")
-    own = F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int")
-    spread = spread.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    parts = spread.select(
-        "key", "times", "vector", "cells", "cell", "own",
-        F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-    )
-    threshold = options.threshold
-
-    def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, low, high = (k.as_py() for k in key)
-        part = pa.Table.from_batches(batches).combine_chunks()
-        own = part["own"].to_numpy()
-        left = np.flatnonzero(own == low)
-        right = left if low == high else np.flatnonzero(own == high)
-        if not len(left) or not len(right):
-            return
-        vectors, ids = unit(matrix(part["vector"], length)), part["key"].combine_chunks()
-        cells = matrix(part["cells"], cells_per_row).astype(np.int64)
-        times = part["times"].to_numpy()
-        gained, joined = np.zeros(len(own), np.int64), []
-        parent = np.arange(len(own))
-        step = 1024
-        for at in range(0, len(left), step):
-            some = left[at : at + step]
-            a, b = np.nonzero(vectors[some] @ vectors[right].T >= threshold)
-            a, b = some[a], right[b]
-            if low == high:
-                a, b = a[a < b], b[a < b]
-            # A pair that shares several cells counts in the first one.
-            mine = np.ones(len(a), bool)
-            for j in range(cells_per_row):
-                other = cells[a, j]
-                mine &= (other >= cell) | ~(cells[b] == other[:, None]).any(axis=1)
-            a, b = a[mine], b[mine]
-            np.add.at(gained, a, times[b])
-            np.add.at(gained, b, times[a])
-            joined.extend(_forest(parent, a, b))
-        hit = np.flatnonzero(gained)
-        take = lambda at: ids.take(pa.array(at, pa.int64()))
-        none = pa.nulls(len(hit), ids.type)
-        if len(hit):
-            yield pa.RecordBatch.from_arrays([take(hit), none, pa.array(gained[hit])], names=["a", "b", "n"])
-        if joined:
-            a, b = zip(*joined, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [take(a), take(b), pa.array(np.zeros(len(a), np.int64))], names=["a", "b", "n"]
-            )
-
-    found = parts.groupBy("cell", "low", "high").applyInArrow(compare, f"a {kind}, b {kind}, n long")
-    found = shared(found)
+    found = shared(_linked(counted, centres, length, kind, options))
     linked = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
     label = components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "key")
     known = counted.select("digest", "key", "times").join(linked, "key", "left").join(label, "key", "left")
@@ -167,6 +103,122 @@ def near_duplicates(
     )
 
 
+def _linked(
+    counted: DataFrame, centres: np.ndarray | None, length: int, kind: str, options: CellDedup
+) -> DataFrame:
+    """(a, b, n): ``n`` rows linked to ``a`` where ``b`` is null, else a link of the spanning forest.
+
+    Every two vectors meet once: in their own group, or as resident and visitor of two groups.
+    """
+    vector_kind = counted.schema["vector"].dataType.simpleString()
+    reach, slack = math.acos(max(-1.0, min(1.0, options.threshold))), 1e-9
+    if centres is None:
+        centres = np.zeros((1, length))
+
+    def angles(products: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(products, -1.0, 1.0))
+
+    def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
+        near = unit(matrix(batch.column("vector"), length)) @ centres.T
+        arrays = [batch.column("key"), batch.column("times"), batch.column("vector")]
+        arrays += [pa.array(near.argmax(axis=1).astype(np.int32)), pa.array(angles(near.max(axis=1)))]
+        return pa.RecordBatch.from_arrays(arrays, names=["key", "times", "vector", "cell", "angle"])
+
+    settled = f"key {kind}, times long, vector {vector_kind}, cell int, angle double"
+    settled = shared(map_slices(counted.select("key", "times", "vector"), settle, settled, "vector"))
+    # One row per cell; there are at most ``most_cells``.
+    cells = settled.groupBy("cell").agg(
+        F.ceil(F.count("*") / (PACK * options.block)).cast("int").alias("parts"), F.max("angle").alias("radius")
+    )
+    known = cells.orderBy("radius", "cell").collect()
+    # Groups in order of their cells' radius: a pair's visitors come from the wider cell.
+    owner = np.array([r.cell for r in known for _ in range(r.parts)], np.int64)
+    radius, begin, at = np.zeros(len(centres)), [], 0
+    for r in known:
+        radius[r.cell] = r.radius
+        begin.append((r.cell, at, r.parts))
+        at += r.parts
+    bounds = settled.sparkSession.createDataFrame(begin, "cell int, begin int, parts int")
+    own = (F.col("begin") + F.pmod(F.xxhash64("key", F.lit(3)), F.col("parts"))).cast("int")
+    members = settled.join(F.broadcast(bounds), "cell").select("key", "times", "vector", own.alias("own"))
+
+    def visits(vectors: np.ndarray, cell: int) -> np.ndarray:
+        """Whether residents of other cells may link with one of this cell."""
+        products = vectors @ centres.T
+        out = angles(products[:, cell]) <= radius[cell] + reach + slack
+        if reach < math.pi / 2:
+            near = np.argsort(-products, axis=1)[:, : options.nearest]
+            for j in range(near.shape[1]):
+                # Residents are on this cell's side of the bisector.
+                apart = np.sqrt(((centres[near[:, j]] - centres[cell]) ** 2).sum(axis=1))
+                beyond = np.take_along_axis(products, near[:, j : j + 1], 1)[:, 0] - products[:, cell]
+                out &= beyond <= math.sin(reach) * apart + slack
+        return out
+
+    def send(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        me = key[0].as_py()
+        part = pa.Table.from_batches(batches).combine_chunks()
+        keys, times = part["key"].combine_chunks(), part["times"].combine_chunks()
+        raw, seen = part["vector"].combine_chunks(), {}
+        vectors = unit(matrix(raw, length))
+        for other in range(len(owner)):
+            low, high = min(me, other), max(me, other)
+            keep, cell = None, int(owner[low])
+            if other < me and owner[other] != owner[me]:
+                if cell not in seen:
+                    seen[cell] = pa.array(np.flatnonzero(visits(vectors, cell)))
+                keep = seen[cell]
+                if not len(keep):
+                    continue
+            pick = (lambda x: x) if keep is None else (lambda x: x.take(keep))  # noqa: B023
+            arrays = [pa.array([v], pa.int32()) for v in (low, high, me)]
+            for values in (pick(keys), pick(times), pick(raw).flatten()):
+                arrays.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+            yield pa.RecordBatch.from_arrays(arrays, names=["low", "high", "own", "keys", "times", "vectors"])
+
+    sent = f"low int, high int, own int, keys array<{kind}>, times array<bigint>, vectors {vector_kind}"
+    tiles = members.groupBy("own").applyInArrow(send, sent)
+    threshold, step = options.threshold, options.block
+
+    def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = (k.as_py() for k in key)
+        sides = {b.column("own")[i].as_py(): b.slice(i, 1) for b in batches for i in range(b.num_rows)}
+        if len(sides) < (1 if low == high else 2):
+            return
+        order = [low] if low == high else [low, high]
+        ids = pa.concat_arrays([sides[k].column("keys").flatten() for k in order])
+        times = np.concatenate([sides[k].column("times").flatten().to_numpy() for k in order])
+        vectors = unit(np.concatenate([matrix(sides[k].column("vectors"), length) for k in order]))
+        count = len(sides[low].column("keys").flatten())
+        start = 0 if low == high else count
+        gained, joined = np.zeros(len(times), np.int64), []
+        parent = np.arange(len(times))
+        for at in range(0, count, step):
+            some = np.arange(at, min(at + step, count))
+            first = at if low == high else start
+            hits = vectors[some] @ vectors[first:].T >= threshold
+            if low == high:
+                hits &= np.arange(first, len(times)) > some[:, None]
+            if not hits.any():
+                continue
+            gained[some] += hits @ times[first:]
+            gained[first:] += times[some] @ hits
+            a, b = np.nonzero(hits)
+            joined.extend(_forest(parent, a + at, b + first))
+        hit = np.flatnonzero(gained)
+        take = lambda at: ids.take(pa.array(at, pa.int64()))
+        none = pa.nulls(len(hit), ids.type)
+        if len(hit):
+            yield pa.RecordBatch.from_arrays([take(hit), none, pa.array(gained[hit])], names=["a", "b", "n"])
+        if joined:
+            a, b = zip(*joined, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [take(a), take(b), pa.array(np.zeros(len(a), np.int64))], names=["a", "b", "n"]
+            )
+
+    return tiles.groupBy("low", "high").applyInArrow(compare, f"a {kind}, b {kind}, n long")
+
+
 def _forest(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """The links that join parts that were still apart."""
     out = []

@@ -41,9 +41,3 @@ def unit(rows: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1; first by their largest component, so nothing overflows."""
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-
-
-def lists(rows: np.ndarray) -> pa.ListArray:
-    """Rows of a matrix as a list column."""
-    offsets = np.arange(len(rows) + 1) * rows.shape[1]
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rows.ravel()))

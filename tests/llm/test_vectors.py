@@ -52,6 +52,19 @@ def test_cells_equal_brute_force(spark):
     assert (got[None].n_links, got[None].component_id, got[None].kept) == (0, None, False)
 
 
+def test_links_of_a_crowd_are_all_counted(spark):
+    rng = np.random.default_rng(8)
+    base, centre = rng.normal(size=(6000, 64)) / 8, rng.normal(size=64) / 8
+    vectors = np.concatenate([base, centre + rng.normal(size=(3000, 64)) * 0.0227])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert linked.max() > 2500
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], SCHEMA)
+    got = {r.vec_id: r for r in cell_dedup.near_duplicates(table).collect()}
+    assert [got[i].n_links for i in range(len(vectors))] == linked.tolist()
+    assert sum(r.kept for r in got.values()) == (linked == 0).sum() + 1
+
+
 def test_no_vectors(spark):
     for rows in ([], [(1, None, 0)]):
         table = spark.createDataFrame(rows, SCHEMA)
