@@ -3,7 +3,8 @@
 A candidate is a run of one character class, at least one window long. A window slides over it; the
 count of each character is kept and changed only for the character that enters and the one that
 leaves. Where the window's Shannon entropy reaches the class's bound, its place is a secret;
-windows that touch become one span. Candidates that match the allow-list are passed over.
+windows that touch become one span. The allow-list excuses '/'-separated pieces of a candidate; a
+window is passed over if such pieces fill half of it, so a key next to an excused piece is found.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 @dataclass(frozen=True)
 class SecretRules:
     """``needs``: a candidate without these is no secret (prose has no digits inside words).
-    ``allow``: candidates matching any of these patterns are suppressed."""
+    ``allow``: pieces that match any of these patterns, with the slashes around them, are excused."""
 
     window: int = 20
     classes: tuple[CharacterClass, ...] = field(
@@ -94,6 +95,26 @@ def _spans(text: Column, pattern: str, kind: str, rank: int, group: int = 0, lea
     return F.when(text.rlike(pattern), spans).otherwise(empty)
 
 
+def _excused(word: Column, rules: SecretRules) -> Column:
+    """1 for every character of a piece that the allow-list excuses and for the slash behind it, else 0."""
+    pieces = F.split(word, "/", -1)
+
+    def marks(piece: Column, i: Column) -> Column:
+        before = F.when(i > 0, "/").otherwise("")
+        behind = F.when(i < F.size(pieces) - 1, "/").otherwise("")
+        return _let(F.concat(before, piece, behind), lambda x: F.array_repeat(_allowed(x, rules), F.length(piece) + 1))
+
+    return F.flatten(F.transform(pieces, marks))
+
+
+def _allowed(text: Column, rules: SecretRules) -> Column:
+    """Each pattern by itself: flags of one hold for no other."""
+    hit = F.lit(False)
+    for pattern in rules.allow:
+        hit = hit | text.rlike(pattern)
+    return hit.cast("int")
+
+
 def _dense(word: Column, at: Column, rules: SecretRules, cls: CharacterClass, rank: int) -> Column:
     """Spans of the windows of one candidate that reach the class's entropy."""
     w, letters = rules.window, cls.letters
@@ -103,7 +124,7 @@ def _dense(word: Column, at: Column, rules: SecretRules, cls: CharacterClass, ra
     none = F.array().cast("array<struct<s:long,rank:int,kind:string,e:long>>")
     first = F.struct(
         F.array_repeat(F.lit(0), len(letters)).alias("n"),
-        F.lit(0).alias("sum"), F.lit(-1).alias("s"), F.lit(-1).alias("e"), none.alias("out"),
+        F.lit(0).alias("sum"), F.lit(0).alias("excused"), F.lit(-1).alias("s"), F.lit(-1).alias("e"), none.alias("out"),
     )
 
     def closed(state: Column) -> Column:
@@ -113,7 +134,10 @@ def _dense(word: Column, at: Column, rules: SecretRules, cls: CharacterClass, ra
         )
         return F.when(state["s"] >= 0, F.array_append(state["out"], span)).otherwise(state["out"])
 
-    def slide(codes: Column) -> Column:
+    def slide(item: Column) -> Column:
+        codes, marks = item["codes"], item["marks"]
+        mark = lambda i: F.coalesce(F.get(marks, i), F.lit(0))
+
         def step(state: Column, i: Column) -> Column:
             enters = F.get(codes, i)
             leaves = F.when(i >= w, F.get(codes, i - w)).otherwise(F.lit(-1))
@@ -127,12 +151,14 @@ def _dense(word: Column, at: Column, rules: SecretRules, cls: CharacterClass, ra
                 state["n"],
                 lambda c, j: c + F.when(j == enters, 1).otherwise(0) - F.when(j == leaves, 1).otherwise(0),
             )
-            hit = (i >= w - 1) & (total <= most)
+            excused = state["excused"] + mark(i) - F.when(i >= w, mark(i - w)).otherwise(0)
+            hit = (i >= w - 1) & (total <= most) & (excused * 2 < w)
             joins = hit & (state["e"] >= i - w + 1)
             fresh = hit & ~joins
             return F.struct(
                 counts.alias("n"),
                 total.cast("int").alias("sum"),
+                excused.cast("int").alias("excused"),
                 F.when(fresh, i - w + 1).otherwise(state["s"]).cast("int").alias("s"),
                 F.when(hit, i + 1).otherwise(state["e"]).cast("int").alias("e"),
                 F.when(fresh, closed(state)).otherwise(state["out"]).alias("out"),
@@ -142,14 +168,12 @@ def _dense(word: Column, at: Column, rules: SecretRules, cls: CharacterClass, ra
         return F.aggregate(places, first, step, closed)
 
     codes = F.transform(F.split(word, "(?!^)(?!$)"), lambda c: F.instr(F.lit(letters), c) - 1)
-    return _let(codes, slide)
+    return _let(F.struct(codes.alias("codes"), _excused(word, rules).alias("marks")), slide)
 
 
 def _entropy(text: Column, cls: CharacterClass, rank: int, rules: SecretRules) -> Column:
     runs = _spans(text, f"[{cls.body}]{{{rules.window},}}", cls.kind, rank)
-    judged = F.filter(
-        runs, lambda x: x["word"].rlike(rules.needs) & ~x["word"].rlike("|".join(rules.allow))
-    )
+    judged = F.filter(runs, lambda x: x["word"].rlike(rules.needs))
     return F.flatten(F.transform(judged, lambda x: _dense(x["word"], x["s"], rules, cls, rank)))
 
 

@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import string
 
 from pyspark.sql import functions as F
 
@@ -80,3 +82,22 @@ def test_redaction_keeps_clean_texts(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, secrets int")
     assert secrets.scan(docs).count() == 0 and secrets.report(docs).count() == 0
+
+
+def test_allow_list_excuses_pieces_only(spark):
+    rng = random.Random(4)
+    letters = string.ascii_letters + string.digits + "+/"
+    long = ["".join(rng.choices(letters, k=1624)) for _ in range(20)]
+    key = "k3Jd9Xq2LmZp7Rt5Vw8YbNcA"
+    short = [f"home/user/{key}", f"{key[:18]}/ab/{key[:18]}", f"{key[:18]}/AB/{key[:18]}", f"home/EXAMPLE/{key}"]
+    none = ["home/user/assets/pictures/year/2019", f"aws/EXAMPLE{key}", f"changeMe{key}/4"]
+    texts = long + short + none
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [x for x in r.found if x.kind == "entropy_base64"] for r in secrets.scan(docs, out_col="found").collect()}
+    for i, text in enumerate(texts):
+        covered = sum(x.e - x.s for x in got[i])
+        if text in none:
+            assert not got[i], text
+        else:
+            assert covered >= 0.95 * len(text) if text in long else covered >= len(key), text
+    assert got[len(long)][-1].e == len(short[0])
