@@ -8,18 +8,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from articleflow.functions.text import first_words, parse_tags, text_or_empty
 from articleflow.operators.sizing import spread
+from articleflow.session import cut_lineage
 
 # Words sent per task, and shortest text it is called for.
 LIMITS = {"summarise": (4000, 100), "classify": (2000, 50), "embed": (1200, 1)}
 
-# Buckets of the term statistics of the built-in tagger; bounds what it broadcasts.
-TERM_BUCKETS = 1 << 17
 EMBED_WIDTH = 64
 
 
@@ -107,56 +106,30 @@ def _hashes(words: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(words, dtype=object))
 
 
-def _tag_words(text: str | None) -> tuple[list[str], list[int], np.ndarray]:
-    """Distinct candidate words of a text in order, their counts and their buckets."""
-    counts = Counter(w for w in _words(text) if 4 <= len(w) < 50)
-    words = list(counts)
-    buckets = _hashes(words) % np.uint64(TERM_BUCKETS) if words else np.zeros(0)
-    return words, list(counts.values()), buckets.astype(np.int64)
-
-
-def document_frequencies(entries: DataFrame, text: str = "content") -> DataFrame:
-    """(bucket, df): number of entries with a word of the hash bucket; at most TERM_BUCKETS rows."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(TERM_BUCKETS, dtype=np.int64)
-        for batch in batches:
-            for value in batch["text"]:
-                total[np.unique(_tag_words(value)[2])] += 1
-        used = np.nonzero(total)[0]
-        yield pd.DataFrame({"bucket": used, "n": total[used]})
-
-    parts = spread(entries.select(F.col(text).alias("text"))).mapInPandas(count, "bucket bigint, n bigint")
-    return parts.groupBy("bucket").agg(F.sum("n").alias("df"))
+@F.pandas_udf(T.MapType(T.StringType(), T.IntegerType()))
+def _tag_words(texts: pd.Series) -> pd.Series:
+    """Distinct candidate words of a text and their counts."""
+    return texts.map(lambda text: dict(Counter(w for w in _words(text) if 4 <= len(w) < 50)))
 
 
 def keyword_tags(entries: DataFrame, n: int = 5, text: str = "content") -> DataFrame:
     """Tags without a model: (entry_id, tag, rank) of the words that are frequent in an entry and
     rare elsewhere.
 
-    All words of an entry sit in one row, so counting and ranking need no shuffle. Only document
-    frequencies are exchanged, one small array per task, and the result, bounded by TERM_BUCKETS
-    numbers, goes back to the tasks with the code.
+    The words of every entry are stored once, one row per distinct word, and shuffled twice: to
+    the number of entries that have the word, and back to their entry, whose words are ranked.
     """
-    idf = np.zeros(TERM_BUCKETS)
-    found = document_frequencies(entries, text).collect()
     total = entries.count()
-    for row in found:
-        idf[row["bucket"]] = np.log((total + 1) / (row["df"] + 1))
-    table = entries.sparkSession.sparkContext.broadcast(idf)
-
-    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for entry_id, value in zip(batch["entry_id"], batch["text"]):
-                words, counts, buckets = _tag_words(value)
-                scores = np.array(counts) * table.value[buckets]
-                best = sorted(range(len(words)), key=lambda i: (-scores[i], words[i]))[:n]
-                rows.extend((entry_id, words[i], r) for r, i in enumerate(best, 1))
-            yield pd.DataFrame(rows, columns=["entry_id", "tag", "rank"])
-
     narrow = spread(entries.select("entry_id", F.col(text).alias("text")))
-    return narrow.mapInPandas(rank, "entry_id bigint, tag string, rank int")
+    numbered = narrow.select(F.monotonically_increasing_id().alias("row"), F.col("entry_id").cast("bigint"), "text")
+    # Stored, so that the numbers of the rows stay the same in both readings.
+    words = cut_lineage(numbered.select("row", "entry_id", F.explode(_tag_words("text")).alias("tag", "times")))
+    known = words.groupBy("tag").agg(F.count(F.lit(1)).alias("df"))
+    score = F.col("times") * F.log((F.lit(total) + 1) / (F.col("df") + 1))
+    scored = words.join(known, "tag").withColumn("score", score)
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "tag")
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return ranked.select("entry_id", "tag", "rank")
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

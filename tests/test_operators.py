@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -524,6 +525,17 @@ def test_keyword_tags(spark):
     assert rows(out, "entry_id", "tag", "rank") == [(1, "alpha", 1), (2, "beta", 1), (3, "gamma", 1)]
 
 
+def test_keyword_tags_count_words_not_buckets(spark):
+    bucket = lambda ws: pd.util.hash_array(np.array(ws, dtype=object)) % np.uint64(1 << 17)
+    letters = "abcdefghijklmnopqrst"
+    names = ["zz" + "".join(letters[(i // 20**k) % 20] for k in range(5)) for i in range(1_000_000)]
+    rare = names[np.flatnonzero(bucket(names) == bucket(["common"])[0])[0]]
+    data = [(1, f"{rare} other common"), (2, "other common")] + [(i, "common") for i in range(3, 40)]
+    out = enrich.keyword_tags(spark.createDataFrame(data * 2, "entry_id bigint, content string"), n=1)
+    got = rows(out.where("entry_id = 1"), "entry_id", "tag", "rank")
+    assert got == [(1, rare, 1)] * 2
+
+
 def _brute(data, threshold, limit):
     ids = [d[0] for d in data]
     x = np.array([d[1] for d in data])
