@@ -25,9 +25,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_per_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate class; rows of a null id all stay."""
+    """The document of the smallest id of each near-duplicate class; rows of a null id all stay.
+
+    An id with unequal texts stays with all its rows if one of them speaks for its class.
+    """
     classes = bagminhash.near_duplicates(docs)
-    dropped = classes.where("doc_id is not null and not kept").select("doc_id").distinct()
+    kept = classes.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    dropped = kept.where("not kept").select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 

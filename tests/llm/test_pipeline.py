@@ -88,3 +88,10 @@ def test_held_out_accuracy(spark):
     scored = quality.score(docs, quality.fit(docs, labels)).join(labels, "doc_id")
     rows = scored.where(quality.held_out(F.col("doc_id"))).collect()
     assert sum(r.predicted == r.quality for r in rows) >= 0.98 * len(rows)
+
+
+def test_near_dedup_loses_no_text_of_a_repeated_id(spark):
+    one, two = " ".join(f"one{i}" for i in range(30)), " ".join(f"two{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, one), (5, one), (5, two), (7, two)], "doc_id long, text string")
+    made = {(r.doc_id, r.text) for r in corpus_pipeline.one_per_class(spark, docs, SF).collect()}
+    assert {text for _, text in made} == {one, two} and {i for i, _ in made} == {1, 5}
