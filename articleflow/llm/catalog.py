@@ -14,12 +14,15 @@ from articleflow.llm import (
     bpe_codec,
     cell_dedup,
     cross_polytope,
+    mixing,
     packing,
     quality,
     secrets,
     substring_dedup,
     token_counts,
     url_rules,
+    vector_codes,
+    whitening,
 )
 from articleflow.llm.bpe import Tokenizer
 from articleflow.llm.common import read_table
@@ -38,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    ORACLES["op13_vector_codes"] = vector_codes.oracle()
     whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
     return ORACLES | whole
 
@@ -112,6 +116,21 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(read_table(spark, sf_dir, "embeddings"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
