@@ -9,6 +9,7 @@ documents agree in a register with probability equal to their weighted Jaccard s
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from articleflow.llm.common import map_slices, shared
+from articleflow.llm.common import WORD_SLICE_BYTES, map_slices, shared
 from articleflow.llm.components import components
 from articleflow.llm.wordhash import mix, shingles, split_words, weighted
 
@@ -24,15 +25,15 @@ from articleflow.llm.wordhash import mix, shingles, split_words, weighted
 @dataclass(frozen=True)
 class NearDuplicates:
     """``bands`` bands of ``rows`` registers; a pair of similarity s shares a band with probability
-    1 - (1 - s^rows)^bands, which is 1 - 5e-8 at the threshold with the values given. ``pivots`` and
-    ``rounds`` change the order in which pairs of a crowded bucket are tested, not the result."""
+    1 - (1 - s^rows)^bands: 1 - 2e-5 at the threshold with the values given, 0.43 at 0.5. ``tile``:
+    documents, and ``shingles``: shingles of a crowded bucket that are compared in one task, about."""
 
     words: int = 5
     threshold: float = 0.8
-    bands: int = 32
-    rows: int = 4
-    pivots: int = 8
-    rounds: int = 3
+    bands: int = 36
+    rows: int = 6
+    tile: int = 1024
+    shingles: int = 1_000_000
 
 
 def signatures(
@@ -115,18 +116,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
-def similarity(a: str | None, b: str | None, size: int) -> float:
-    """Weighted Jaccard similarity of two texts: shared over all shingles, copies counted."""
-    hashes, rows, times = weighted(*shingles(split_words(pa.array([a, b], pa.string())), size))
-    first = rows == 0
-    total = times.sum()
-    _, left, right = np.intersect1d(hashes[first], hashes[~first], True, return_indices=True)
-    common = np.minimum(times[first][left], times[~first][right]).sum()
-    return float(common / (total - common)) if total else 0.0
-
-
 def sketch(docs: DataFrame, options: NearDuplicates) -> DataFrame:
-    """``doc_id``, ``weight`` (shingles), ``c1``, ``c2`` (the multiset's fingerprint), ``keys``."""
+    """``doc_id``, ``weight`` (shingles), ``node`` (the multiset's fingerprint), ``keys`` of its bands."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     registers = options.bands * options.rows
 
@@ -134,11 +125,7 @@ def sketch(docs: DataFrame, options: NearDuplicates) -> DataFrame:
         count = batch.num_rows
         hashes, rows, times = weighted(*shingles(split_words(batch.column("text")), options.words))
         weight = np.bincount(rows, weights=times, minlength=count).astype(np.int64)
-        prints = []
-        for salt in (17, 19):
-            sums = np.zeros(count, np.uint64)
-            np.add.at(sums, rows, mix(hashes, salt) * times.astype(np.uint64))
-            prints.append(sums.view(np.int64))
+        nodes = _fingerprints(hashes, rows, times, count)
         values = signatures(hashes, rows, times, count, registers)
         keys = np.zeros((count, options.bands), np.uint64)
         for j in range(options.rows):
@@ -148,12 +135,36 @@ def sketch(docs: DataFrame, options: NearDuplicates) -> DataFrame:
             pa.array(np.arange(count + 1) * options.bands, pa.int32()), pa.array(keys.ravel())
         )
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(weight), *map(pa.array, prints), lists],
-            names=["doc_id", "weight", "c1", "c2", "keys"],
+            [batch.column("doc_id"), pa.array(weight), nodes, lists], names=["doc_id", "weight", "node", "keys"]
         )
 
-    schema = f"doc_id {kind}, weight long, c1 long, c2 long, keys array<long>"
-    return map_slices(docs.select("doc_id", "text"), run, schema)
+    schema = f"doc_id {kind}, weight long, node binary, keys array<long>"
+    return map_slices(docs.select("doc_id", "text"), run, schema, size=WORD_SLICE_BYTES)
+
+
+def _fingerprints(hashes: np.ndarray, rows: np.ndarray, times: np.ndarray, count: int) -> pa.Array:
+    """128 bits of every row's multiset of shingles."""
+    sums = np.zeros((count, 2), np.uint64)
+    for k, salt in enumerate((17, 19)):
+        np.add.at(sums[:, k], rows, mix(hashes, salt) * times.astype(np.uint64))
+    return pa.array([v.tobytes() for v in sums], pa.binary())
+
+
+def bags(docs: DataFrame, options: NearDuplicates) -> DataFrame:
+    """``node``, ``hashes`` (ascending), ``times`` and ``weight`` of the shingles of every row with words."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        count = batch.num_rows
+        hashes, rows, times = weighted(*shingles(split_words(batch.column("text")), options.words))
+        weight = np.bincount(rows, weights=times, minlength=count).astype(np.int64)
+        at = pa.array(np.searchsorted(rows, np.arange(count + 1)), pa.int32())
+        # Signed numbers in the order of the unsigned ones.
+        signed = (hashes ^ np.uint64(1 << 63)).view(np.int64)
+        arrays = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (signed, times.astype(np.int32))]
+        table = [_fingerprints(hashes, rows, times, count), *arrays, pa.array(weight)]
+        return pa.RecordBatch.from_arrays(table, names=["node", "hashes", "times", "weight"])
+
+    return map_slices(docs.select("text"), run, "node binary, hashes array<long>, times array<int>, weight long", size=WORD_SLICE_BYTES)
 
 
 def near_duplicates(
@@ -164,64 +175,42 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``class_id`` (smallest id of its class), ``kept``.
 
-    A class is all that links of at least the threshold connect. Texts without words (null, empty,
-    blank) stand alone; texts of fewer words than a shingle are one shingle. Rows of one id are one
-    document; rows of a null id take the class of an equal text, else null.
+    A class is all texts that links of at least the threshold connect. Texts without words (null,
+    empty, blank) stand alone; texts of fewer words than a shingle are one shingle. Rows are told apart
+    by their text, so rows of one id may be in several classes; rows of a null id take the class of an
+    equal text, else null.
 
-    Equal multisets fold into their smallest id first. In every bucket of a band all members are
-    verified against the bucket's smallest id, and members outside the bucket's main component
-    against ``pivots`` members of it, ``rounds`` times: work that grows with the bucket. Members that
-    are still in different components are then verified against each other, so no candidate pair
-    between components stays untested, and pairs inside a component, which can change nothing, are
-    never made.
+    Equal multisets fold into one node first. In every bucket of a band all nodes are compared with the
+    bucket's first one: work that grows with the bucket. Only where a bucket's nodes are then still in
+    several components, those outside its largest component meet all others, in tiles of bounded size that
+    hold the shingles themselves; a tile passes on one link for any two components. So no candidate pair
+    between components stays untested, and pairs inside a component, which can change nothing, are never made.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketches = shared(sketch(texts, options))
-    own = sketches.select("doc_id", "weight", "c1", "c2")
-    equal = (
-        own.where("weight > 0 and doc_id is not null")
-        .groupBy("c1", "c2")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("weight").alias("weight"))
-    )
-    equal = shared(equal)
-    rows = sketches.join(equal.select("c1", "c2", "doc_id"), ["c1", "c2", "doc_id"], "left_semi")
-    rows = rows.select("doc_id", "weight", F.explode(F.array_distinct("keys")).alias("key"))
-    sizes = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    crowded = shared(sizes.where("first < last").select("key", "first"))
+    own = sketches.select("doc_id", "weight", "node")
+    nodes = sketches.where("weight > 0 and doc_id is not null").groupBy("node")
+    nodes = shared(nodes.agg(F.min("doc_id").alias("low"), F.max("weight").alias("weight"), F.first("keys").alias("keys")))
+    rows = nodes.select("node", "weight", F.explode(F.array_distinct("keys")).alias("key"))
+    sizes = rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
+    crowded = sizes.where("first < last").select("key", "first")
     members = shared(rows.join(crowded, "key"))
-    held = members.select("doc_id").distinct().join(equal, "doc_id").select("doc_id", "c1", "c2")
-    full = texts.join(held.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    candidates = shared(full.dropDuplicates(["doc_id"]))
-    first = members.where("first < doc_id").select(F.col("doc_id").alias("x"), F.col("first").alias("y"))
-    tested = shared(_verified(_sized(first, equal), candidates, options))
-    label = components(tested.where("linked"))
-    for turn in range(options.rounds):
-        open_rows = _open(members, label)
-        if open_rows.isEmpty():
-            break
-        picks = [
-            F.min_by("doc_id", F.xxhash64("doc_id", F.lit(turn * options.pivots + j))) for j in range(options.pivots)
-        ]
-        pivots = open_rows.where("component = main").groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("y"))
-        some = open_rows.where("component <> main").join(pivots, "key")
-        some = some.select(F.col("doc_id").alias("x"), F.explode("y").alias("y"))
-        some = _sized(some, equal).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        tested = shared(tested.union(shared(_verified(some, candidates, options))))
-        label = components(tested.where("linked"))
-    open_rows = _open(members, label)
-    few = open_rows.where("component <> main")
-    across = few.alias("f").join(open_rows.alias("o"), "key").where(
-        "f.component <> o.component and (o.component = o.main or f.doc_id > o.doc_id)"
-    )
-    across = _sized(across.select(F.col("f.doc_id").alias("x"), F.col("o.doc_id").alias("y")), equal)
-    across = across.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = shared(_verified(across, candidates, options).where("linked"))
-    if not more.isEmpty():
-        label = components(tested.where("linked").union(more))
-
-    classes = equal.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    classes = shared(classes.select("c1", "c2", F.coalesce("component", "doc_id").alias("class_id")))
-    result = own.join(classes, ["c1", "c2"], "left")
+    needed = shared(members.select("node").distinct().join(nodes.select("node", "low"), "node"))
+    candidates = texts.join(needed.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    held = bags(candidates, options).join(needed.select("node"), "node", "left_semi")
+    held = shared(held.dropDuplicates(["node"]))
+    pairs = members.where("first < node").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    links = shared(_linked(pairs, held, options))
+    label = components(links)
+    across = shared(_across(members, label, held, options))
+    if not across.isEmpty():
+        label = components(links.union(across))
+
+    placed = nodes.select("node", "low").join(label.withColumnRenamed("id", "node"), "node", "left")
+    placed = shared(placed.select("node", "low", F.coalesce("component", "node").alias("component")))
+    least = placed.groupBy("component").agg(F.min("low").alias("class_id"))
+    classes = placed.select("node", "component").join(least, "component").select("node", "class_id")
+    result = own.join(classes, "node", "left")
     class_id = F.when(F.col("weight") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
     return result.select(
         F.col("doc_id").alias(id_col),
@@ -230,40 +219,89 @@ def near_duplicates(
     )
 
 
-def _open(members: DataFrame, label: DataFrame) -> DataFrame:
-    """``key``, ``doc_id``, ``component``, ``main`` of the buckets whose members are in several
-    components; ``main`` is the one with the most members there."""
-    placed = members.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    placed = shared(placed.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")))
-    counts = placed.groupBy("key", "component").count().groupBy("key")
-    mixed = counts.agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("n"))
-    mixed = shared(mixed.where("n > 1").select("key", "main"))
-    return shared(placed.join(mixed, "key"))
-
-
-def _sized(pairs: DataFrame, equal: DataFrame) -> DataFrame:
-    """Distinct pairs ``x``, ``y`` as ``a``, ``b`` (the smaller id) with their weights."""
-    pairs = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+def _linked(pairs: DataFrame, held: DataFrame, options: NearDuplicates) -> DataFrame:
+    """The pairs ``a``, ``b`` of nodes that reach the threshold."""
+    rows = pairs
     for side in ("a", "b"):
-        pairs = pairs.join(equal.select(F.col("doc_id").alias(side), F.col("weight").alias(f"weight_{side}")), side)
-    return pairs
-
-
-def _verified(pairs: DataFrame, candidates: DataFrame, options: NearDuplicates) -> DataFrame:
-    """``a``, ``b``, ``linked`` of pairs whose sizes allow the threshold; the others can't link."""
-    kind = candidates.schema["doc_id"].dataType.simpleString()
-    fits = F.least("weight_a", "weight_b") >= options.threshold * F.greatest("weight_a", "weight_b")
-    left = candidates.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = candidates.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    rows = pairs.where(fits).select("a", "b").join(left, "a").join(right, "b")
+        named = held.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("hashes", "times", "weight")])
+        rows = rows.join(named, side)
+        if side == "b":
+            rows = rows.where(F.least("weight_a", "weight_b") >= options.threshold * F.greatest("weight_a", "weight_b"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)
-        linked = [similarity(a, b, options.words) >= options.threshold for a, b in texts]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())],
-            names=["a", "b", "linked"],
-        )
-
-    columns = rows.select("a", "b", "text_a", "text_b")
-    return map_slices(columns, run, f"a {kind}, b {kind}, linked boolean", "text_a")
+        good = []
+        for k in range(batch.num_rows):
+            (ha, ta), (hb, tb) = ([batch.column(f"{c}_{s}")[k].values.to_numpy() for c in ("hashes", "times")] for s in "ab")
+            _, left, right = np.intersect1d(ha, hb, True, return_indices=True)
+            common = int(np.minimum(ta[left], tb[right]).sum())
+            good.append(common / (int(ta.sum()) + int(tb.sum()) - common) >= options.threshold)
+        at = pa.array(np.flatnonzero(good))
+        return pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in "ab"], names=["a", "b"])
+
+    return map_slices(rows.select("a", "b", "hashes_a", "times_a", "hashes_b", "times_b"), run, "a binary, b binary", "hashes_a")
+
+
+def _across(members: DataFrame, label: DataFrame, held: DataFrame, options: NearDuplicates) -> DataFrame:
+    """Links between nodes of a bucket that ``label`` leaves in different components."""
+    placed = members.join(label.withColumnRenamed("id", "node"), "node", "left")
+    placed = shared(placed.select("key", "node", "weight", F.coalesce("component", "node").alias("component")))
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
+    counts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), *marks)
+    mixed = counts.groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"),
+        F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("w").alias("w"),
+        F.bit_xor("m1").alias("m1"), F.bit_xor("m2").alias("m2"),
+    ).where("parts > 1")
+    # Buckets of the same nodes, which near copies share in many bands, are compared once.
+    once = mixed.groupBy("n", "m1", "m2").agg(F.min_by(F.struct("key", "main", "most", "w"), "key").alias("b"))
+    slices = lambda n, w: F.greatest(F.ceil(n / options.tile), F.ceil(w / options.shingles)).cast("int")
+    share = F.col("b.w") * (F.col("n") - F.col("b.most")) / F.col("n")
+    once = once.select(
+        "b.key", "b.main", slices(F.col("n"), F.col("b.w")).alias("right"), slices(F.col("n") - F.col("b.most"), share).alias("left")
+    )
+    rows = shared(placed.join(once, "key"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    resident = rows.select("key", "node", "component", every("left").alias("i"), own("right", 3).alias("j"), F.lit(False).alias("visits"))
+    visitor = rows.where("component <> main").withColumn("i", own("left", 4)).select(
+        "key", "node", "component", "i", every("right").alias("j"), F.lit(True).alias("visits")
+    )
+    tiles = resident.unionByName(visitor).join(held.select("node", "hashes", "times"), "node")
+
+    def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.Table.from_batches(batches).combine_chunks()
+        visits = part["visits"].to_numpy(zero_copy_only=False)
+        mine, theirs = np.flatnonzero(visits), np.flatnonzero(~visits)
+        if not len(mine) or not len(theirs):
+            return
+        nodes, names = part["node"].to_pylist(), part["component"].to_pylist()
+        number = {name: k for k, name in enumerate(dict.fromkeys(names))}
+        component = np.array([number[name] for name in names])
+        hashes, times = part["hashes"].combine_chunks(), part["times"].combine_chunks()
+        weight = np.array([times[k].values.to_numpy().sum() for k in range(part.num_rows)], np.int64)
+        chosen = hashes.take(pa.array(theirs))
+        postings, amounts = chosen.flatten().to_numpy(), times.take(pa.array(theirs)).flatten().to_numpy()
+        owner = np.repeat(np.arange(len(theirs)), chosen.value_lengths().to_numpy())
+        order = np.argsort(postings, kind="stable")
+        postings, amounts, owner = postings[order], amounts[order], owner[order]
+        joined = np.arange(len(number))
+        found: list[tuple[bytes, bytes]] = []
+        for v in mine:
+            asked, own_times = hashes[v].values.to_numpy(), times[v].values.to_numpy()
+            low, high = (np.searchsorted(postings, asked, side) for side in ("left", "right"))
+            count = high - low
+            at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            both = np.minimum(np.repeat(own_times, count), amounts[at])
+            common = np.bincount(owner[at], weights=both, minlength=len(theirs))
+            total = weight[v] + weight[theirs] - common
+            near = np.flatnonzero((common / total >= options.threshold) & (joined[component[theirs]] != joined[component[v]]))
+            for k in near:
+                a, b = joined[component[v]], joined[component[theirs[k]]]
+                if a != b:
+                    joined[joined == b] = a
+                    found.append((nodes[v], nodes[theirs[k]]))
+        if found:
+            arrays = [pa.array(c, pa.binary()) for c in zip(*found, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["a", "b"])
+
+    return tiles.groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary")

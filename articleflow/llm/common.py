@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from articleflow.session import cut_lineage, ship_package
 
-# Text handled at once inside a task.
+# Text handled at once inside a task; less where every word costs many bytes of arrays.
 SLICE_BYTES = 4 << 20
+WORD_SLICE_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +25,20 @@ def shared(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a slice holds about ``SLICE_BYTES`` of one column, one row at least."""
+def discard(df: DataFrame) -> None:
+    """Free the files of a table that ``shared`` wrote and no later step reads."""
+    files = df.inputFiles()
+    if files:
+        nothing = df.sparkSession.createDataFrame([], df.schema)
+        nothing.write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a slice holds about ``size`` bytes of one column, one row at least."""
     for batch in batches:
         rows = batch.num_rows
         per_row = max(1, batch.column(column).nbytes // max(1, rows))
-        step = max(1, SLICE_BYTES // per_row)
+        step = max(1, size // per_row)
         for start in range(0, rows, step):
             yield batch.slice(start, step)
 
@@ -39,11 +48,12 @@ def map_slices(
     fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
     schema: str,
     column: str = "text",
+    size: int = SLICE_BYTES,
 ) -> DataFrame:
     """``mapInArrow`` over slices of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, column):
+        for part in slices(batches, column, size):
             out = fn(part)
             if out is not None and out.num_rows:
                 yield out

@@ -14,7 +14,18 @@ import pyarrow as pa
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+# Bytes hashed at once; nothing that is kept from batch to batch grows with a text.
+_CHUNK = 1 << 17
+_BLOCK = 1 << 18
+
+
+def _table(base: int, size: int) -> np.ndarray:
+    filled = np.full(size, base & _MASK, np.uint64)
+    filled[0] = 1
+    return np.multiply.accumulate(filled)
+
+
+_LOW, _BACK = _table(_BASE, _BLOCK), _table(_INVERSE, _BLOCK)
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -25,13 +36,13 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(base: int, size: int) -> np.ndarray:
-    known = _powers.get(base)
-    if known is None or len(known) < size:
-        filled = np.full(1 << max(16, (size - 1).bit_length()), base, np.uint64)
-        filled[0] = 1
-        known = _powers[base] = np.multiply.accumulate(filled)
-    return known[:size]
+def _power(place: np.ndarray) -> np.ndarray:
+    """The base to the power of a place inside its word; only a very long word needs a second table."""
+    most = int(place.max()) if len(place) else 0
+    if most < _BLOCK:
+        return _LOW[place]
+    high = _table(pow(_BASE, _BLOCK, 1 << 64), most // _BLOCK + 1)
+    return _LOW[place % _BLOCK] * high[place // _BLOCK]
 
 
 @dataclass
@@ -56,18 +67,49 @@ def split_words(texts: pa.Array) -> Words:
     data = b"\n".join(encoded)
     ends_of_rows = np.cumsum([len(e) + 1 for e in encoded])
     raw = np.frombuffer(data, np.uint8)
-    space = np.ones(len(raw) + 2, bool)
-    space[1:-1] = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    turns = np.flatnonzero(space[1:] != space[:-1])
-    starts, ends = turns[::2], turns[1::2]
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(raw)), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _power(_INVERSE, len(raw) + 1)[starts])
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    at = 0
+    while at < len(raw):
+        # A chunk ends behind a space, so that no word is cut; a longer word makes a longer chunk.
+        end, step = min(at + _CHUNK, len(raw)), 64
+        while end < len(raw):
+            near = np.flatnonzero(_spaces(raw[end : end + step]))
+            if len(near):
+                end += int(near[0]) + 1
+                break
+            end, step = min(end + step, len(raw)), step * 2
+        hashes, starts, ends = _hashed(raw[at:end])
+        parts.append((hashes, starts + at, ends + at))
+        at = end
+    hashes, starts, ends = (np.concatenate(p) for p in zip(*parts, strict=True))
     rows = np.searchsorted(ends_of_rows, starts, side="right")
     first = np.searchsorted(rows, np.arange(len(encoded) + 1))
     return Words(hashes, rows, starts, ends, first, data)
 
 
+def _spaces(raw: np.ndarray) -> np.ndarray:
+    return (raw == 32) | ((raw >= 9) & (raw <= 13))
+
+
+def _hashed(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of every word of the bytes."""
+    space = np.ones(len(raw) + 2, bool)
+    space[1:-1] = _spaces(raw)
+    turns = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, ends
+    if len(raw) < _BLOCK:
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _LOW[: len(raw)], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * _BACK[starts]), starts, ends
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    values = (raw[~space[1:-1]].astype(np.uint64) + np.uint64(1)) * _power(place)
+    return mix(np.add.reduceat(values, first)), starts, ends
+
+
 def runs(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, position of its first word) of every run of ``size`` words inside one row."""
     count = len(words.hashes) - size + 1
