@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from articleflow.llm.common import map_slices
+from articleflow.llm.common import WORD_SLICE_BYTES, map_slices
 from articleflow.llm.wordhash import split_words
 
 _WORDS = 4096
@@ -174,21 +174,27 @@ def _leading(rows: np.ndarray, options: QualityVote) -> np.ndarray:
     return np.ascontiguousarray((basis @ turn.T)[:, :size], np.float32)
 
 
-def score(docs: DataFrame, model: Model, options: QualityVote = QualityVote(), columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``columns`` of every row of ``docs``, with ``score`` (0 to 1) and ``predicted``.
+def score(
+    docs: DataFrame,
+    model: Model,
+    options: QualityVote = QualityVote(),
+    columns: tuple[str, ...] = ("doc_id",),
+    keep_text: bool = False,
+) -> DataFrame:
+    """``columns`` of every row of ``docs`` (and ``text``), with ``score`` (0 to 1) and ``predicted``.
 
     Only the text decides, so equal texts have equal scores. A null text, and one without words, has
-    the share of label 1 among the labelled documents.
+    the share of label 1 among the labelled documents. The text goes to the Python worker once, so it
+    doesn't belong in ``columns`` too.
     """
     kept = docs.select(F.struct(*columns).alias("row"), F.col("text"))
+    names = ["row", "text", "score"] if keep_text else ["row", "score"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [batch.column("row"), pa.array(model.scores(batch.column("text"), options))],
-            names=["row", "score"],
-        )
+        scores = pa.array(model.scores(batch.column("text"), options))
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), scores], names=names)
 
     kind = kept.schema["row"].dataType.simpleString()
-    scored = map_slices(kept, run, f"row {kind}, score double")
+    scored = map_slices(kept, run, f"row {kind}, {'text string, ' if keep_text else ''}score double", size=WORD_SLICE_BYTES)
     predicted = (F.col("score") >= options.threshold).cast("int").alias("predicted")
-    return scored.select("row.*", F.col("score"), predicted)
+    return scored.select("row.*", *names[1:], predicted)

@@ -2,7 +2,7 @@
 
 Every run of ``words`` words has a minimizer: the shorter run inside it with the smallest hash.
 Equal runs have equal minimizers, so only minimizers are shuffled to learn what may recur. Runs
-around recurring minimizers are then grouped by their own hash: those that also start in a document
+around recurring minimizers are then counted by their own hash: those that also start in a document
 with a larger id are the passages to remove. They are compiled into Aho-Corasick automata, one per
 shard, and the documents that may hold them are streamed through, which compares real words.
 """
@@ -10,16 +10,19 @@ shard, and the documents that may hold them are streamed through, which compares
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from articleflow.llm.common import map_slices, shared
+from articleflow.llm.common import WORD_SLICE_BYTES, discard, map_slices, shared, slices
 from articleflow.llm.wordhash import Words, runs, split_words
+from articleflow.operators.sizing import attach
 
 _SPACE = " \t\n\v\f\r"
 _TO_SPACE = str.maketrans({c: " " for c in _SPACE[1:]})
@@ -28,12 +31,12 @@ _TO_SPACE = str.maketrans({c: " " for c in _SPACE[1:]})
 @dataclass(frozen=True)
 class SubstringDedup:
     """``minimizer``: words of the shorter run. ``shard``: recurring runs an automaton holds, about;
-    ``salt``: documents one task streams through a copy of it, about."""
+    ``stream``: characters one copy of it reads, about."""
 
     words: int = 13
     minimizer: int = 6
     shard: int = 20_000
-    salt: int = 1_000
+    stream: int = 8 << 20
 
 
 def words_of(text: str | None) -> list[str]:
@@ -68,26 +71,38 @@ def _per_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return rows[new], values[new]
 
 
-def recurring(docs: DataFrame, options: SubstringDedup) -> DataFrame:
-    """``doc_id``, ``print``, ``window``, ``first``: the runs of each document that also start in
-    another document, with the smallest id that holds them."""
+def _keyed(texts: DataFrame) -> DataFrame:
+    """``texts`` with ``v``, which tells the texts of one id apart: 0 where an id has one text only."""
+    prints = F.xxhash64("text")
+    known = texts.where("doc_id is not null and text is not null")
+    several = known.groupBy("doc_id").agg(F.min(prints).alias("low"), F.max(prints).alias("high"))
+    several = shared(several.where("low < high").select("doc_id", F.lit(True).alias("several")))
+    if several.isEmpty():
+        return texts.withColumn("v", F.lit(0).cast("long"))
+    marked = attach(texts, several, "doc_id")
+    return marked.withColumn("v", F.when(F.col("several"), prints).otherwise(F.lit(0))).drop("several")
+
+
+def passages(docs: DataFrame, options: SubstringDedup) -> DataFrame:
+    """``doc_id``, ``v``, ``shard``, ``windows``, ``streams``: for every text, the shards it has to do
+    with, the runs it gives to their automata (those that start in no earlier document but in a later
+    one), and whether it must be streamed through them."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def minimizers(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = split_words(batch.column("text"))
         _, at, least = _windows(words, options)
         rows, least = _per_row(words.rows[at], least)
-        ids, prints = (batch.column(c).take(pa.array(rows)) for c in ("doc_id", "print"))
-        return pa.RecordBatch.from_arrays(
-            [ids, prints, pa.array(least.view(np.int64))], names=["doc_id", "print", "least"]
-        )
+        ids, v = (batch.column(c).take(pa.array(rows)) for c in ("doc_id", "v"))
+        return pa.RecordBatch.from_arrays([ids, v, pa.array(least.view(np.int64))], names=["doc_id", "v", "least"])
 
-    small = map_slices(docs, minimizers, f"doc_id {kind}, print long, least long")
-    small = shared(small)
+    keyed = f"doc_id {kind}, v long"
+    small = shared(map_slices(docs, minimizers, f"{keyed}, least long", size=WORD_SLICE_BYTES))
     spread = small.groupBy("least").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     often = shared(spread.where("low < high").select("least"))
-    held = small.join(often, "least").groupBy("doc_id", "print").agg(F.collect_set("least").alias("marks"))
+    held = small.join(often, "least").groupBy("doc_id", "v").agg(F.collect_set("least").alias("marks"))
     held = shared(held)
+    discard(small)
 
     def marked(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = split_words(batch.column("text"))
@@ -99,17 +114,28 @@ def recurring(docs: DataFrame, options: SubstringDedup) -> DataFrame:
             part = slice(first[n], first[n + 1])
             keep[part] = np.isin(least[part].view(np.int64), marks.values.to_numpy())
         rows, hashes = _per_row(row[keep], hashes[keep])
-        ids, prints = (batch.column(c).take(pa.array(rows)) for c in ("doc_id", "print"))
-        return pa.RecordBatch.from_arrays(
-            [ids, prints, pa.array(hashes.view(np.int64))], names=["doc_id", "print", "window"]
-        )
-
-    texts = docs.join(held, ["doc_id", "print"])
-    windows = shared(map_slices(texts, marked, f"doc_id {kind}, print long, window long"))
-    firsts = windows.groupBy("window").agg(
-        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min_by("print", F.struct("doc_id", "print")).alias("source")
+        ids, v = (batch.column(c).take(pa.array(rows)) for c in ("doc_id", "v"))
+        return pa.RecordBatch.from_arrays([ids, v, pa.array(hashes.view(np.int64))], names=["doc_id", "v", "window"])
+
+    texts = docs.join(held, ["doc_id", "v"])
+    windows = shared(map_slices(texts, marked, f"{keyed}, window long", size=WORD_SLICE_BYTES))
+    firsts = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    firsts = shared(firsts.where("first < last").select("window", "first"))
+    shards = max(1, -(-firsts.count() // options.shard))
+    # A source's passages stay together, so a copy meets one shard; only a source above a shard's size is cut.
+    large = firsts.groupBy("first").count().where(F.col("count") > options.shard)
+    large = shared(large.select("first", F.ceil(F.col("count") / options.shard).alias("pieces")))
+    placed = attach(firsts, large, "first")
+    piece = F.pmod(F.xxhash64("window"), F.coalesce("pieces", F.lit(1)))
+    placed = placed.select("window", "first", F.pmod(F.xxhash64("first", piece), F.lit(shards)).alias("shard"))
+    met = windows.join(placed, "window").groupBy("doc_id", "v", "shard")
+    met = met.agg(
+        F.collect_set(F.when(F.col("first") == F.col("doc_id"), F.col("window"))).alias("windows"),
+        F.bool_or(F.col("first") < F.col("doc_id")).alias("streams"),
     )
-    return windows.join(shared(firsts.where("first < last").drop("last")), "window")
+    met = shared(met)
+    discard(windows)
+    return met
 
 
 def dedup(
@@ -118,90 +144,118 @@ def dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     carry: tuple[str, ...] = (),
+    keep_text: bool = False,
 ) -> DataFrame:
-    """Per row of ``docs``: a struct ``row`` of the columns ``carry`` (if any), id, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by one
-    space) and ``kept_sha256``.
+    """Per row of ``docs``: a struct ``row`` of the columns ``carry`` (if any), the ``text`` as it was (with
+    ``keep_text``), id, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by one space) and
+    ``kept_sha256``.
 
     A word goes if it lies in a run of ``words`` words that also starts in a document of a smaller id,
     judged on the input. A null or empty text has no words. Rows of one id are one document as to
     order, so none of them makes another lose words; rows of a null id lose none and cause no loss.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    if carry:
-        texts = docs.select(F.struct(*carry).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.withColumn("print", F.xxhash64("text"))
-    known = texts.where("doc_id is not null and text is not null").select("doc_id", "text", "print")
-    found = shared(recurring(known, options))
-    total = found.groupBy("window").agg(F.lit(1).alias("n")).count()
-    shards = max(1, -(-total // options.shard))
-    # A source's passages stay together, so a copy meets one shard; a long source is cut.
-    shard = F.pmod(F.xxhash64("first"), F.lit(shards)).alias("shard")
-    patterns = found.where("doc_id = first and print = source").select("doc_id", "print", "window", shard).distinct()
-    patterns = patterns.groupBy("doc_id", "print", "shard").agg(F.collect_list("window").alias("windows"))
-    routes = found.where("first < doc_id").select("doc_id", "print", shard).distinct()
-    routes = shared(routes)
-    salts = routes.groupBy("shard").agg(F.ceil(F.count("*") / options.salt).cast("int").alias("salts"))
-    salts = shared(salts)
-    once = known.dropDuplicates(["doc_id", "print"])
-    sources = patterns.join(salts, "shard").join(once, ["doc_id", "print"])
-    sources = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    sources = sources.select("doc_id", "print", "text", "windows", "shard", "salt")
-    salt = F.pmod(F.xxhash64("doc_id", "print"), F.col("salts")).cast("int")
-    streamed = routes.join(salts, "shard").join(once, ["doc_id", "print"])
-    # New names: both sides come from the same documents.
-    streamed = streamed.select(
-        F.col("doc_id").alias("own"), F.col("print").alias("mark"), F.col("text").alias("body"),
-        F.col("shard").alias("to_shard"), salt.alias("to_salt"),
+    row = F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))
+    texts = _keyed(docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    row_kind = texts.schema["row"].dataType.simpleString()
+    known = texts.where("doc_id is not null and text is not null").select("doc_id", "v", "text")
+    plan = passages(known, options).groupBy("doc_id", "v")
+    plan = plan.agg(F.collect_list(F.struct("shard", "windows", "streams")).alias("plan"))
+    streams = F.filter("plan", lambda p: p["streams"])
+    joined = texts.join(plan, ["doc_id", "v"], "left").select(
+        F.monotonically_increasing_id().alias("uid"), "row", "doc_id", "text",
+        F.coalesce(F.transform(streams, lambda p: p["shard"]), F.array().cast("array<bigint>")).alias("to"),
+        F.filter("plan", lambda p: F.size(p["windows"]) > 0).alias("gives"),
     )
+    joined = shared(joined)
     size = options.words
 
-    def locate(left: pa.Table, right: pa.Table) -> pa.Table:
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        number: dict[str, int] = {}
-        for batch in left.to_batches():
-            for k in range(batch.num_rows):
-                source, text = batch.column("doc_id")[k].as_py(), batch.column("text").slice(k, 1)
-                hashes, at = runs(split_words(text), size)
-                wanted = np.isin(hashes.view(np.int64), batch.column("windows")[k].values.to_numpy())
-                words = words_of(text[0].as_py())
-                for start in at[wanted].tolist():
-                    key = tuple(number.setdefault(w, len(number) + 1) for w in words[start : start + size])
-                    automaton.add_word(key, min(source, automaton.get(key, source)))
-        ids, marks, starts, ends = [], [], [], []
-        if number:
-            automaton.make_automaton()
-        for batch in right.to_batches() if number else ():
-            for k in range(batch.num_rows):
-                own = batch.column("own")[k].as_py()
-                codes = tuple(number.get(w, 0) for w in words_of(batch.column("body")[k].as_py()))
+    def stretches(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        out = []
+        for k in range(batch.num_rows):
+            words, first = words_of(batch.column("text")[k].as_py()), batch.column("doc_id")[k].as_py()
+            hashes, at = runs(split_words(batch.column("text").slice(k, 1)), size)
+            for given in batch.column("gives")[k].as_py():
+                starts = at[np.isin(hashes.view(np.int64), np.array(given["windows"], np.int64))]
+                cuts = np.flatnonzero(np.diff(starts) > 1) + 1
+                lines = [" ".join(words[part[0] : part[-1] + size]) for part in np.split(starts, cuts) if len(part)]
+                out.append((given["shard"], first, "\n".join(lines)))
+        if not out:
+            return None
+        shards, firsts, lines = zip(*out, strict=True)
+        arrays = [pa.array(shards, pa.int64()), pa.array(firsts, batch.schema.field("doc_id").type), pa.array(lines)]
+        return pa.RecordBatch.from_arrays(arrays, names=["shard", "doc_id", "text"])
+
+    sources = joined.where("size(gives) > 0").select("doc_id", "text", "gives")
+    sources = map_slices(sources, stretches, f"shard long, doc_id {kind}, text string", size=WORD_SLICE_BYTES)
+    streamed = joined.where("size(to) > 0").select("uid", "row", "doc_id", "text", F.posexplode("to").alias("place", "shard"))
+    bulk = streamed.groupBy("shard").agg(F.sum(F.length("text")).alias("n"))
+    salts = shared(bulk.select("shard", F.ceil((F.col("n") + 1) / options.stream).cast("int").alias("salts")))
+    copies = sources.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    copies = copies.select(
+        "shard", "salt", F.lit(False).alias("reads"), F.lit(None).cast("long").alias("uid"),
+        F.lit(None).cast(row_kind).alias("row"), "doc_id", "text", F.lit(False).alias("home"),
+    )
+    readers = streamed.join(salts, "shard").select(
+        "shard", F.pmod(F.xxhash64("uid"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("reads"), "uid",
+        F.when(F.col("place") == 0, F.col("row")).alias("row"), "doc_id", "text", (F.col("place") == 0).alias("home"),
+    )
+    # A shard's passages come first, then the documents, which pass one by one.
+    lines = copies.unionByName(readers).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "reads")
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, number, automaton, ready = None, {}, None, False
+        for batch in (part for whole in batches for part in slices([whole], "text", WORD_SLICE_BYTES)):
+            keys = list(zip(batch.column("shard").to_pylist(), batch.column("salt").to_pylist(), strict=True))
+            ids, bodies = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            kept, starts, ends = [], [], []
+            for k, reads in enumerate(batch.column("reads").to_pylist()):
+                if keys[k] != at:
+                    at, number, ready = keys[k], {}, False
+                    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+                own = ids[k]
+                if not reads:
+                    for line in bodies[k].split("\n"):
+                        codes = [number.setdefault(w, len(number) + 1) for w in line.split(" ")]
+                        for s in range(len(codes) - size + 1):
+                            key = tuple(codes[s : s + size])
+                            automaton.add_word(key, min(own, automaton.get(key, own)))
+                    continue
+                if not ready:
+                    ready = True
+                    if number:
+                        automaton.make_automaton()
                 spans: list[list[int]] = []
-                for end, source in automaton.iter(codes):
-                    if source >= own:
-                        continue
-                    if spans and end + 1 - size <= spans[-1][1]:
-                        spans[-1][1] = end + 1
-                    else:
-                        spans.append([end + 1 - size, end + 1])
-                if spans:
-                    ids.append(own)
-                    marks.append(batch.column("mark")[k].as_py())
-                    starts.append([s for s, _ in spans])
-                    ends.append([e for _, e in spans])
-        places = pa.list_(pa.int32())
-        kinds = (left.schema.field("doc_id").type, pa.int64(), places, places)
-        arrays = [pa.array(v, t) for v, t in zip((ids, marks, starts, ends), kinds, strict=True)]
-        return pa.Table.from_arrays(arrays, names=["doc_id", "print", "starts", "ends"])
-
-    schema = f"doc_id {kind}, print long, starts array<int>, ends array<int>"
-    pairs = sources.groupBy("shard", "salt").cogroup(streamed.groupBy("to_shard", "to_salt"))
-    places = shared(pairs.applyInArrow(locate, schema))
-    places = places.groupBy("doc_id", "print").agg(
-        F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")
-    )
-    joined = texts.join(places, ["doc_id", "print"], "left").select(
-        *(["row"] if carry else []), "doc_id", "text", "starts", "ends"
-    )
+                if number:
+                    for end, source in automaton.iter(tuple(number.get(w, 0) for w in words_of(bodies[k]))):
+                        if source >= own:
+                            continue
+                        if spans and end + 1 - size <= spans[-1][1]:
+                            spans[-1][1] = end + 1
+                        else:
+                            spans.append([end + 1 - size, end + 1])
+                kept.append(k)
+                starts.append([s for s, _ in spans])
+                ends.append([e for _, e in spans])
+            if kept:
+                rows = batch.take(pa.array(kept))
+                home = rows.column("home")
+                texts_ = pc.if_else(home, rows.column("text"), pa.scalar(None, rows.column("text").type))
+                places = pa.list_(pa.int32())
+                arrays = [rows.column("uid"), rows.column("row"), rows.column("doc_id"), texts_]
+                yield pa.RecordBatch.from_arrays(
+                    [*arrays, pa.array(starts, places), pa.array(ends, places)],
+                    names=["uid", "row", "doc_id", "text", "starts", "ends"],
+                )
+
+    schema = f"uid long, row {row_kind}, doc_id {kind}, text string, starts array<int>, ends array<int>"
+    found = lines.mapInArrow(locate, schema).groupBy("uid").agg(
+        F.first("row", ignorenulls=True).alias("row"), F.first("doc_id").alias("doc_id"), F.first("text", ignorenulls=True).alias("text"),
+        F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"),
+    )
+    none = F.lit(None).cast("array<int>")
+    rest = joined.where("size(to) = 0").select("row", "doc_id", "text", none.alias("starts"), none.alias("ends"))
+    whole = rest.unionByName(found.drop("uid"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         total, removed, kept = [], [], []
@@ -212,16 +266,15 @@ def dedup(
             for s, e in zip(starts or (), ends or (), strict=True):
                 gone[s:e] = True
             removed.append(int(gone.sum()))
-            kept.append(" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
+            kept.append(" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if removed[-1] else words))
         digests = [hashlib.sha256(k.encode()).hexdigest() for k in kept]
         arrays = [pa.array(v, pa.int64()) for v in (total, removed)]
         arrays += [pa.array(v, pa.string()) for v in (kept, digests)]
         names = ["n_words", "n_removed", "kept_text", "kept_sha256"]
-        own = ["row", "doc_id"] if carry else ["doc_id"]
         return pa.RecordBatch.from_arrays([*map(batch.column, own), *arrays], names=own + names)
 
-    schema = f"doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string"
-    if carry:
-        schema = f"row {joined.schema['row'].dataType.simpleString()}, {schema}"
-    out = map_slices(joined, cut, schema)
-    return out.withColumnRenamed("doc_id", id_col)
+    own = [*(["row"] if carry else []), *(["text"] if keep_text else []), "doc_id"]
+    kinds = {"row": row_kind, "text": "string", "doc_id": kind}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in own)
+    schema += ", n_words long, n_removed long, kept_text string, kept_sha256 string"
+    return map_slices(whole, cut, schema, size=WORD_SLICE_BYTES).withColumnRenamed("doc_id", id_col)

@@ -34,7 +34,7 @@ def check(spark, rows, **options):
 
 def test_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    check(spark, [(r.doc_id, r.text) for r in docs.collect()], shard=500, salt=7)
+    check(spark, [(r.doc_id, r.text) for r in docs.collect()], shard=500, stream=20_000)
 
 
 def test_odd_rows(spark):
@@ -45,9 +45,19 @@ def test_odd_rows(spark):
     rows += [(9, " ".join(passage)), (9, " ".join(passage)), (9, "other " + " ".join(passage[20:40])), (2, " ".join(passage[30:50]))]
     rows += [(10 + k, " ".join([word() for _ in range(30)] + passage[k : k + 25] + [word()] * k)) for k in range(30)]
     rows += [(50 + k, "\x0b".join(passage)) for k in range(40)]
-    check(spark, rows, shard=10, salt=5)
+    check(spark, rows, shard=10, stream=300)
     check(spark, rows)
 
 
 def test_empty_table(spark):
     check(spark, [])
+
+
+def test_a_long_source_spreads_over_shards(spark):
+    words = [f"s{k}" for k in range(100_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join(words[500:800])), (4, "only here " * 3)]
+    check(spark, rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("v", F.lit(0).cast("long"))
+    met = substring_dedup.passages(docs, SubstringDedup()).collect()
+    given = [len(r.windows) for r in met if r.windows]
+    assert sum(given) == 100_000 - 12 and len(given) >= 3 and max(given) < 60_000
