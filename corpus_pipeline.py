@@ -17,11 +17,11 @@ ORACLE_SQL = None
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier predicts to be good; rows without words have the labels' share."""
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
-    columns = tuple(docs.columns)
+    others = [c for c in docs.columns if c != "text"]
     scored = quality.score(
-        docs.select(F.struct(*columns).alias("document"), "text"), model, columns=("document",)
+        docs.select(F.struct(*others).alias("document"), "text"), model, columns=("document",), keep_text=True
     )
-    return scored.where("predicted = 1").select("document.*")
+    return scored.where("predicted = 1").select(*["text" if c == "text" else f"document.{c}" for c in docs.columns])
 
 
 def one_per_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +37,15 @@ def one_per_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier one has; a text that loses nothing stays unchanged."""
-    cut = substring_dedup.dedup(docs, carry=tuple(docs.columns))
+    others = tuple(c for c in docs.columns if c != "text")
+    cut = substring_dedup.dedup(docs, carry=others, keep_text=True)
     lost = F.col("n_removed") > 0
-    columns = {c: F.col(f"row.{c}") for c in docs.columns}
-    columns["text"] = F.when(lost, F.col("kept_text")).otherwise(columns["text"])
+    columns = {c: F.col(f"row.{c}") for c in others}
+    columns["text"] = F.when(lost, F.col("kept_text")).otherwise(F.col("text"))
     if "n_chars" in columns:
         length = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
         columns["n_chars"] = F.when(lost, length).otherwise(columns["n_chars"])
-    return cut.select(*[value.alias(name) for name, value in columns.items()])
+    return cut.select(*[columns[name].alias(name) for name in docs.columns])
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
