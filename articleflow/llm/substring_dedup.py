@@ -205,44 +205,56 @@ def dedup(
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, number, automaton, ready = None, {}, None, False
+        seen: list[np.ndarray] = []
         for batch in (part for whole in batches for part in slices([whole], "text", WORD_SLICE_BYTES)):
-            keys = list(zip(batch.column("shard").to_pylist(), batch.column("salt").to_pylist(), strict=True))
-            ids, bodies = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            kept, starts, ends = [], [], []
-            for k, reads in enumerate(batch.column("reads").to_pylist()):
-                if keys[k] != at:
-                    at, number, ready = keys[k], {}, False
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("shard", "salt", "reads")), strict=True))
+            turns = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]]
+            for begin, end in zip(turns, [*turns[1:], len(keys)], strict=True):
+                part, reads = batch.take(pa.array(np.arange(begin, end))), keys[begin][2]
+                if keys[begin][:2] != at:
+                    at, number, ready, seen = keys[begin][:2], {}, False, []
                     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-                own = ids[k]
+                ids, bodies = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
                 if not reads:
-                    for line in bodies[k].split("\n"):
-                        codes = [number.setdefault(w, len(number) + 1) for w in line.split(" ")]
-                        for s in range(len(codes) - size + 1):
-                            key = tuple(codes[s : s + size])
-                            automaton.add_word(key, min(own, automaton.get(key, own)))
+                    for own, body in zip(ids, bodies, strict=True):
+                        for line in body.split("\n"):
+                            codes = [number.setdefault(w, len(number) + 1) for w in line.split(" ")]
+                            for s in range(len(codes) - size + 1):
+                                key = tuple(codes[s : s + size])
+                                automaton.add_word(key, min(own, automaton.get(key, own)))
+                    lines_ = pc.split_pattern(part.column("text"), "\n").flatten()
+                    seen.append(np.unique(runs(split_words(lines_), size)[0]))
                     continue
-                if not ready:
-                    ready = True
-                    if number:
-                        automaton.make_automaton()
-                spans: list[list[int]] = []
-                if number:
-                    for end, source in automaton.iter(tuple(number.get(w, 0) for w in words_of(bodies[k]))):
-                        if source >= own:
-                            continue
-                        if spans and end + 1 - size <= spans[-1][1]:
-                            spans[-1][1] = end + 1
-                        else:
-                            spans.append([end + 1 - size, end + 1])
-                kept.append(k)
-                starts.append([s for s, _ in spans])
-                ends.append([e for _, e in spans])
-            if kept:
-                rows = batch.take(pa.array(kept))
-                home = rows.column("home")
-                texts_ = pc.if_else(home, rows.column("text"), pa.scalar(None, rows.column("text").type))
+                if not ready and number:
+                    automaton.make_automaton()
+                    seen, ready = [np.unique(np.concatenate(seen))], True
+                # Only where a run has the hash of a passage's run are its words read through the automaton.
+                words = split_words(part.column("text"))
+                hashes, place = runs(words, size)
+                place = place[np.isin(hashes, seen[0])] if number else place[:0]
+                row = words.rows[place]
+                edge = np.searchsorted(row, np.arange(len(ids) + 1))
+                starts, ends = [], []
+                for k, own in enumerate(ids):
+                    spans: list[list[int]] = []
+                    near = place[edge[k] : edge[k + 1]] - words.first[k]
+                    listed = words_of(bodies[k]) if len(near) else []
+                    for piece in np.split(near, np.flatnonzero(np.diff(near) > 1) + 1) if len(near) else ():
+                        first = int(piece[0])
+                        codes = tuple(number.get(w, 0) for w in listed[first : int(piece[-1]) + size])
+                        for last, source in automaton.iter(codes):
+                            if source >= own:
+                                continue
+                            stop = first + last + 1
+                            if spans and stop - size <= spans[-1][1]:
+                                spans[-1][1] = stop
+                            else:
+                                spans.append([stop - size, stop])
+                    starts.append([s for s, _ in spans])
+                    ends.append([e for _, e in spans])
+                home = pc.if_else(part.column("home"), part.column("text"), pa.scalar(None, part.column("text").type))
                 places = pa.list_(pa.int32())
-                arrays = [rows.column("uid"), rows.column("row"), rows.column("doc_id"), texts_]
+                arrays = [part.column("uid"), part.column("row"), part.column("doc_id"), home]
                 yield pa.RecordBatch.from_arrays(
                     [*arrays, pa.array(starts, places), pa.array(ends, places)],
                     names=["uid", "row", "doc_id", "text", "starts", "ends"],
