@@ -33,8 +33,8 @@ def call_model(
 ) -> DataFrame:
     """Add ``out`` and ``<out>_error`` from ``fn``, called with batches of prompts.
 
-    A failing batch is retried prompt by prompt, so one bad article costs itself only; its error
-    lands in the error column. Null prompts never reach the model. Set the number of partitions
+    A failing batch of several is retried prompt by prompt, so one bad article costs itself only; its
+    error lands in the error column. Null prompts never reach the model. Set the number of partitions
     before this stage to the number of calls the model server takes at once.
     """
     result = T.StructType(
@@ -51,6 +51,8 @@ def call_model(
             return None, f"{type(exc).__name__}: {exc}"
 
     def answer(texts: list[str]) -> list[tuple]:
+        if len(texts) == 1:
+            return [one(texts[0])]
         try:
             values = fn(texts)
         except Exception:

@@ -104,27 +104,46 @@ def version_chain_hard(v: ReaderViews) -> DataFrame:
     return out.select("entry_id", "polled_at", "action", "version")
 
 
-@query(
-    "version_chain_stored",
-    """WITH b AS (SELECT *, entry_id % 3 AS k FROM v_polls)
-       SELECT entry_id, polled_at,
-              CASE WHEN first THEN CASE k WHEN 0 THEN 'backfill' WHEN 1 THEN 'skip' ELSE 'insert_version' END
-                   WHEN delay = 30 THEN 'skip' ELSE 'insert_version' END AS action,
-              CAST(7 + sum(CASE WHEN (first AND k = 2) OR (NOT first AND delay = 0) THEN 1 ELSE 0 END) OVER (PARTITION BY entry_id ORDER BY polled_at) AS INTEGER) AS version
-       FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY polled_at) = 1 AS first FROM b)""",
-)
-def version_chain_stored(v: ReaderViews) -> DataFrame:
-    """Polls against stored versions: without source hash, with the same one, or with another."""
-    stored = v.snapshots().where("version = 1").selectExpr(
+CHAIN_STORED_SQL = """
+    WITH b AS (SELECT *, entry_id % 3 AS k FROM v_polls)
+    SELECT entry_id, polled_at,
+           CASE WHEN first THEN CASE k WHEN 0 THEN 'backfill' WHEN 1 THEN 'skip' ELSE 'insert_version' END
+                WHEN delay = 30 THEN 'skip' ELSE 'insert_version' END AS action,
+           CAST(7 + sum(CASE WHEN (first AND k = 2) OR (NOT first AND delay = 0) THEN 1 ELSE 0 END) OVER (PARTITION BY entry_id ORDER BY polled_at) AS INTEGER) AS version
+    FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY polled_at) = 1 AS first FROM b)"""
+
+
+def stored_starts(v: ReaderViews) -> DataFrame:
+    """A stored version of every entry: without source hash, with that of its first poll, or another."""
+    return v.snapshots().where("version = 1").selectExpr(
         "entry_id",
         "7 AS version",
         "CASE entry_id % 3 WHEN 0 THEN NULL WHEN 1 THEN sha2(content_text, 256) ELSE 'other' END AS source_hash",
         "'stored' AS content_hash",
     )
-    out = versions.detect_changes(versions.poll_hashes(v.polls()), stored)
+
+
+@query("version_chain_stored", CHAIN_STORED_SQL)
+def version_chain_stored(v: ReaderViews) -> DataFrame:
+    out = versions.detect_changes(versions.poll_hashes(v.polls()), stored_starts(v))
     return out.select("entry_id", "polled_at", "action", "version")
 
 
+@query(
+    "forced_fetch",
+    """SELECT entry_id, polled_at, CAST(1 + (turn + 1) // 2 AS INTEGER) AS version,
+              CASE WHEN turn = 0 AND delay = 0 THEN 'insert_new' WHEN turn % 2 = 0 THEN 'skip'
+                   WHEN delay = 0 THEN 'insert_version' ELSE 'unchanged_touch' END AS action FROM v_polls""",
+)
+def forced_fetch(v: ReaderViews) -> DataFrame:
+    """A source that never seems to change; every second turn is fetched on demand all the same."""
+    polls = v.polls().selectExpr(
+        "entry_id", "polled_at", "'same' AS source_hash", "true AS fetched", "sha2(content, 256) AS content_hash",
+        "minute(polled_at) % 2 = 1 AS force",
+    )
+    return versions.detect_changes(polls).select("entry_id", "polled_at", "version", "action")
+
+
 @query("poll_throughput", f"SELECT action, count(*) AS polls FROM ({_HARD_SQL}) GROUP BY 1")
 def poll_throughput(v: ReaderViews) -> DataFrame:
     return versions.throughput(versions.detect_changes(_hard_polls(v)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -22,17 +23,31 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 class SnapshotState(StatefulProcessor):
     """State of one entry: its source hash, latest content and version, and all contents seen.
 
-    Decides like ``versions.detect_changes``; see the table there.
+    Decides like ``versions.detect_changes``; see the table there. With ``remember_ms`` a content that
+    was not seen again for so long is forgotten, so state stops growing with an entry's history.
     """
 
-    def __init__(self, on_revert: str = "touch"):
+    def __init__(self, on_revert: str = "touch", remember_ms: int | None = None):
         self.on_revert = on_revert
+        self.remember_ms = remember_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.latest = handle.getValueState(
             "latest", "source_hash string, content_hash string, version int"
         )
-        self.seen = handle.getMapState("seen", "content_hash string", "version int")
+        self.seen = handle.getMapState("seen", "content_hash string", "version int", self.remember_ms)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Start from stored snapshots: the newest one is the entry's state, all contents are seen."""
+        best = self.latest.get() if self.latest.exists() else None
+        for row in initialState.itertuples(index=False):
+            source = None if pd.isna(row.source_hash) else row.source_hash
+            if not pd.isna(row.content_hash):
+                self.seen.updateValue((row.content_hash,), (int(row.version),))
+            if best is None or int(row.version) > best[2]:
+                best = (source, row.content_hash, int(row.version))
+        if best is not None:
+            self.latest.update(tuple(best))
 
     def _decide(self, poll, state):
         exists = state is not None
@@ -50,6 +65,8 @@ class SnapshotState(StatefulProcessor):
         if exists and poll.content_hash == content:
             return "unchanged_touch", (poll.source_hash, content, version)
         if exists and self.on_revert == "touch" and self.seen.containsKey((poll.content_hash,)):
+            if self.remember_ms is not None:
+                self.seen.updateValue((poll.content_hash,), self.seen.getValue((poll.content_hash,)))
             return "revert_touch", (poll.source_hash, content, version)
         self.seen.updateValue((poll.content_hash,), (version + 1,))
         action = "insert_version" if exists else "insert_new"
@@ -88,10 +105,19 @@ class SnapshotState(StatefulProcessor):
         pass
 
 
-def stream_changes(polls: DataFrame, on_revert: str = "touch") -> DataFrame:
+def stream_changes(
+    polls: DataFrame,
+    on_revert: str = "touch",
+    stored: DataFrame | None = None,
+    remember: timedelta | None = None,
+) -> DataFrame:
     """Decisions for a stream of polls (entry_id, feed_id, polled_at, source_hash, fetched,
     content_hash, optional force). Needs the RocksDB state store.
 
+    ``stored``: snapshots (entry_id, version, source_hash, content_hash) the first run starts from; a
+    restarted query goes on from its own checkpoint instead. ``remember``: how long a content hash is
+    kept after it was last seen; without it, for ever. A content that was forgotten counts as new.
+
     Only hashes pass through the stateful step; articles are joined to inserts afterwards.
     """
     if "force" not in polls.columns:
@@ -108,9 +134,15 @@ def stream_changes(polls: DataFrame, on_revert: str = "touch") -> DataFrame:
         "content_hash",
         "force",
     )
+    initial = None
+    if stored is not None:
+        known = stored.select("entry_id", F.col("version").cast("int").alias("version"), "source_hash", "content_hash")
+        initial = known.where("entry_id is not null and version is not null").groupBy("entry_id")
+    span = None if remember is None else int(remember.total_seconds() * 1000)
     return narrow.groupBy("entry_id").transformWithStateInPandas(
-        statefulProcessor=SnapshotState(on_revert),
+        statefulProcessor=SnapshotState(on_revert, span),
         outputStructType=OUTPUT,
         outputMode="Append",
-        timeMode="None",
+        timeMode="None" if span is None else "ProcessingTime",
+        initialState=initial,
     )

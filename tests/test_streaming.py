@@ -101,3 +101,105 @@ def test_unread_deltas(spark):
     log = spark.createDataFrame([(1, 5), (2, 9), (3, 4), (4, 4), (5, 6)], "poll bigint, count bigint")
     out = reads.unread_deltas(log).orderBy("poll").collect()
     assert [r["new"] for r in out] == [0, 4, 0, 0, 2]
+
+
+STORED = "entry_id bigint, version int, source_hash string, content_hash string"
+
+
+def _decisions(spark, folder):
+    rows = spark.read.parquet(str(folder / "out" / "decisions")).select("entry_id", "polled_at", "action", "version").collect()
+    return sorted(map(tuple, rows))
+
+
+def test_stream_goes_on_from_stored_snapshots(spark, tmp_path, rocksdb):
+    rows = [(1, 4, "a", "x"), (1, 3, "o", "y"), (2, 2, None, "old"), (3, 9, "q", "k"), (7, 1, "u", "v")]
+    stored = spark.createDataFrame(rows, STORED)
+    _run(spark, tmp_path, FIRST, stored=stored)
+    _run(spark, tmp_path, SECOND, stored=stored)
+    batch = versions.detect_changes(spark.createDataFrame(FIRST + SECOND, POLL), stored)
+    want = sorted(map(tuple, batch.select("entry_id", "polled_at", "action", "version").collect()))
+    got = _decisions(spark, tmp_path)
+    assert got == want
+    assert [r[2] for r in got if r[0] == 2] == ["backfill", "skip"] and max(r[3] for r in got if r[0] == 1) == 5
+
+
+def test_forgotten_contents_leave_the_state(spark, tmp_path, rocksdb):
+    again = [poll(1, 9, "e", "x")]
+    for name, remember, action in (("short", timedelta(milliseconds=1), "insert_version"), ("long", timedelta(days=9), "revert_touch")):
+        folder = tmp_path / name
+        _run(spark, folder, FIRST, remember=remember)
+        _run(spark, folder, [poll(1, 8, "d", "y")], remember=remember)
+        _run(spark, folder, again, remember=remember)
+        assert {r[1]: r[2] for r in _decisions(spark, folder) if r[0] == 1}[again[0][2]] == action
+
+
+def test_late_articles_are_stored_by_replay(spark, tmp_path, rocksdb):
+    here = {"entries": [1]}
+    filters = [SavedFilter(7, "h", parse_rules('[{"field":"url","op":"contains","value":"H"}]'), "mark_read")]
+
+    def job():
+        made = _job(spark, tmp_path, filters=filters)
+        every = made.articles
+        twice = lambda s: every(s).union(every(s).withColumn("content_text", F.concat(F.lit("zz"), "content_text")))
+        made.articles = lambda s: twice(s).where(F.col("entry_id").isin(here["entries"]))
+        return made
+
+    spark.createDataFrame(FIRST, POLL).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    job().start(once=True).awaitTermination()
+    read = lambda t: spark.read.parquet(str(tmp_path / "out" / t))
+    keys = lambda: sorted((r.entry_id, r.version, r.content_text) for r in read("snapshots").collect())
+    assert keys() == [(1, 1, "text x"), (1, 2, "text y")]
+    job().replay(spark)
+    assert len(keys()) == 2
+    here["entries"] = [1, 3]
+    spark.createDataFrame(SECOND, POLL).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    job().start(once=True).awaitTermination()
+    job().replay(spark)
+    assert (3, 1, "text k") in keys() and not [k for k in keys() if k[0] in (2, 4)]
+    here["entries"] = [1, 2, 3, 4]
+    for _ in range(3):
+        job().replay(spark)
+    assert keys() == [(1, 1, "text x"), (1, 2, "text y"), (1, 3, "text w"), (2, 1, "text z"), (3, 1, "text k"), (4, 1, "text m")]
+    assert sorted(r.id for r in read("actions").collect()) == [1, 2, 3, 4]
+
+
+def test_enrichment_asks_once_and_keeps_failures_apart(spark, tmp_path):
+    from articleflow.streaming.enrichment import EnrichJob
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    schema = "entry_id bigint, version int, content_hash string, content_text string"
+
+    def fn(texts):
+        import uuid
+
+        if len(texts) > 1:
+            raise ValueError("one at a time")
+        (calls / f"{texts[0]}-{uuid.uuid4().hex}").touch()
+        if texts[0].startswith("bad"):
+            raise ValueError("bad text")
+        return [texts[0].upper()]
+
+    asked = lambda: sorted(p.name.rsplit("-", 1)[0] for p in calls.iterdir())
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        job = EnrichJob(stream, fn, F.col("content_text"), str(tmp_path / "out"), str(tmp_path / "cp"))
+        job.start().awaitTermination()
+        return job
+
+    job = run([(1, 1, "h1", "one"), (2, 1, "h1", "one"), (3, 1, "h2", "bad2"), (4, 1, None, "no hash"), (5, 1, "h5", None)])
+    assert asked() == ["bad2", "one"]
+    job = run([(1, 2, "h3", "three"), (6, 1, "h1", "one"), (6, 2, "h2", "bad2")])
+    assert asked() == ["bad2", "one", "three"]
+    # A batch that is repeated asks nobody.
+    job._process(spark.createDataFrame([("h1", "one"), ("h2", "bad2")], "content_hash string, prompt string"), 0)
+    assert len(asked()) == 3
+    for _ in range(4):
+        job.retry(spark)
+    assert asked().count("bad2") == 3
+    table = spark.createDataFrame([(1, "h1"), (2, "h2"), (3, "h3"), (4, "h9"), (5, None)], "entry_id bigint, content_hash string")
+    got = {r.entry_id: (r.value, r.attempts, r.error) for r in job.enriched(table).collect()}
+    none = (None, None, None)
+    assert got == {1: ("ONE", None, None), 2: (None, 3, "ValueError: bad text"), 3: ("THREE", None, None), 4: none, 5: none}
