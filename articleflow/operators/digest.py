@@ -58,8 +58,13 @@ def daily_digest(
 def store_summary(snapshots: DataFrame, new: DataFrame) -> DataFrame:
     """Snapshots with generated summaries merged into the metadata of the summarised version.
 
-    ``new``: entry_id, version, summaries map<string,string>. New texts win, other keys stay.
+    ``new``: entry_id, version, summaries map<string,string>. New texts win, other keys stay. Several
+    new rows of one version are merged first; of two texts under one key the greater stays.
     """
+    texts = new.select("entry_id", "version", F.explode_outer("summaries").alias("key", "text"))
+    texts = texts.groupBy("entry_id", "version", "key").agg(F.max("text").alias("text"))
+    pairs = F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "text")))
+    new = texts.groupBy("entry_id", "version").agg(F.map_from_entries(pairs).alias("summaries"))
     meta = parse_metadata(F.col("metadata"))
     joined = snapshots.join(
         new.select("entry_id", "version", F.col("summaries").alias("_new")),

@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 
 from articleflow.functions.text import text_or_empty
 from articleflow.operators.ordering import all_of
+from articleflow.operators.sizing import attach
 from articleflow.schemas import RULE
+from articleflow.session import cut_lineage
 
 # Fields and actions of the rule language.
 FIELDS = ("title", "content", "author", "url", "feed_title")
@@ -113,6 +115,28 @@ def _compiled(filters: list[SavedFilter], columns: list[str]) -> Column:
     return F.array_compact(F.array(*hits))
 
 
+def _holds(columns: list[str]):
+    """Whether a rule given as data holds for the lower-cased fields of a row."""
+    present = [c for c in FIELDS if f"_{c}" in columns]
+
+    def value_of(name: Column) -> Column:
+        return reduce(
+            lambda acc, c: F.when(name == c, F.col(f"_{c}")).otherwise(acc), present, F.lit("")
+        )
+
+    def holds(rule: Column) -> Column:
+        field, value = value_of(rule["field"]), rule["value"]
+        return (
+            F.when(rule["op"] == "contains", F.contains(field, value))
+            .when(rule["op"] == "not_contains", ~F.contains(field, value))
+            .when(rule["op"] == "equals", field == value)
+            .when(rule["op"] == "starts_with", F.startswith(field, value))
+            .otherwise(F.lit(True))
+        )
+
+    return holds
+
+
 def _driven(filters: list[SavedFilter], columns: list[str]) -> Column:
     """The same matches with the rules as constant data, so the plan does not grow with them."""
     rows = [
@@ -137,23 +161,7 @@ def _driven(filters: list[SavedFilter], columns: list[str]) -> Column:
         )
     )
     table = F.from_json(F.lit(json.dumps(rows)), schema)
-    present = [c for c in FIELDS if f"_{c}" in columns]
-
-    def value_of(name: Column) -> Column:
-        return reduce(
-            lambda acc, c: F.when(name == c, F.col(f"_{c}")).otherwise(acc), present, F.lit("")
-        )
-
-    def holds(rule: Column) -> Column:
-        field, value = value_of(rule["field"]), rule["value"]
-        return (
-            F.when(rule["op"] == "contains", F.contains(field, value))
-            .when(rule["op"] == "not_contains", ~F.contains(field, value))
-            .when(rule["op"] == "equals", field == value)
-            .when(rule["op"] == "starts_with", F.startswith(field, value))
-            .otherwise(F.lit(True))
-        )
-
+    holds = _holds(columns)
     matching = F.filter(table, lambda f: F.forall(f["rules"], holds))
     return F.transform(
         matching,
@@ -187,6 +195,66 @@ def match_filters(
     )
 
 
+GRAM = 3
+
+
+def _grams(chars: Column) -> Column:
+    """Runs of up to three neighbouring characters of an array of characters, each once."""
+    at = lambda i: F.coalesce(F.get(chars, i), F.lit(""))
+    return F.array_distinct(F.transform(chars, lambda c, i: F.concat(c, at(i + 1), at(i + 2))))
+
+
+def match_filter_table(entries: DataFrame, filters: DataFrame) -> DataFrame:
+    """(entry_id, filter_id, action) as ``match_filters`` gives them, for any number of saved filters.
+
+    ``filters``: id, rules, auto_action. They stay a table: each is filed under one run of three
+    characters (gram) that an entry must have to match, the rarest among the entries, and entries meet
+    filters where they have that gram in that field; the few pairs left are verified rule by rule. Rules
+    that demand nothing (negations, unknown operators, empty values) can't be filed; a filter of such rules
+    alone is filed under the empty gram, which every entry has. A value shorter than a gram is filed
+    as it is, and entries offer their shorter runs too. A demand on a field entries don't have matches nothing.
+    """
+    lowered = _lowered(entries)
+    present = [c for c in FIELDS if f"_{c}" in lowered.columns]
+    text = lambda c: text_or_empty(c)
+    rule = lambda r: F.struct(
+        text(r["field"]).alias("field"), text(r["op"]).alias("op"), F.lower(text(r["value"])).alias("value")
+    )
+    active = filters.where((F.size("rules") > 0) & (text(F.col("auto_action")) != "")).select(
+        F.col("id").cast("bigint").alias("filter_id"), F.col("auto_action").alias("action"),
+        F.transform("rules", rule).alias("rules"),
+    )
+    active = cut_lineage(active)
+    demands = active.select("filter_id", F.explode("rules").alias("r")).where(
+        F.col("r.op").isin("contains", "equals", "starts_with") & (F.col("r.value") != "") & F.col("r.field").isin(*FIELDS)
+    )
+    chars = demands.select("filter_id", "r.field", F.length("r.value").alias("n"), F.split("r.value", "").alias("chars"))
+    wanted = chars.select("filter_id", "field", "n", F.explode(_grams(F.col("chars"))).alias("gram"))
+    wanted = cut_lineage(wanted.where(F.length("gram") == F.least("n", F.lit(GRAM))).drop("n").distinct())
+
+    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.split(f"_{c}", "").alias("chars")) for c in present]))
+    split = lowered.select("entry_id", fields.alias("f")).select("entry_id", "f.field", "f.chars")
+    runs = split.select("entry_id", "field", F.explode(_grams(F.col("chars"))).alias("gram"))
+    shorter = [F.substring("gram", 1, n) for n in (1, 2)]
+    offered = runs.select("entry_id", "field", F.explode(F.array_distinct(F.array("gram", *shorter))).alias("gram"))
+
+    asked = wanted.select("field", "gram").distinct()
+    met = attach(offered, asked, ["field", "gram"], how="inner").distinct()
+    met = cut_lineage(met)
+    counts = met.groupBy("field", "gram").agg(F.count("*").alias("n"))
+    rated = wanted.join(counts, ["field", "gram"], "left")
+    filed = rated.groupBy("filter_id").agg(
+        F.min_by(F.struct("field", "gram"), F.struct(F.coalesce("n", F.lit(0)), "field", "gram")).alias("at")
+    )
+    filed = cut_lineage(filed.select("filter_id", "at.field", "at.gram"))
+    free = active.join(filed, "filter_id", "left_anti").select("filter_id", F.lit("").alias("field"), F.lit("").alias("gram"))
+    everywhere = lowered.select("entry_id", F.lit("").alias("field"), F.lit("").alias("gram"))
+    pairs = attach(met.unionByName(everywhere), filed.unionByName(free), ["field", "gram"], how="inner")
+    pairs = pairs.select("entry_id", "filter_id").distinct()
+    full = attach(pairs, active, "filter_id", how="inner").join(lowered, "entry_id")
+    return full.where(F.forall("rules", _holds(lowered.columns))).select("entry_id", "filter_id", "action")
+
+
 def filter_actions(matches: DataFrame, at: Column) -> DataFrame:
     """Matches as rows of the action log; ``star`` sets the star, it does not flip it."""
     return matches.where(F.col("action").isin(*ACTIONS)).select(

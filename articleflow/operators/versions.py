@@ -273,7 +273,7 @@ def line_changes(snapshots: DataFrame) -> DataFrame:
             "entry_id",
             "from_version",
             "to_version",
-            F.explode(items).alias("line"),
+            F.explode_outer(items).alias("line"),
             F.lit(sign).alias("sign"),
         )
 
@@ -281,8 +281,9 @@ def line_changes(snapshots: DataFrame) -> DataFrame:
         lines("to_text", 1)
         .unionByName(lines("from_text", -1))
         .groupBy("entry_id", "from_version", "to_version", "line")
-        .agg(F.sum("sign").alias("delta"))
+        .agg(F.sum(F.when(F.col("line").isNotNull(), F.col("sign")).otherwise(0)).alias("delta"))
     )
+    # An empty text has no line but stays as a row without one, so no pair of versions is lost.
     return delta.groupBy("entry_id", "from_version", "to_version").agg(
         F.sum(F.greatest(F.col("delta"), F.lit(0))).alias("added"),
         F.sum(F.greatest(-F.col("delta"), F.lit(0))).alias("removed"),

@@ -426,7 +426,7 @@ def url_routes(v: ReaderViews) -> DataFrame:
     """WITH u AS (SELECT doc_id, doc_id % 25 AS feed_id, 'https://new.example.org/' || doc_id AS new_url,
                      CASE WHEN doc_id % 3 = 0 THEN 'T' || doc_id END AS new_title,
                      CASE WHEN doc_id % 7 = 0 THEN 'https://s.example.org/' || doc_id END AS new_site_url
-              FROM documents WHERE doc_id % 2 = 0),
+              FROM documents),
        l AS (SELECT feed_id, arg_max(new_url, doc_id) AS new_url,
                     arg_max(new_title, doc_id) FILTER (WHERE new_title IS NOT NULL) AS new_title,
                     arg_max(new_site_url, doc_id) FILTER (WHERE new_site_url IS NOT NULL) AS new_site_url FROM u GROUP BY 1)
@@ -435,7 +435,7 @@ def url_routes(v: ReaderViews) -> DataFrame:
 )
 def apply_discovered(v: ReaderViews) -> DataFrame:
     """Many partial updates per feed, some with blank values."""
-    updates = v.table("documents").where("doc_id % 2 = 0").selectExpr(
+    updates = v.table("documents").selectExpr(
         "doc_id % 25 AS feed_id",
         "doc_id AS at",
         "concat('https://new.example.org/', doc_id) AS new_url",

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from articleflow.operators import digest, entries, stats
+from articleflow.operators import digest, entries, rules, stats
 from articleflow.operators.entries import EntryQuery
 from articleflow.plans.registry import AS_OF_SQL, query
 from articleflow.sources.readerviews import AS_OF, ReaderViews, as_of
@@ -374,3 +374,20 @@ def stored_summaries(v: ReaderViews) -> DataFrame:
         F.get_json_object("metadata", "$.summaries.default").alias("default_summary"),
         F.get_json_object("metadata", "$.summaries.eli5").alias("eli5_summary"),
     )
+
+
+@query(
+    "rule_matches_many",
+    """SELECT entry_id, c_custkey AS filter_id, CASE WHEN c_custkey % 2 = 0 THEN 'star' ELSE 'mark_read' END AS action
+       FROM v_entries JOIN customer
+         ON contains(url, '/a/' || c_custkey) AND NOT contains(lower(title), substring(lower(c_mktsegment), 1, 2))""",
+)
+def rule_matches_many(v: ReaderViews) -> DataFrame:
+    """A saved filter for every customer, kept as a table."""
+    rule = "named_struct('field', '{}', 'op', '{}', 'value', {})"
+    url = rule.format("url", "contains", "concat('/A/', c_custkey)")
+    title = rule.format("title", "not_contains", "substring(c_mktsegment, 1, 2)")
+    filters = v.table("customer").selectExpr(
+        "c_custkey AS id", f"array({url}, {title}) AS rules", "IF(c_custkey % 2 = 0, 'star', 'mark_read') AS auto_action"
+    )
+    return rules.match_filter_table(v.entries(), filters)

@@ -610,3 +610,50 @@ def test_pages_join_up(spark):
     assert [(r["tags"], r["has_changes"]) for r in one if r["entry_id"] == 1] == [(["x"], True)]
     assert entries.entry_list(df, config, tags, snaps, EntryQuery(search="nothing such")).collect() == []
     assert entries.has_next(50) and not entries.has_next(49)
+
+
+def test_filter_table_gives_what_compiled_filters_give(spark):
+    import itertools
+    import json
+    import random
+
+    from articleflow.operators import rules
+
+    rng = random.Random(7)
+    texts = ["", "a", "ab", "News Today", "today is new", "ÉTÉ à Paris", "x" * 400 + "needle" + "y" * 300, None, "😀 smile", "a\nb"]
+    entries = [(i, rng.choice(texts), rng.choice(texts), f"https://h{i}.org/p") for i in range(60)] + [(3, "News again", "b", "u")]
+    entries = spark.createDataFrame(entries, "entry_id long, title string, content string, url string")
+    values = ["", None, "a", "AB", "new", "News Today", "été", "needle", "😀", "zzz", "h1", "a\nb"]
+    made = []
+    kinds = ["contains", "not_contains", "equals", "starts_with", "matches", None]
+    for op, field in itertools.product(kinds, ["title", "content", "url", "author", "other", None]):
+        for n in (1, 2, 3):
+            made.append([{"field": field if k == 0 else rng.choice(["title", "content"]), "op": op if k == 0 else rng.choice(kinds), "value": rng.choice(values)} for k in range(n)])
+    rows = [(i, r, rng.choice(["star", "mark_read", "", None])) for i, r in enumerate([*made, [], None])]
+    kind = "id long, rules array<struct<field string, op string, value string>>, auto_action string"
+    table = spark.createDataFrame(rows, kind)
+    filters = [rules.SavedFilter(i, "", rules.parse_rules(json.dumps(r or [])), a) for i, r, a in rows]
+    want = {tuple(r) for r in rules.match_filters(entries, filters).collect()}
+    got = [tuple(r) for r in rules.match_filter_table(entries, table).collect()]
+    assert set(got) == want and len(want) > 100
+    assert not rules.match_filter_table(entries, table.limit(0)).collect()
+
+
+def test_two_new_summaries_of_one_version_give_one_row(spark):
+    from articleflow.operators import digest
+
+    snapshots = spark.createDataFrame([(1, 1, None), (2, 1, '{"summary":"s"}')], "entry_id long, version int, metadata string")
+    new = [(1, 1, {"a": "x"}), (1, 1, {"b": "y", "a": "w"}), (2, 1, {})]
+    new = spark.createDataFrame(new, "entry_id long, version int, summaries map<string,string>")
+    out = {r.entry_id: r.metadata for r in digest.store_summary(snapshots, new).collect()}
+    assert len(out) == 2 and '"a":"x"' in out[1] and '"b":"y"' in out[1] and '"summary":"s"' in out[2]
+
+
+def test_line_changes_keep_pairs_of_empty_texts(spark):
+    from articleflow.operators import versions
+
+    rows = [(1, 1, ""), (1, 2, None), (2, 1, "a\nb"), (2, 2, ""), (2, 3, "b\nc")]
+    snapshots = spark.createDataFrame(rows, "entry_id long, version int, content_text string")
+    out = versions.line_changes(snapshots.withColumn("fetched_at", F.current_timestamp()))
+    got = {(r.entry_id, r.to_version): (r.added, r.removed) for r in out.collect()}
+    assert got == {(1, 2): (0, 0), (2, 2): (0, 2), (2, 3): (2, 0)}
