@@ -56,7 +56,7 @@ def test_stages_on_given_documents(spark):
             for r in rows:
                 assert (r.text == old[r.doc_id].text) == (not lost[r.doc_id])
         elif name == "secret scans":
-            assert len(rows) == len(before) and not any(secrets_of(r.text)[:0] for r in rows)
+            assert len(rows) == len(before)
             for r in rows:
                 assert (r.text == old[r.doc_id].text) == (not secrets_of(old[r.doc_id].text))
                 assert not [x for x in secrets_of(r.text) if x[1] < 3]
