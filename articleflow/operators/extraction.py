@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from html import escape
-from articleflow.functions.htmlparse import PageParser
 from urllib.parse import quote, urljoin
 
 import pandas as pd
@@ -19,20 +18,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from articleflow.functions.htmlparse import CLOSES_P, DROPPED_TAGS, VOID_TAGS, PageParser
 from articleflow.functions.text import collapse_ws, content_hash, source_hash, text_or_empty
 from articleflow.functions.urls import IMAGE_PROXY_PREFIX, image_proxy_url
+from articleflow.operators.selectors import STEPS, let, matched, page_nodes, removed, selector_steps
 from articleflow.operators.sizing import attach, spread
 
-# Tags kept in extracted HTML, and tags dropped with their content.
+# Tags kept in extracted HTML.
 ALLOWED_TAGS = (
     "html body div p a em i b strong span br ul ol li h1 h2 h3 h4 h5 h6 blockquote figure "
     "figcaption img iframe video table thead tbody tr td th pre code sup sub audio source"
 ).split()
-DROPPED_TAGS = ("style", "script", "noscript")
 
 _INLINE = set("a em i b strong span br sup sub code u s small mark abbr cite q time label font".split())
-_VOID = set("area base br col embed hr img input link meta source track wbr".split())
-_CLOSES_P = set("p div ul ol li table blockquote pre h1 h2 h3 h4 h5 h6 section article aside nav figure header footer form".split())
 
 _BLOCK_SQL = T.ArrayType(
     T.StructType(
@@ -43,6 +41,7 @@ _BLOCK_SQL = T.ArrayType(
             T.StructField("inner", T.StringType()),
             T.StructField("link_chars", T.IntegerType()),
             T.StructField("src", T.StringType()),
+            T.StructField("number", T.IntegerType()),
         ]
     )
 )
@@ -55,6 +54,7 @@ _BLOCK_ARROW = pa.list_(
             ("inner", pa.string()),
             ("link_chars", pa.int32()),
             ("src", pa.string()),
+            ("number", pa.int32()),
         ]
     )
 )
@@ -91,6 +91,10 @@ class _Blocks(PageParser):
     def _path(self) -> str:
         return "".join(step for _, step in self.open)
 
+    def _number(self) -> int:
+        tag, step = self.open[-1] if self.open else ("", "/#0")
+        return int(step[len(tag) + 2 :].split("{", 1)[0])
+
     def _block_tag(self) -> str:
         return next((t for t, _ in reversed(self.open) if t not in _INLINE), "div")
 
@@ -106,6 +110,7 @@ class _Blocks(PageParser):
                     "inner": "".join(self.inner).strip(),
                     "link_chars": self.link_chars,
                     "src": None,
+                    "number": self._number(),
                 }
             )
         self._fresh()
@@ -131,7 +136,7 @@ class _Blocks(PageParser):
             alt = at.get("alt") or ""
             path = self._path() + self._step(tag, attrs)
             self.blocks.append(
-                {"tag": "img", "path": path, "text": "", "inner": escape(alt), "link_chars": 0, "src": src}
+                {"tag": "img", "path": path, "text": "", "inner": escape(alt), "link_chars": 0, "src": src, "number": self.count}
             )
             return
         if tag in _INLINE:
@@ -148,9 +153,9 @@ class _Blocks(PageParser):
             self.open.append((tag, self._step(tag, attrs)))
             return
         self._flush()
-        if tag in _CLOSES_P and self.open and self.open[-1][0] == "p":
+        if tag in CLOSES_P and self.open and self.open[-1][0] == "p":
             self.open.pop()
-        if tag not in _VOID:
+        if tag not in VOID_TAGS:
             self.open.append((tag, self._step(tag, attrs)))
 
     def handle_endtag(self, tag):
@@ -260,14 +265,30 @@ _UNIVERSAL = (
     r'\{class="(?:[^"]*(?: |%0A|%09))?sidebar(?:(?: |%0A|%09)[^"]*)?"\}|\{role="complementary"\}'
 )
 
+# The same elements as selectors, for pages whose own selector counts places.
+_UNIVERSAL_SELECTORS = (
+    "//aside",
+    "//nav",
+    "//*[contains(@class, 'sidebar-widget')]",
+    "//*[contains(concat(' ', normalize-space(@class), ' '), ' sidebar ')]",
+    "//*[@role='complementary']",
+)
+
 # Elements whose text is never the article's.
 _NEVER_CONTENT = r"/(?:title|footer|form|button|select|menu|dialog)#"
 
-COMPILED = "select_pattern string, remove_pattern string, unwrap_tags array<string>, unsupported array<string>"
+COMPILED = (
+    "select_pattern string, remove_pattern string, unwrap_tags array<string>, unsupported array<string>, "
+    f"select_steps {STEPS}, remove_steps array<{STEPS}>"
+)
 
 
 def compile_rules(config: DataFrame) -> DataFrame:
-    """Feed settings to patterns: feed_id, select_pattern, remove_pattern, unwrap_tags, unsupported."""
+    """Feed settings to patterns and steps: feed_id and the columns of :data:`COMPILED`.
+
+    A selector that a pattern over paths can express becomes one; others become steps over the page's elements
+    (:mod:`articleflow.operators.selectors`). What neither understands is listed in ``unsupported``.
+    """
 
     def compiled(batches):
         for batch in batches:
@@ -275,26 +296,38 @@ def compile_rules(config: DataFrame) -> DataFrame:
             for feed_id, rules in zip(batch["feed_id"], batch["extract_rules"]):
                 rules = rules or {}
                 select = rules.get("content_xpath")
-                bad = [select] if select and xpath_pattern(select) is None else []
+                pattern = xpath_pattern(select)
+                steps = selector_steps(select) if pattern is None else None
+                bad = [select] if select and select.strip() and pattern is None and steps is None else []
                 removes = [glob_pattern(g) for g in _items(rules.get("remove_tags"))]
+                remove_steps = []
                 for xpath in _items(rules.get("remove_xpath")):
-                    pattern = xpath_pattern(xpath)
-                    if pattern is None:
+                    path = xpath_pattern(xpath)
+                    counted = selector_steps(xpath) if path is None or steps is not None else None
+                    if path is None and counted is None:
                         bad.append(xpath)
-                    else:
-                        removes.append(pattern)
+                    if path is not None:
+                        removes.append(path)
+                    if counted is not None:
+                        remove_steps.append(counted)
+                if steps is not None:
+                    remove_steps.extend(selector_steps(x) for x in _UNIVERSAL_SELECTORS)
                 rows.append(
                     (
                         feed_id,
-                        xpath_pattern(select),
+                        pattern,
                         "|".join(f"(?:{r})" for r in removes) or None,
                         _items(rules.get("unwrap_tags")),
                         bad,
+                        steps,
+                        remove_steps,
                     )
                 )
             yield pd.DataFrame(
                 rows,
-                columns=["feed_id", "select_pattern", "remove_pattern", "unwrap_tags", "unsupported"],
+                columns=[
+                    "feed_id", "select_pattern", "remove_pattern", "unwrap_tags", "unsupported", "select_steps", "remove_steps",
+                ],
             )
 
     return config.select("feed_id", "extract_rules").mapInPandas(
@@ -350,6 +383,7 @@ def _measured(blocks: Column) -> Column:
             b["text"].alias("text"),
             b["inner"].alias("inner"),
             b["src"].alias("src"),
+            b["number"].alias("number"),
             _words(b).alias("words"),
             _link_density(b).alias("density"),
         ),
@@ -435,6 +469,25 @@ def _inside(blocks: Column, root: Column) -> Column:
     )
 
 
+def _flag(flags: Column, i: Column) -> Column:
+    return F.coalesce(F.get(flags, i), F.lit(False))
+
+
+def _picked_by_steps(blocks: Column, page: Column, gone: Column, steps: Column) -> Column:
+    """Blocks of the first element the steps pick; none where they pick nothing."""
+
+    def inside(on: Column) -> Column:
+        root = F.get(F.filter(page["nodes"], lambda n: _flag(on, n["number"])), F.lit(0))
+        return let(
+            root,
+            lambda r: F.filter(
+                blocks, lambda b: F.coalesce((b["number"] >= r["number"]) & (b["number"] <= r["last"]), F.lit(False))
+            ),
+        )
+
+    return let(matched(page, steps, gone), inside)
+
+
 def quality(text: Column, html_text: Column) -> tuple[Column, Column]:
     """(too_short, missed_start) of extracted HTML against the extracted text."""
     too_short = F.length(html_text) < F.length(text) * 0.4
@@ -448,12 +501,14 @@ def extract_articles(
     config: DataFrame | None = None,
     known: DataFrame | None = None,
     proxy_images: bool = True,
+    selected: bool = False,
 ) -> DataFrame:
     """Text, HTML and content hash of each page, with the outcome of the quality checks.
 
     ``pages``: url, html and optionally feed_id and source_hash. ``config``: compiled rules (see
     :func:`compile_rules`). ``known``: (url, source_hash) already extracted; those pages are left
-    out before any parsing. Pages without content come back with nulls.
+    out before any parsing. Pages without content come back with nulls. ``selected`` adds the text of what
+    the page's own selector picks, used or not, as selected_text.
     """
     if "source_hash" not in pages.columns:
         pages = pages.withColumn("source_hash", source_hash(F.col("html")))
@@ -469,9 +524,20 @@ def extract_articles(
                 "remove_pattern": F.lit(None).cast("string"),
                 "unwrap_tags": F.lit(None).cast("array<string>"),
                 "unsupported": F.array().cast("array<string>"),
+                "select_steps": F.lit(None).cast(STEPS),
+                "remove_steps": F.lit(None).cast(f"array<{STEPS}>"),
             }
         )
-    df = page_blocks(pages).drop("html")
+    df = page_blocks(pages)
+    page, by_steps = F.col("_page"), F.col("select_steps").isNotNull()
+    if config is None:
+        df = df.drop("html")
+    else:
+        needed = by_steps | (F.size("remove_steps") > 0)
+        df = df.withColumn("_page", page_nodes(F.when(needed, F.col("html")))).drop("html")
+        df = df.withColumn("_gone", removed(page, F.col("remove_steps")))
+        left = let(F.col("_gone"), lambda g: F.filter("blocks", lambda b: ~_flag(g, b["number"])))
+        df = df.withColumn("blocks", F.when(page.isNotNull(), left).otherwise(F.col("blocks")))
     df = df.withColumn(
         "blocks",
         _measured(
@@ -483,7 +549,11 @@ def extract_articles(
     )
     df = df.withColumn("chosen", F.filter(_judged(F.col("scored")), lambda b: b["content"]))
     df = df.withColumn("root", _first_match(F.col("blocks"), F.col("select_pattern")))
-    df = df.withColumn("picked", _inside(F.col("blocks"), F.col("root")))
+    picked = _inside(F.col("blocks"), F.col("root"))
+    if config is not None:
+        steps = _picked_by_steps(F.col("blocks"), page, F.col("_gone"), F.col("select_steps"))
+        picked = F.when(by_steps, steps).otherwise(picked)
+    df = df.withColumn("picked", picked)
     picked = F.transform("picked", lambda b: b.withField("content", F.lit(True)))
     body = F.when(F.size("picked") > 0, picked).otherwise(F.col("chosen"))
     df = df.withColumns({"content_text": _as_text(F.col("chosen")), "body": body})
@@ -495,7 +565,8 @@ def extract_articles(
     df = df.withColumn("content_html", _as_html(shown, proxy_images))
     nothing = (F.length("content_text") == 0) & (F.length("content_html") == 0)
     extracted = F.coalesce(~nothing, F.lit(False))
-    carried = [c for c in pages.columns if c not in ("html", "select_pattern", "remove_pattern", "unwrap_tags", "unsupported")]
+    rules = ("select_pattern", "remove_pattern", "unwrap_tags", "unsupported", "select_steps", "remove_steps")
+    carried = [c for c in pages.columns if c not in ("html", *rules)]
     return df.select(
         *carried,
         extracted.alias("fetched"),
@@ -506,4 +577,5 @@ def extract_articles(
         F.when(extracted, F.col("content_html")).alias("content_html"),
         F.when(extracted, content_hash(F.col("content_text"), F.col("content_html"))).alias("content_hash"),
         "unsupported",
+        *([_as_text(F.col("picked")).alias("selected_text")] if selected else []),
     )

@@ -120,6 +120,22 @@ def test_inline_tags_are_closed(spark):
     assert row["content_html"] == f"<p><b>{LONG} <i>x</i></b> y</p><p>{LONG}</p>"
 
 
+def test_selectors_with_places(spark):
+    row = extract(spark, PAGE, {"content_xpath": "//article/p[2]"})
+    assert row["content_html"].count(LONG) >= 1 and not row["unsupported"]
+    row = extract(spark, PAGE, {"content_xpath": "//div[.//p]"})
+    assert row["unsupported"] == ["//div[.//p]"]
+    page = f"<div><p>{LONG} A</p></div><div><p>{LONG} B</p></div><div><p>{LONG} C</p></div>"
+    row = extract(spark, page, {"remove_xpath": ["//div[p][2]", "//nothing[1]", "//div[last()]"]})
+    assert row["content_text"] == f"{LONG} A" and not row["unsupported"]
+    row = extract(spark, page, {"remove_xpath": ["//div[1]"], "content_xpath": "/div[1]"})
+    assert row["content_html"] == f"<p>{LONG} B</p>" or row["missed_start"] or row["too_short"]
+    row = extract(spark, page, {"content_xpath": "//p[contains(text(), ' B')]/ancestor::div"})
+    assert row["missed_start"]
+    row = extract(spark, "<body><p>x</p><aside><i>y</i></aside><p>" + LONG + "</p></body>", {"content_xpath": "/body/p[2]"})
+    assert row["content_html"] == f"<p>{LONG}</p>" and not row["missed_start"]
+
+
 def test_known_pages_are_left_out(spark):
     pages = spark.createDataFrame([(1, "https://a", f"<p>{LONG}</p>"), (1, "https://b", f"<p>{LONG}</p>")], SCHEMA)
     first = extraction.extract_articles(pages)
