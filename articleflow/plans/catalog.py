@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from articleflow.plans import registry
 
-MODULES = ("reading", "feeds", "texts", "versions", "pages", "streams")
+MODULES = ("reading", "feeds", "texts", "versions", "pages", "streams", "stored")
 
 
 def _load() -> None:

@@ -20,10 +20,16 @@ def daily_reads(read_events: DataFrame, late: str = "1 day") -> DataFrame:
     )
 
 
+def first_deliveries(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
+    """Each event once, however often it is delivered within ``late`` of the newest; keys older than that leave the state."""
+    timed = events.withColumn("read_at", F.col("read_at").cast("timestamp"))
+    return timed.withWatermark("read_at", late).dropDuplicatesWithinWatermark(keys)
+
+
 def write_updates(
-    updates: DataFrame, path: str, checkpoint: str, every: str | None = None
+    updates: DataFrame, path: str, checkpoint: str, every: str | None = None, mode: str = "update"
 ) -> StreamingQuery:
-    """Start an update-mode query that logs each micro-batch in its own folder.
+    """Start a query, of updates unless told otherwise, that logs each micro-batch in its own folder.
 
     A repeated batch overwrites its folder, so the log is the same after any restart. ``every``
     gives a polling interval; without it the query ends with the data at hand.
@@ -33,7 +39,7 @@ def write_updates(
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     writer = (
-        updates.writeStream.outputMode("update")
+        updates.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .foreachBatch(log)
     )
@@ -41,6 +47,11 @@ def write_updates(
     return writer.start()
 
 
+def append_batches(rows: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """As :func:`write_updates` for rows that are final: the folder is a table every row of which is written once."""
+    return write_updates(rows, path, checkpoint, every, "append")
+
+
 def latest_updates(log: DataFrame, keys: list[str]) -> DataFrame:
     """Present value per key of an update log."""
     return top_per_group(log, keys, [F.desc("batch_id")], 1).drop("batch_id")
