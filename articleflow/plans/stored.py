@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from articleflow.operators.searchindex import SearchIndex
 from articleflow.plans.registry import query
 from articleflow.session import work_folder
 from articleflow.sources.buckets import BucketedTable
@@ -50,3 +51,16 @@ def stream_reads_once(v: ReaderViews) -> DataFrame:
     again = v.spark.readStream.schema(stored.schema).parquet(f"{folder}/reads")
     reads.write_updates(reads.daily_reads(again), f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
     return reads.latest_updates(v.spark.read.parquet(f"{folder}/log"), ["day"])
+
+
+@query(
+    "entry_search_indexed",
+    """SELECT entry_id, feed_id, md5(title) AS title_md5 FROM v_entries
+       WHERE contains(lower(title || chr(10) || content), 'dhaed') AND contains(lower(title || chr(10) || content), 'on')
+         AND contains(lower(title || chr(10) || content), 'thin')""",
+)
+def entry_search_indexed(v: ReaderViews) -> DataFrame:
+    """A search over all entries by postings of its rarest runs."""
+    index = SearchIndex(v.spark, f"{work_folder(v.spark)}/index")
+    index.add(v.entries())
+    return index.search(v.entries(), "dhaED on Thin").select("entry_id", "feed_id", F.md5("title").alias("title_md5"))
