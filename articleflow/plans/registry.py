@@ -67,10 +67,10 @@ VIEWS: dict[str, str] = {
         FROM pages, (VALUES (1), (2), (3), (4)) AS t(stage) WHERE stage <= 2 OR page_id % 2 = 0""",
     "v_url_history": """
         SELECT event_id % 20 AS feed_id, 'https://old.example.com/' || event_id AS old_url,
-               'https://old.example.com/' || (event_id + 7) AS new_url,
+               CASE WHEN event_type = 'signup' THEN 'https://new.example.com/' ELSE 'https://old.example.com/' END || (event_id + 7) AS new_url,
                CASE WHEN event_id % 2 = 0 THEN 'set-url' ELSE 'auto-discover' END AS source,
                TIMESTAMP '2024-01-01 00:00:00' + to_seconds(event_id) AS changed_at
-        FROM events WHERE event_id % 50 < 43""",
+        FROM events""",
     "v_actions": """
         SELECT event_id AS seq, user_id AS id,
                CASE event_type WHEN 'view' THEN 'mark_read' WHEN 'click' THEN 'toggle_star'

@@ -167,11 +167,11 @@ class ReaderViews:
         )
 
     def url_history(self) -> DataFrame:
-        """Chains of address changes: numbered addresses move on by seven until their block ends."""
-        return self.table("events").where("event_id % 50 < 43").selectExpr(
+        """Chains of address changes of all lengths: numbered addresses move on by seven until a sign-up ends them."""
+        return self.table("events").selectExpr(
             "event_id % 20 AS feed_id",
             "concat('https://old.example.com/', event_id) AS old_url",
-            "concat('https://old.example.com/', event_id + 7) AS new_url",
+            "concat(IF(event_type = 'signup', 'https://new.example.com/', 'https://old.example.com/'), event_id + 7) AS new_url",
             "IF(event_id % 2 = 0, 'set-url', 'auto-discover') AS source",
             f"{_DAY0} + make_dt_interval(0, 0, 0, CAST(event_id AS DECIMAL(18, 6))) AS changed_at",
         )
