@@ -24,9 +24,6 @@ from articleflow.llm.common import WORD_SLICE_BYTES, discard, map_slices, shared
 from articleflow.llm.wordhash import Words, runs, split_words
 from articleflow.operators.sizing import attach
 
-_SPACE = " \t\n\v\f\r"
-_TO_SPACE = str.maketrans({c: " " for c in _SPACE[1:]})
-
 
 @dataclass(frozen=True)
 class SubstringDedup:
@@ -39,9 +36,9 @@ class SubstringDedup:
     stream: int = 8 << 20
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words: runs of characters other than space and the control characters 9 to 13."""
-    return [w for w in (text or "").translate(_TO_SPACE).split(" ") if w]
+def words_of(text: bytes | None) -> list[bytes]:
+    """Words of UTF-8: runs of bytes other than space and the control characters 9 to 13, as ``bytes.split`` cuts."""
+    return (text or b"").split()
 
 
 def _windows(words: Words, options: SubstringDedup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,19 +168,20 @@ def dedup(
     size = options.words
 
     def stretches(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        out = []
+        out, bodies = [], batch.column("text").cast(pa.binary()).to_pylist()
         for k in range(batch.num_rows):
-            words, first = words_of(batch.column("text")[k].as_py()), batch.column("doc_id")[k].as_py()
+            words, first = words_of(bodies[k]), batch.column("doc_id")[k].as_py()
             hashes, at = runs(split_words(batch.column("text").slice(k, 1)), size)
             for given in batch.column("gives")[k].as_py():
                 starts = at[np.isin(hashes.view(np.int64), np.array(given["windows"], np.int64))]
                 cuts = np.flatnonzero(np.diff(starts) > 1) + 1
-                lines = [" ".join(words[part[0] : part[-1] + size]) for part in np.split(starts, cuts) if len(part)]
-                out.append((given["shard"], first, "\n".join(lines)))
+                lines = [b" ".join(words[part[0] : part[-1] + size]) for part in np.split(starts, cuts) if len(part)]
+                out.append((given["shard"], first, b"\n".join(lines)))
         if not out:
             return None
         shards, firsts, lines = zip(*out, strict=True)
-        arrays = [pa.array(shards, pa.int64()), pa.array(firsts, batch.schema.field("doc_id").type), pa.array(lines)]
+        arrays = [pa.array(shards, pa.int64()), pa.array(firsts, batch.schema.field("doc_id").type)]
+        arrays.append(pa.array(lines, pa.binary()).cast(pa.string()))
         return pa.RecordBatch.from_arrays(arrays, names=["shard", "doc_id", "text"])
 
     sources = joined.where("size(gives) > 0").select("doc_id", "text", "gives")
@@ -214,11 +212,11 @@ def dedup(
                 if keys[begin][:2] != at:
                     at, number, ready, seen = keys[begin][:2], {}, False, []
                     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-                ids, bodies = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
+                ids, bodies = part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist()
                 if not reads:
                     for own, body in zip(ids, bodies, strict=True):
-                        for line in body.split("\n"):
-                            codes = [number.setdefault(w, len(number) + 1) for w in line.split(" ")]
+                        for line in body.split(b"\n"):
+                            codes = [number.setdefault(w, len(number) + 1) for w in line.split(b" ")]
                             for s in range(len(codes) - size + 1):
                                 key = tuple(codes[s : s + size])
                                 automaton.add_word(key, min(own, automaton.get(key, own)))
@@ -271,17 +269,18 @@ def dedup(
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         total, removed, kept = [], [], []
-        for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "ends")), strict=True):
+        bodies = batch.column("text").cast(pa.binary()).to_pylist()
+        for text, starts, ends in zip(bodies, *(batch.column(c).to_pylist() for c in ("starts", "ends")), strict=True):
             words = words_of(text)
             total.append(len(words))
             gone = np.zeros(len(words), bool)
             for s, e in zip(starts or (), ends or (), strict=True):
                 gone[s:e] = True
             removed.append(int(gone.sum()))
-            kept.append(" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if removed[-1] else words))
-        digests = [hashlib.sha256(k.encode()).hexdigest() for k in kept]
+            kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if removed[-1] else words))
+        digests = [hashlib.sha256(k).hexdigest() for k in kept]
         arrays = [pa.array(v, pa.int64()) for v in (total, removed)]
-        arrays += [pa.array(v, pa.string()) for v in (kept, digests)]
+        arrays += [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(digests, pa.string())]
         names = ["n_words", "n_removed", "kept_text", "kept_sha256"]
         return pa.RecordBatch.from_arrays([*map(batch.column, own), *arrays], names=own + names)
 
