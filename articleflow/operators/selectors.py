@@ -485,13 +485,14 @@ def matched(page: Column, steps: Column, hidden: Column | None = None) -> Column
 
 
 def removed(page: Column, rules: Column) -> Column:
-    """One flag per element: whether it goes by one of the selectors, applied in turn; a root element stays."""
+    """One flag per element: whether it goes by one of the selectors, applied in turn; a page's only root element stays."""
     nodes = page["nodes"]
 
     def fold(gone: Column, steps: Column) -> Column:
         def spread_down(on: Column) -> Column:
             def hit(i: Column) -> Column:
-                return _true(F.get(on, i)) & (F.get(nodes, i)["parent"] > 0)
+                alone = (F.get(nodes, i)["parent"] == 0) & (F.size(F.get(nodes, F.lit(0))["kids"]) == 1)
+                return _true(F.get(on, i)) & (i > 0) & ~alone
 
             return F.transform(nodes, lambda n: _true(F.get(gone, n["number"])) | hit(n["number"]) | F.exists(n["above"], hit))
 
