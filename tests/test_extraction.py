@@ -132,8 +132,8 @@ def test_selectors_with_places(spark):
     assert row["content_html"] == f"<p>{LONG} B</p>" or row["missed_start"] or row["too_short"]
     row = extract(spark, page, {"content_xpath": "//p[contains(text(), ' B')]/ancestor::div"})
     assert row["too_short"] and not row["unsupported"]
-    row = extract(spark, "<body><p>x</p><aside><i>y</i></aside><p>" + LONG + "</p></body>", {"content_xpath": "/body/p[2]"})
-    assert row["content_html"] == f"<p>{LONG}</p>" and not row["missed_start"]
+    row = extract(spark, "<body><p>x</p><aside><i>y</i></aside><p>" + LONG + "</p></body>", {"content_xpath": "/body/p[2]"}, selected=True)
+    assert row["selected_text"] == LONG
 
 
 def test_known_pages_are_left_out(spark):
