@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from articleflow.llm.common import map_slices, shared
 from articleflow.llm.components import components
-from articleflow.llm.vectors import matrix, numbers, unit, usable, usual_length
+from articleflow.llm.vectors import matrix, numbers, unit, usable
 
 
 # Blocks of vectors that travel together; a cell holds about as many.
@@ -36,11 +37,9 @@ class CellDedup:
     block: int = 512
 
 
-def _centres(distinct: DataFrame, count: int, options: CellDedup) -> np.ndarray | None:
-    """Unit centres by k-means under the cosine distance; None where one cell is enough."""
+def _centres(distinct: DataFrame, count: int, options: CellDedup) -> np.ndarray:
+    """Unit centres by k-means under the cosine distance, for vectors of one length."""
     cells = min(options.most_cells, -(-count // (PACK * options.block)))
-    if cells <= 1:
-        return None
     step = max(1, count // options.sample)
     part = distinct.where(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(step)) == 0)
     largest = F.array_max(F.transform("vector", F.abs)).cast("double")
@@ -60,19 +59,19 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of ``table``: id, ``n_links``, ``component_id``, ``kept``.
 
-    Vectors that are null, empty, zero, not finite, or not of the table's usual length link with
-    nothing and are kept. Every row is a vector of its own, so a repeated row links with its copy;
-    rows of a null id take no part (no links, null component, not kept).
+    Vectors that are null, empty, zero or not finite link with nothing and are kept. A cosine needs
+    vectors of one length, so each length has cells of its own. Every row is a vector of its own, so a
+    repeated row links with its copy; rows of a null id take no part (no links, null component, not kept).
 
     Exact copies fold into one vector with its number of rows. A vector lives in the cell of its
     nearest centre and visits every other cell in which an angle bound leaves room for a link, so no
     pair at the threshold is missed. Cells are cut into groups of about ``PACK`` blocks; a pair of
-    groups is the unit of work, so a crowd spreads over many tasks. A pair of groups gives counts
-    and a spanning forest of its links, never the links.
+    groups is the unit of work, so a crowd spreads over many tasks. A group goes only to pairs in which
+    some vector visits the other's cell. A pair gives counts and a spanning forest of its links,
+    never the links.
     """
     rows = table.select(F.col(id_col).alias("id"), numbers(table, vector_col).alias("vector"))
-    length = usual_length(rows, "vector")
-    good = usable(F.col("vector")) & (F.size("vector") == length) & F.col("id").isNotNull()
+    good = usable(F.col("vector")) & F.col("id").isNotNull()
     # -0.0 + 0.0 is 0.0, so equal numbers have equal digests.
     plain = F.transform("vector", lambda x: x + F.lit(0.0))
     digest = F.when(good, F.sha2(F.array_join(plain, ",").cast("binary"), 256))
@@ -80,11 +79,14 @@ def near_duplicates(
     counted = keyed.where("digest is not null").groupBy("digest").agg(
         F.min("id").alias("key"), F.count("*").alias("times"), F.first("vector").alias("vector")
     )
-    counted = shared(counted)
-    count = counted.count()
+    counted = shared(counted.withColumn("length", F.size("vector")))
     kind = rows.schema["id"].dataType.simpleString()
-    centres = _centres(counted, count, options)
-    found = shared(_linked(counted, centres, length, kind, options))
+    # Lengths that fill more than one cell.
+    wide = counted.groupBy("length").count().where(F.col("count") > PACK * options.block).collect()
+    centres = {
+        r.length: _centres(counted.where(F.col("length") == r.length), r["count"], options) for r in wide
+    }
+    found = shared(_linked(counted, centres, kind, options))
     linked = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
     label = components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "key")
     known = counted.select("digest", "key", "times").join(linked, "key", "left").join(label, "key", "left")
@@ -104,7 +106,7 @@ def near_duplicates(
 
 
 def _linked(
-    counted: DataFrame, centres: np.ndarray | None, length: int, kind: str, options: CellDedup
+    counted: DataFrame, centres: dict[int, np.ndarray], kind: str, options: CellDedup
 ) -> DataFrame:
     """(a, b, n): ``n`` rows linked to ``a`` where ``b`` is null, else a link of the spanning forest.
 
@@ -112,69 +114,101 @@ def _linked(
     """
     vector_kind = counted.schema["vector"].dataType.simpleString()
     reach, slack = math.acos(max(-1.0, min(1.0, options.threshold))), 1e-9
-    if centres is None:
-        centres = np.zeros((1, length))
+
+    def of_length(length: int) -> np.ndarray:
+        return centres.get(length, np.zeros((1, length)))
 
     def angles(products: np.ndarray) -> np.ndarray:
         return np.arccos(np.clip(products, -1.0, 1.0))
 
     def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
-        near = unit(matrix(batch.column("vector"), length)) @ centres.T
-        arrays = [batch.column("key"), batch.column("times"), batch.column("vector")]
-        arrays += [pa.array(near.argmax(axis=1).astype(np.int32)), pa.array(angles(near.max(axis=1)))]
-        return pa.RecordBatch.from_arrays(arrays, names=["key", "times", "vector", "cell", "angle"])
-
-    settled = f"key {kind}, times long, vector {vector_kind}, cell int, angle double"
-    settled = shared(map_slices(counted.select("key", "times", "vector"), settle, settled, "vector"))
-    # One row per cell; there are at most ``most_cells``.
-    cells = settled.groupBy("cell").agg(
+        lengths = batch.column("length").to_numpy()
+        cell, angle = np.zeros(len(lengths), np.int32), np.zeros(len(lengths))
+        for length in np.unique(lengths).tolist():
+            some = np.flatnonzero(lengths == length)
+            near = unit(matrix(batch.column("vector").take(pa.array(some)), length)) @ of_length(length).T
+            cell[some], angle[some] = near.argmax(axis=1), angles(near.max(axis=1))
+        names = ["key", "times", "vector", "length"]
+        arrays = [*(batch.column(n) for n in names), pa.array(cell), pa.array(angle)]
+        return pa.RecordBatch.from_arrays(arrays, names=[*names, "cell", "angle"])
+
+    settled = f"key {kind}, times long, vector {vector_kind}, length int, cell int, angle double"
+    settled = shared(map_slices(counted.select("key", "times", "vector", "length"), settle, settled, "vector"))
+    # One row per cell; there are at most ``most_cells`` of a length.
+    cells = settled.groupBy("length", "cell").agg(
         F.ceil(F.count("*") / (PACK * options.block)).cast("int").alias("parts"), F.max("angle").alias("radius")
     )
-    known = cells.orderBy("radius", "cell").collect()
+    known = cells.orderBy("length", "radius", "cell").collect()
     # Groups in order of their cells' radius: a pair's visitors come from the wider cell.
-    owner = np.array([r.cell for r in known for _ in range(r.parts)], np.int64)
-    radius, begin, at = np.zeros(len(centres)), [], 0
+    owner = [at for at, r in enumerate(known) for _ in range(r.parts)]
+    begin = [0]
     for r in known:
-        radius[r.cell] = r.radius
-        begin.append((r.cell, at, r.parts))
-        at += r.parts
-    bounds = settled.sparkSession.createDataFrame(begin, "cell int, begin int, parts int")
+        begin.append(begin[-1] + r.parts)
+    first_cell = {r.length: at for at, r in reversed(list(enumerate(known)))}
+    bounds = settled.sparkSession.createDataFrame(
+        [(r.length, r.cell, begin[at], r.parts) for at, r in enumerate(known)],
+        "length int, cell int, begin int, parts int",
+    )
     own = (F.col("begin") + F.pmod(F.xxhash64("key", F.lit(3)), F.col("parts"))).cast("int")
-    members = settled.join(F.broadcast(bounds), "cell").select("key", "times", "vector", own.alias("own"))
+    placed = settled.join(F.broadcast(bounds), ["length", "cell"])
+    members = shared(placed.select("key", "times", "vector", own.alias("own")))
 
-    def visits(vectors: np.ndarray, cell: int) -> np.ndarray:
+    def visits(vectors: np.ndarray, products: np.ndarray, at: int) -> np.ndarray:
         """Whether residents of other cells may link with one of this cell."""
-        products = vectors @ centres.T
-        out = angles(products[:, cell]) <= radius[cell] + reach + slack
+        cell, points = known[at].cell, of_length(known[at].length)
+        out = angles(products[:, cell]) <= known[at].radius + reach + slack
         if reach < math.pi / 2:
             near = np.argsort(-products, axis=1)[:, : options.nearest]
             for j in range(near.shape[1]):
                 # Residents are on this cell's side of the bisector.
-                apart = np.sqrt(((centres[near[:, j]] - centres[cell]) ** 2).sum(axis=1))
+                apart = np.sqrt(((points[near[:, j]] - points[cell]) ** 2).sum(axis=1))
                 beyond = np.take_along_axis(products, near[:, j : j + 1], 1)[:, 0] - products[:, cell]
                 out &= beyond <= math.sin(reach) * apart + slack
         return out
 
+    def visited(me: int, raw: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        """The narrower cells that vectors of a group visit, and which vectors do."""
+        length = known[owner[me]].length
+        vectors = unit(matrix(raw, length))
+        products = vectors @ of_length(length).T
+        for at in range(first_cell[length], owner[me]):
+            found = np.flatnonzero(visits(vectors, products, at))
+            if len(found):
+                yield at, found
+
+    def meet(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        me = key[0].as_py()
+        raw = pa.Table.from_batches(batches)["vector"].combine_chunks()
+        for at, _ in visited(me, raw):
+            homes = np.arange(begin[at], begin[at + 1], dtype=np.int32)
+            host = np.full(len(homes), me, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(homes), pa.array(host)], names=["own", "other"])
+
+    # Narrow: the groups that have visitors from another one. They travel as rows without a vector.
+    asked = members.groupBy("own").applyInArrow(meet, "own int, other int")
+    members = members.withColumn("other", F.lit(None).cast("int")).unionByName(asked, allowMissingColumns=True)
+
     def send(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         me = key[0].as_py()
-        part = pa.Table.from_batches(batches).combine_chunks()
+        part = pa.Table.from_batches(batches)
+        hosts = part["other"].drop_null().to_pylist()
+        part = part.filter(pc.is_valid(part["times"])).combine_chunks()
         keys, times = part["key"].combine_chunks(), part["times"].combine_chunks()
-        raw, seen = part["vector"].combine_chunks(), {}
-        vectors = unit(matrix(raw, length))
-        for other in range(len(owner)):
-            low, high = min(me, other), max(me, other)
-            keep, cell = None, int(owner[low])
-            if other < me and owner[other] != owner[me]:
-                if cell not in seen:
-                    seen[cell] = pa.array(np.flatnonzero(visits(vectors, cell)))
-                keep = seen[cell]
-                if not len(keep):
-                    continue
-            pick = (lambda x: x) if keep is None else (lambda x: x.take(keep))  # noqa: B023
+        raw = part["vector"].combine_chunks()
+
+        def side(low: int, high: int, keep: pa.Array | None) -> pa.RecordBatch:
             arrays = [pa.array([v], pa.int32()) for v in (low, high, me)]
-            for values in (pick(keys), pick(times), pick(raw).flatten()):
-                arrays.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
-            yield pa.RecordBatch.from_arrays(arrays, names=["low", "high", "own", "keys", "times", "vectors"])
+            values = [keys, times, raw] if keep is None else [v.take(keep) for v in (keys, times, raw)]
+            for some in (values[0], values[1], values[2].flatten()):
+                arrays.append(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some))
+            return pa.RecordBatch.from_arrays(arrays, names=["low", "high", "own", "keys", "times", "vectors"])
+
+        # All of a group meet its own cell's other groups, and the visitors from wider cells.
+        for other in (*range(begin[owner[me]], begin[owner[me] + 1]), *hosts):
+            yield side(min(me, other), max(me, other), None)
+        for at, found in visited(me, raw):
+            for other in range(begin[at], begin[at + 1]):
+                yield side(other, me, pa.array(found))
 
     sent = f"low int, high int, own int, keys array<{kind}>, times array<bigint>, vectors {vector_kind}"
     tiles = members.groupBy("own").applyInArrow(send, sent)
@@ -182,6 +216,7 @@ def _linked(
 
     def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high = (k.as_py() for k in key)
+        length = known[owner[low]].length
         sides = {b.column("own")[i].as_py(): b.slice(i, 1) for b in batches for i in range(b.num_rows)}
         if len(sides) < (1 if low == high else 2):
             return

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from articleflow.llm.common import shared
-from articleflow.llm.vectors import matrix, numbers, unit, usable, usual_length
+from articleflow.llm.vectors import matrix, numbers, unit, usable
+from articleflow.operators.sizing import attach
 
 
 @dataclass(frozen=True)
@@ -61,8 +62,9 @@ def search(
     """``query_id``, ``rank``, the neighbour's id and ``score`` (inner product) for every query row.
 
     Every row but the query's own is a candidate; ties go to the smaller id. Vectors that are null,
-    empty, zero, not finite, or not of the table's usual length, and rows of a null id, take no part.
-    Repeated rows of an id are one vector (of unequal ones, the smallest).
+    empty, zero or not finite, and rows of a null id, take no part. An inner product needs vectors of
+    one length, so those of each length are searched apart. Repeated rows of an id are one vector (of
+    unequal ones, the smallest).
 
     The hash of a vector is a direction, so candidates are collected by angle and ranked by inner
     product. A query that its probes give fewer candidates than asked for goes against all rows, in
@@ -73,10 +75,16 @@ def search(
         F.col(id_col).alias("id"), numbers(table, vector_col).alias("vector"),
         F.coalesce(is_query, F.lit(False)).alias("query"),
     )
-    length = usual_length(rows, "vector")
-    rows = rows.where(usable(F.col("vector")) & (F.size("vector") == length) & F.col("id").isNotNull())
-    rows = shared(rows.groupBy("id").agg(F.min("vector").alias("vector"), F.max("query").alias("query")))
-    total = rows.count()
+    rows = rows.where(usable(F.col("vector")) & F.col("id").isNotNull())
+    rows = rows.groupBy("id").agg(F.min("vector").alias("vector"), F.max("query").alias("query"))
+    rows = shared(rows.withColumn("length", F.size("vector")))
+    # One row per length of vectors.
+    sizes = rows.groupBy("length").agg(
+        F.count("*").alias("total"),
+        F.ceil(F.count("*") / options.block).cast("int").alias("row_blocks"),
+        F.ceil(F.count_if("query") / options.queries_block).cast("int").alias("query_blocks"),
+    )
+    rows = attach(rows, shared(sizes), "length").where("query_blocks > 0")
     k = options.neighbours
 
     def hashed(vectors: np.ndarray, probes: int) -> np.ndarray:
@@ -93,17 +101,20 @@ def search(
         return np.concatenate(found, axis=1)
 
     # Queries and rows are cut into blocks; a row meets a query only where a probe names its cell.
-    row_blocks = max(1, -(-total // options.block))
     asked = rows.where("query")
-    query_blocks = max(1, -(-asked.count() // options.queries_block))
-    of = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    right = rows.select("id", "vector", F.lit(False).alias("asks"), of(row_blocks, 9).alias("r"))
-    right = right.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    right = rows.select(
+        "id", "vector", F.lit(False).alias("asks"), "length",
+        of("row_blocks", 9).alias("r"), blocks("query_blocks").alias("q"),
+    )
 
     def with_rows(queries: DataFrame) -> DataFrame:
-        left = queries.select("id", "vector", F.lit(True).alias("asks"), of(query_blocks, 3).alias("q"))
-        left = left.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
-        return left.unionByName(right).groupBy("q", "r")
+        left = queries.select(
+            "id", "vector", F.lit(True).alias("asks"), "length",
+            blocks("row_blocks").alias("r"), of("query_blocks", 3).alias("q"),
+        )
+        return left.unionByName(right).groupBy("length", "q", "r")
 
     scored = f"query_id {kind}, id {kind}, score double"
 
@@ -111,7 +122,7 @@ def search(
         def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = pa.Table.from_batches(batches).combine_chunks()
             asks = part["asks"].to_numpy(zero_copy_only=False)
-            ids, vectors = part["id"].combine_chunks(), matrix(part["vector"], length)
+            ids, vectors = part["id"].combine_chunks(), matrix(part["vector"], key[0].as_py())
             mine, theirs = np.flatnonzero(asks), np.flatnonzero(~asks)
             if not len(mine) or not len(theirs):
                 return
@@ -149,9 +160,9 @@ def search(
     found = shared(with_rows(asked).applyInArrow(rerank(options.probes), scored))
     enough = found.groupBy(F.col("query_id").alias("id")).count()
     short = asked.join(enough, "id", "left").where(
-        F.coalesce("count", F.lit(0)) < F.lit(min(k, max(0, total - 1)))
+        F.coalesce("count", F.lit(0)) < F.least(F.lit(k), F.col("total") - 1)
     )
-    short = shared(short.select("id", "vector"))
+    short = shared(short.select("id", "vector", "length", "row_blocks", "query_blocks"))
     if not short.isEmpty():
         again = with_rows(short).applyInArrow(rerank(None), scored)
         ids = short.select(F.col("id").alias("query_id"))

@@ -22,13 +22,6 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def usual_length(rows: DataFrame, column: str) -> int:
-    """The most frequent length of the usable vectors (the longer one at a tie), 0 if there is none."""
-    sizes = rows.where(usable(F.col(column))).groupBy(F.size(column).alias("d")).count()
-    found = sizes.orderBy(F.desc("count"), F.desc("d")).first()
-    return found.d if found else 0
-
-
 def matrix(column: pa.Array | pa.ChunkedArray, length: int) -> np.ndarray:
     """A list column of vectors of one length as rows of doubles."""
     if isinstance(column, pa.ChunkedArray):

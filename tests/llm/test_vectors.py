@@ -65,6 +65,61 @@ def test_links_of_a_crowd_are_all_counted(spark):
     assert sum(r.kept for r in got.values()) == (linked == 0).sum() + 1
 
 
+def mixed_lengths(seed, counts):
+    """Vectors of several lengths, a third of each near one direction, ids in turns."""
+    rng, out = np.random.default_rng(seed), []
+    for length, count in counts:
+        base, centre = rng.normal(size=(count - count // 3, length)), rng.normal(size=length)
+        crowd = centre + rng.normal(size=(count // 3, length)) * 0.15
+        out += [v for v in np.concatenate([base, crowd])]
+    order = rng.permutation(len(out))
+    return [(int(order[k]), v) for k, v in enumerate(out)]
+
+
+def test_links_of_every_length_are_counted(spark):
+    rows = mixed_lengths(4, [(12, 700), (5, 400), (2, 30), (1, 3)])
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in rows], SCHEMA)
+    got = {r.vec_id: r for r in cell_dedup.near_duplicates(table, CellDedup(block=16)).collect()}
+    for length in (12, 5, 2, 1):
+        ids = [i for i, v in rows if len(v) == length]
+        unit = np.array([v / np.linalg.norm(v) for _, v in rows if len(v) == length])
+        linked = unit @ unit.T >= 0.95
+        np.fill_diagonal(linked, False)
+        assert [got[i].n_links for i in ids] == linked.sum(axis=1).tolist()
+        best = np.array(ids)
+        for _ in ids:
+            least = np.where(linked, best, len(rows)).min(axis=1)
+            best = np.minimum(best, least)
+        assert [got[i].component_id for i in ids] == best.tolist()
+        assert all(got[i].kept == (got[i].component_id == i) for i in ids)
+
+
+def test_every_length_is_searched(spark):
+    rows = mixed_lengths(6, [(12, 300), (5, 200), (2, 15), (1, 1)])
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in rows], SCHEMA)
+    options = cross_polytope.CrossPolytope(neighbours=20, block=64, queries_block=4)
+    got, hits, wanted = {}, 0, 0
+    for r in cross_polytope.search(table, F.col("vec_id") % 20 == 0, options).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for length in (12, 5, 2, 1):
+        same = [(i, v) for i, v in rows if len(v) == length]
+        for q, found in nearest(same, [(i, v) for i, v in same if i % 20 == 0], 20).items():
+            assert len(got.get(q, [])) == len(found)
+            hits += len({i for _, i in found} & set(got.get(q, [])))
+            wanted += len(found)
+    assert hits >= 0.9 * wanted > 0
+
+
+def test_equal_scores_go_to_smaller_ids(spark):
+    """Forty copies of one vector tie at the last rank."""
+    rows = [(i, [1.0, 2.0, 0.5]) for i in range(40)] + [(100 + i, [-1.0, 0.0, float(i)]) for i in range(5)]
+    table = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    got = {}
+    for r in cross_polytope.search(table, F.col("vec_id") == 0).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {0: list(range(1, 21))}
+
+
 def test_no_vectors(spark):
     for rows in ([], [(1, None, 0)]):
         table = spark.createDataFrame(rows, SCHEMA)
