@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from articleflow.operators.rules import list_filters
 from articleflow.operators.searchindex import SearchIndex
 from articleflow.plans.registry import query
+from articleflow.schemas import conform
 from articleflow.session import work_folder
+from articleflow.sources import tables
 from articleflow.sources.buckets import BucketedTable
 from articleflow.sources.readerviews import ReaderViews
 from articleflow.streaming import reads
@@ -64,3 +67,38 @@ def entry_search_indexed(v: ReaderViews) -> DataFrame:
     index = SearchIndex(v.spark, f"{work_folder(v.spark)}/index")
     index.add(v.entries())
     return index.search(v.entries(), "dhaED on Thin").select("entry_id", "feed_id", F.md5("title").alias("title_md5"))
+
+
+@query("typed_scan", "SELECT entry_id, feed_id, version, md5(content_text) AS text_md5, url IS NULL AS no_url FROM (SELECT *, NULL AS url FROM v_snapshots)")
+def typed_scan(v: ReaderViews) -> DataFrame:
+    """Snapshots from files of two ages: the first versions were stored before there was a version column."""
+    rows = v.snapshots().select("entry_id", "feed_id", "version", "content_text")
+    path = f"{work_folder(v.spark)}/snapshots"
+    tables.append(rows.where("version = 1").drop("version"), path)
+    tables.append(rows.where("version IS DISTINCT FROM 1").withColumn("retired", F.lit(0)), path)
+    stored = tables.read_table(v.spark, "article_snapshots", path)
+    return stored.select(
+        "entry_id", "feed_id", "version", F.md5("content_text").alias("text_md5"), F.col("url").isNull().alias("no_url")
+    )
+
+
+@query(
+    "filter_list",
+    """SELECT c_custkey AS id, 'filter ' || c_custkey AS name, 'title' AS field, c_name AS value,
+              TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(c_nationkey AS INTEGER)) AS created_at
+       FROM customer""",
+)
+def filter_list(v: ReaderViews) -> DataFrame:
+    """Stored saved filters, read by their declared schema, newest first."""
+    filters = v.table("customer").selectExpr(
+        "c_custkey AS id",
+        "concat('filter ', c_custkey) AS name",
+        "array(named_struct('field', 'title', 'op', 'contains', 'value', c_name)) AS rules",
+        "TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(CAST(c_nationkey AS INT)) AS created_at",
+    )
+    path = f"{work_folder(v.spark)}/filters"
+    tables.append(conform(filters, "saved_filters"), path)
+    rows = list_filters(tables.read_exact(v.spark, "saved_filters", path))
+    return rows.selectExpr(
+        "id", "name", "rules[0].field AS field", "rules[0].value AS value", "CAST(created_at AS TIMESTAMP_NTZ) AS created_at"
+    )

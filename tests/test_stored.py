@@ -6,7 +6,9 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from articleflow.plans.stored import filter_list
 from articleflow.sources.buckets import BucketedTable
+from articleflow.sources.readerviews import ReaderViews
 from articleflow.streaming import reads
 
 SCHEMA = "k long, name string, v int"
@@ -81,3 +83,9 @@ def test_repeated_deliveries_count_once_over_restarts(spark, tmp_path):
     more.selectExpr("id", "CAST(t AS TIMESTAMP) AS read_at").write.mode("append").parquet(source)
     assert run() == [1, 2, 3]
     assert run() == [1, 2, 3]
+
+
+def test_filters_are_listed_newest_first(spark):
+    rows = [(r["created_at"], r["id"]) for r in filter_list(ReaderViews(spark, "/root/testdata/sf0.001")).collect()]
+    assert len(rows) > 100 and len({r[0] for r in rows}) < len(rows)
+    assert rows == sorted(rows, reverse=True)
