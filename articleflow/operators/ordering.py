@@ -101,8 +101,8 @@ class OrderedGroups:
         shifted.update({n: F.lead(c).over(w) for n, c in after.items()})
         if not self.segmented:
             return self._next(self.df.withColumns(shifted))
-        shifted["_first"] = F.lag(F.lit(1)).over(w).isNull()
-        shifted["_last"] = F.lead(F.lit(1)).over(w).isNull()
+        shifted["_segment_first"] = F.lag(F.lit(1)).over(w).isNull()
+        shifted["_segment_last"] = F.lead(F.lit(1)).over(w).isNull()
         rows = self._ready(self.df)
         df = rows.withColumns(shifted)
         key = _key_struct(self.order)
@@ -112,14 +112,14 @@ class OrderedGroups:
         )
         ws = Window.partitionBy(*self.keys).orderBy(_SEG)
         edge = edge.select(
-            *self.keys, _SEG, F.lag("tail").over(ws).alias("_tail"), F.lead("head").over(ws).alias("_head")
+            *self.keys, _SEG, F.lag("tail").over(ws).alias("_segment_tail"), F.lead("head").over(ws).alias("_segment_head")
         )
         df = self._join_seams(df, edge)
-        fixed = {n: F.when(F.col("_first"), F.col("_tail")[n]).otherwise(F.col(n)) for n in before}
+        fixed = {n: F.when(F.col("_segment_first"), F.col("_segment_tail")[n]).otherwise(F.col(n)) for n in before}
         fixed.update(
-            {n: F.when(F.col("_last"), F.col("_head")[n]).otherwise(F.col(n)) for n in after}
+            {n: F.when(F.col("_segment_last"), F.col("_segment_head")[n]).otherwise(F.col(n)) for n in after}
         )
-        return self._next(df.withColumns(fixed).drop("_first", "_last", "_tail", "_head"))
+        return self._next(df.withColumns(fixed).drop("_segment_first", "_segment_last", "_segment_tail", "_segment_head"))
 
     def running_sum(self, value: Column, out: str) -> OrderedGroups:
         """Add the sum of ``value`` over the group's rows up to and including this one."""

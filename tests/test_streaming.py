@@ -103,6 +103,14 @@ def test_unread_deltas(spark):
     assert [r["new"] for r in out] == [0, 4, 0, 0, 2]
 
 
+def test_unread_deltas_of_a_log_in_segments(spark, monkeypatch):
+    monkeypatch.setattr("articleflow.operators.ordering.SEGMENT_ROWS", 20)
+    counts = [(i * 37) % 101 for i in range(300)]
+    log = spark.createDataFrame(list(enumerate(counts)), "poll bigint, count bigint")
+    out = reads.unread_deltas(log).orderBy("poll").collect()
+    assert [r["new"] for r in out] == [0] + [max(b - a, 0) for a, b in zip(counts, counts[1:])]
+
+
 STORED = "entry_id bigint, version int, source_hash string, content_hash string"
 
 
