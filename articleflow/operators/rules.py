@@ -195,27 +195,28 @@ def match_filters(
     )
 
 
-GRAM = 3
+# Characters of the longest run a filter is filed under, and of the start that entries' runs are preselected by.
+GRAM = 16
+HEAD = 3
 
 
-def _grams(chars: Column) -> Column:
-    """Runs of up to three neighbouring characters of an array of characters, each once."""
-    at = lambda i: F.coalesce(F.get(chars, i), F.lit(""))
-    return F.array_distinct(F.transform(chars, lambda c, i: F.concat(c, at(i + 1), at(i + 2))))
+def _windows(chars: Column) -> Column:
+    """Up to ``GRAM`` characters from every place of an array of characters on, each once."""
+    return F.array_distinct(F.transform(chars, lambda c, i: F.array_join(F.slice(chars, i + 1, GRAM), "")))
 
 
 def match_filter_table(entries: DataFrame, filters: DataFrame) -> DataFrame:
     """(entry_id, filter_id, action) as ``match_filters`` gives them, for any number of saved filters.
 
-    ``filters``: id, rules, auto_action. They stay a table: each is filed under one run of three
-    characters (gram) that an entry must have to match, the rarest among the entries, and entries meet
-    filters where they have that gram in that field; the few pairs left are verified rule by rule. Rules
-    that demand nothing (negations, unknown operators, empty values) can't be filed; a filter of such rules
-    alone is filed under the empty gram, which every entry has. A value shorter than a gram is filed
-    as it is, and entries offer their shorter runs too. A demand on a field entries don't have matches nothing.
+    ``filters``: id, rules, auto_action. They stay a table: each is filed under one run of characters
+    (gram) that an entry must have to match, the rarest among the entries, and entries meet
+    filters where they have that gram in that field; the few pairs left are verified rule by rule. A gram
+    is a whole value or ``GRAM`` characters of a longer one, so values that differ late still keep apart.
+    Entries offer runs only where one starts like a gram of that field. Rules that demand nothing
+    (negations, unknown operators, empty values) can't be filed; a filter of such rules alone is filed
+    under the empty gram, which every entry has. A demand on a field entries don't have matches nothing.
     """
     lowered = _lowered(entries)
-    present = [c for c in FIELDS if f"_{c}" in lowered.columns]
     text = lambda c: text_or_empty(c)
     rule = lambda r: F.struct(
         text(r["field"]).alias("field"), text(r["op"]).alias("op"), F.lower(text(r["value"])).alias("value")
@@ -225,22 +226,19 @@ def match_filter_table(entries: DataFrame, filters: DataFrame) -> DataFrame:
         F.transform("rules", rule).alias("rules"),
     )
     active = cut_lineage(active)
-    demands = active.select("filter_id", F.explode("rules").alias("r")).where(
-        F.col("r.op").isin("contains", "equals", "starts_with") & (F.col("r.value") != "") & F.col("r.field").isin(*FIELDS)
-    )
-    chars = demands.select("filter_id", "r.field", F.length("r.value").alias("n"), F.split("r.value", "").alias("chars"))
-    wanted = chars.select("filter_id", "field", "n", F.explode(_grams(F.col("chars"))).alias("gram"))
-    wanted = cut_lineage(wanted.where(F.length("gram") == F.least("n", F.lit(GRAM))).drop("n").distinct())
-
-    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.split(f"_{c}", "").alias("chars")) for c in present]))
-    split = lowered.select("entry_id", fields.alias("f")).select("entry_id", "f.field", "f.chars")
-    runs = split.select("entry_id", "field", F.explode(_grams(F.col("chars"))).alias("gram"))
-    shorter = [F.substring("gram", 1, n) for n in (1, 2)]
-    offered = runs.select("entry_id", "field", F.explode(F.array_distinct(F.array("gram", *shorter))).alias("gram"))
+    each = active.select("filter_id", F.explode("rules").alias("r")).where(F.col("r.field").isin(*FIELDS))
+    # At most one row per field comes to the driver; fields that no rule names are not read.
+    named = {f"_{r['field']}" for r in each.select("r.field").distinct().collect()}
+    lowered = lowered.select("entry_id", *[c for c in lowered.columns if c in named])
+    demands = each.where(F.col("r.op").isin("contains", "equals", "starts_with") & (F.col("r.value") != ""))
+    chars = demands.select("filter_id", "r.field", F.least(F.length("r.value"), F.lit(GRAM)).alias("n"), F.split("r.value", "").alias("chars"))
+    cuts = F.transform(F.sequence(F.lit(0), F.size("chars") - F.col("n")), lambda i: F.array_join(F.slice("chars", i + 1, F.col("n")), ""))
+    wanted = cut_lineage(chars.select("filter_id", "field", F.explode(F.array_distinct(cuts)).alias("gram")).distinct())
 
     asked = wanted.select("field", "gram").distinct()
-    met = attach(offered, asked, ["field", "gram"], how="inner").distinct()
-    met = cut_lineage(met)
+    head = F.substring("gram", 1, HEAD).alias("head")
+    heads = asked.groupBy("field", head).agg(F.collect_set(F.length("gram")).alias("lengths"))
+    met = cut_lineage(_offered(lowered, heads).join(asked, ["field", "gram"], "left_semi"))
     counts = met.groupBy("field", "gram").agg(F.count("*").alias("n"))
     rated = wanted.join(counts, ["field", "gram"], "left")
     filed = rated.groupBy("filter_id").agg(
@@ -255,6 +253,22 @@ def match_filter_table(entries: DataFrame, filters: DataFrame) -> DataFrame:
     return full.where(F.forall("rules", _holds(lowered.columns))).select("entry_id", "filter_id", "action")
 
 
+def _offered(lowered: DataFrame, heads: DataFrame) -> DataFrame:
+    """(entry_id, field, gram): runs of the entries that start with a head (field, head, lengths) and have one of its lengths."""
+    present = [c for c in FIELDS if f"_{c}" in lowered.columns]
+    if not present:
+        return lowered.select("entry_id", F.lit("").alias("field"), F.lit("").alias("gram")).where(F.lit(False))
+    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"_{c}").alias("text")) for c in present]))
+    split = lowered.select("entry_id", fields.alias("f")).select("entry_id", "f.field", F.split("f.text", "").alias("chars"))
+    split = split.join(F.broadcast(heads.select("field").distinct()), "field", "left_semi")
+    runs = split.select("entry_id", "field", F.explode(_windows(F.col("chars"))).alias("run"))
+    starts = F.array_distinct(F.array(*[F.substring("run", 1, n) for n in range(1, HEAD + 1)]))
+    begun = runs.select("entry_id", "field", "run", F.explode(starts).alias("head"))
+    some = attach(begun, heads, ["field", "head"], how="inner").select("entry_id", "field", "run", F.explode("lengths").alias("n"))
+    long_enough = some.where(F.length("run") >= F.col("n"))
+    return long_enough.select("entry_id", "field", F.substr("run", F.lit(1), F.col("n")).alias("gram")).distinct()
+
+
 def filter_actions(matches: DataFrame, at: Column) -> DataFrame:
     """Matches as rows of the action log; ``star`` sets the star, it does not flip it."""
     return matches.where(F.col("action").isin(*ACTIONS)).select(

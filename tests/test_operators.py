@@ -657,3 +657,24 @@ def test_line_changes_keep_pairs_of_empty_texts(spark):
     out = versions.line_changes(snapshots.withColumn("fetched_at", F.current_timestamp()))
     got = {(r.entry_id, r.to_version): (r.added, r.removed) for r in out.collect()}
     assert got == {(1, 2): (0, 0), (2, 2): (0, 2), (2, 3): (2, 0)}
+
+
+def test_filters_that_differ_late_meet_only_their_entries(spark, monkeypatch):
+    from articleflow.operators import rules
+
+    met = []
+    attach = rules.attach
+
+    def counted(facts, dimension, on, **kw):
+        if on == "filter_id":
+            met.append(facts.count())
+        return attach(facts, dimension, on, **kw)
+
+    monkeypatch.setattr(rules, "attach", counted)
+    entries = spark.range(1000, 2000).selectExpr("id AS entry_id", "concat('https://feeds.example.com/articles/', id) AS url")
+    short = "named_struct('field', 'url', 'op', 'contains', 'value', concat('ES/', id))"
+    long = "named_struct('field', 'url', 'op', 'starts_with', 'value', concat('https://feeds.example.com/articles/', id))"
+    table = spark.range(1000, 2000).selectExpr("id", f"array(IF(id % 2 = 0, {short}, {long})) AS rules", "'star' AS auto_action")
+    got = rules.match_filter_table(entries, table).collect()
+    assert sorted((r["entry_id"], r["filter_id"]) for r in got) == [(i, i) for i in range(1000, 2000)]
+    assert met == [1000]
