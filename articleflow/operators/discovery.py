@@ -19,9 +19,11 @@ from articleflow.operators.sizing import spread
 def resolve_fetch(requests: DataFrame, attempts: DataFrame) -> DataFrame:
     """Body of each requested address by the cheapest stage that worked; nulls where none did.
 
-    ``attempts``: url, stage, ok, body. Tasks keep one attempt per address before the shuffle.
+    ``attempts``: url, stage, ok, body. Of several bodies of that stage the smallest in byte order counts, a
+    null last. Tasks keep one attempt per address before the shuffle.
     """
-    won = top_per_group(attempts.where("ok"), ["url"], [F.col("stage")], 1)
+    order = [F.col("stage"), F.col("body").asc_nulls_last()]
+    won = top_per_group(attempts.where("ok"), ["url"], order, 1)
     return requests.join(won.select("url", "stage", "body"), "url", "left")
 
 

@@ -246,9 +246,10 @@ def known_feeds(v: ReaderViews) -> DataFrame:
 
 @query(
     "fetch_resolution",
-    """WITH ok AS (SELECT url, min(stage) AS stage FROM v_fetch_attempts WHERE ok GROUP BY 1)
-       SELECT p.url, CAST(ok.stage AS INTEGER) AS stage, CASE WHEN ok.stage IS NOT NULL THEN md5(p.html) END AS body_md5
-       FROM pages p LEFT JOIN ok USING (url)""",
+    """WITH won AS (SELECT url, stage, body FROM v_fetch_attempts WHERE ok
+                    QUALIFY row_number() OVER (PARTITION BY url ORDER BY stage, body NULLS LAST) = 1)
+       SELECT p.url, CAST(won.stage AS INTEGER) AS stage, md5(won.body) AS body_md5
+       FROM pages p LEFT JOIN won USING (url)""",
 )
 def fetch_resolution(v: ReaderViews) -> DataFrame:
     out = discovery.resolve_fetch(v.table("pages").select("url"), v.fetch_attempts())
