@@ -76,7 +76,11 @@ def raw_links(pages: DataFrame) -> DataFrame:
 
 
 def discover_links(pages: DataFrame) -> DataFrame:
-    """Feed candidates of every page in order, each address once: url, pos, feed_url, title, type."""
+    """Feed candidates of every page in order, each address once: url, pos, feed_url, title, type.
+
+    Pages of one url count as one page: an address that several of them announce comes once, as its first
+    announcement (by place, then title and type) has it.
+    """
     candidates = raw_links(pages).where(is_feed_link(F.col("link_type"), F.col("href")))
     row = F.struct("pos", "title", feed_type(F.col("link_type"), F.col("target")).alias("type"))
     return (

@@ -272,10 +272,10 @@ def _linked_pages(v: ReaderViews) -> DataFrame:
 _BASE = "regexp_extract(url, '^https?://[^/]+')"
 _DIR = "regexp_extract(regexp_replace(url, '[?#].*$', ''), '^https?://[^/]+/(?:.*/)?')"
 _LINKS_SQL = f"""
-    SELECT url, CAST(CASE WHEN url LIKE '%' THEN 0 END AS INTEGER) AS link_no,
-           {_BASE} || '/rss/' || page_id AS feed_url, 'Main' AS title, 'rss' AS type FROM pages
-    UNION ALL SELECT url, 1, 'https://x.example.org/atom.xml', '', 'atom' FROM pages
-    UNION ALL SELECT url, 2, {_DIR} || 'data/feed.json', '', 'json' FROM pages WHERE page_id % 3 = 0"""
+    SELECT DISTINCT url, feed_url, title, type FROM (
+      SELECT url, {_BASE} || '/rss/' || page_id AS feed_url, 'Main' AS title, 'rss' AS type FROM pages
+      UNION ALL SELECT url, 'https://x.example.org/atom.xml', '', 'atom' FROM pages
+      UNION ALL SELECT url, {_DIR} || 'data/feed.json', '', 'json' FROM pages WHERE page_id % 3 = 0)"""
 
 
 @query("feed_links", f"SELECT url, feed_url, title, type FROM ({_LINKS_SQL})")

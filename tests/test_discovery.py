@@ -46,3 +46,14 @@ def test_smallest_body_of_the_cheapest_stage_wins(spark):
         given = attempts.coalesce(1).sortWithinPartitions("body", ascending=ascending)
         out = discovery.resolve_fetch(asked, given).orderBy("url").collect()
         assert [tuple(r) for r in out] == [("u", 1, "b"), ("v", None, None)]
+
+
+def test_feed_links_of_shared_addresses(spark, folder):
+    assert _agrees(spark, folder, "feed_links") > 0
+
+
+def test_an_address_two_pages_announce_comes_once(spark):
+    link = '<link rel="alternate" type="application/rss+xml" href="/{}" title="{}">'
+    pages = [("https://a.org/", link.format("x", "later") + link.format("y", "b")), ("https://a.org/", link.format("y", "a"))]
+    out = discovery.discover_links(spark.createDataFrame(pages, "url string, html string")).orderBy("feed_url").collect()
+    assert [(r["feed_url"], r["pos"], r["title"]) for r in out] == [("https://a.org/x", 0, "later"), ("https://a.org/y", 0, "a")]
