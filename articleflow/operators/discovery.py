@@ -91,7 +91,8 @@ def discover_links(pages: DataFrame) -> DataFrame:
 
 
 def first_candidate(links: DataFrame) -> DataFrame:
-    return links.groupBy("url").agg(F.min_by("feed_url", "pos").alias("new_url"))
+    """First candidate of every page; of several at one place the smallest address."""
+    return links.groupBy("url").agg(F.min_by("feed_url", F.struct("pos", "feed_url")).alias("new_url"))
 
 
 def discovery_outcomes(feeds: DataFrame, attempts: DataFrame, links: DataFrame | None = None) -> DataFrame:

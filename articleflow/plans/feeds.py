@@ -315,12 +315,13 @@ def _probe_inputs(v: ReaderViews) -> tuple[DataFrame, DataFrame]:
 
 _OUTCOME_SQL = f"""
     SELECT page_id AS feed_id,
-           CASE WHEN page_id % 10 = 9 OR page_id % 5 NOT IN (1, 2, 3) THEN 'fetch_failed'
-                WHEN page_id % 7 = 3 THEN 'no_candidate'
-                WHEN page_id % 4 = 0 THEN 'same' ELSE 'candidate' END AS outcome,
-           CASE WHEN page_id % 10 <> 9 AND page_id % 5 IN (1, 2, 3) AND page_id % 7 <> 3
-                THEN {_BASE} || '/rss/' || page_id END AS new_url
-    FROM pages"""
+           CASE WHEN page_id % 10 = 9 OR got IS NULL THEN 'fetch_failed'
+                WHEN got % 7 = 3 THEN 'no_candidate'
+                WHEN page_id % 4 = 0 AND got = page_id THEN 'same' ELSE 'candidate' END AS outcome,
+           CASE WHEN page_id % 10 <> 9 AND got % 7 <> 3 THEN {_BASE} || '/rss/' || got END AS new_url
+    FROM pages LEFT JOIN (
+      SELECT url, page_id AS got FROM pages, (VALUES (1), (2)) AS t(stage) WHERE (page_id + stage) % 5 > 2
+      QUALIFY row_number() OVER (PARTITION BY url ORDER BY stage, IF(page_id % 7 = 3, html, {_LINKED}) NULLS LAST) = 1) USING (url)"""
 
 
 @query("discovery_outcomes", _OUTCOME_SQL)

@@ -57,3 +57,13 @@ def test_an_address_two_pages_announce_comes_once(spark):
     pages = [("https://a.org/", link.format("x", "later") + link.format("y", "b")), ("https://a.org/", link.format("y", "a"))]
     out = discovery.discover_links(spark.createDataFrame(pages, "url string, html string")).orderBy("feed_url").collect()
     assert [(r["feed_url"], r["pos"], r["title"]) for r in out] == [("https://a.org/x", 0, "later"), ("https://a.org/y", 0, "a")]
+
+
+def test_discovery_outcomes_of_shared_addresses(spark, folder):
+    assert _agrees(spark, folder, "discovery_outcomes") > 0
+
+
+def test_first_of_several_candidates_at_one_place(spark):
+    rows = [("u", 0, "b"), ("u", 0, "a"), ("u", 1, "0")]
+    links = spark.createDataFrame(rows, "url string, pos int, feed_url string")
+    assert [tuple(r) for r in discovery.first_candidate(links).collect()] == [("u", "a")]
