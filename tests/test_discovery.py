@@ -67,3 +67,7 @@ def test_first_of_several_candidates_at_one_place(spark):
     rows = [("u", 0, "b"), ("u", 0, "a"), ("u", 1, "0")]
     links = spark.createDataFrame(rows, "url string, pos int, feed_url string")
     assert [tuple(r) for r in discovery.first_candidate(links).collect()] == [("u", "a")]
+
+
+def test_discovery_counts_of_shared_addresses(spark, folder):
+    assert _agrees(spark, folder, "discovery_counts") == 1
