@@ -145,7 +145,7 @@ def outcome_counts(outcomes: DataFrame) -> DataFrame:
 def candidate_sources(primary: DataFrame, parsed: DataFrame) -> DataFrame:
     """Candidates per page: those of the discovery service where it has any, else the parsed ones.
 
-    Both inputs: url, feed_url, title, type.
+    Both inputs: url, feed_url, title, type. A page is its url: one row of the service replaces all parsed ones.
     """
     columns = ["url", "feed_url", "title", "type"]
     kind = F.lower(text_or_empty(F.col("type")))

@@ -346,7 +346,8 @@ def discovery_counts(v: ReaderViews) -> DataFrame:
                CASE page_id % 4 WHEN 0 THEN 'atom' ELSE 'unknown' END AS type, 'service' AS source
         FROM pages WHERE page_id % 2 = 0
         UNION ALL
-        SELECT l.url, l.feed_url, l.title, l.type, 'parsed' FROM ({_LINKS_SQL}) l JOIN pages USING (url) WHERE page_id % 2 = 1""",
+        SELECT l.url, l.feed_url, l.title, l.type, 'parsed' FROM ({_LINKS_SQL}) l
+        WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.page_id % 2 = 0 AND p.url = l.url)""",
 )
 def candidate_sources(v: ReaderViews) -> DataFrame:
     service = v.table("pages").where("page_id % 2 = 0").selectExpr(

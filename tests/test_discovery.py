@@ -71,3 +71,7 @@ def test_first_of_several_candidates_at_one_place(spark):
 
 def test_discovery_counts_of_shared_addresses(spark, folder):
     assert _agrees(spark, folder, "discovery_counts") == 1
+
+
+def test_candidate_sources_of_shared_addresses(spark, folder):
+    assert _agrees(spark, folder, "candidate_sources") > 0
