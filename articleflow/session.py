@@ -10,12 +10,17 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Rows that a Python worker holds at once take this much; parsed pages take many times their size. Without it
+# a worker gets up to 10,000 rows, however wide, so that its memory grows with the rows of a task.
+PYTHON_BATCH = "2m"
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": PYTHON_BATCH,
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 

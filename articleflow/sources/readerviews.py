@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from articleflow.session import ship_package
+from articleflow.session import PYTHON_BATCH, ship_package
 
 AS_OF = datetime(2024, 1, 30, 12, 0, 0)
 _DAY0 = "TIMESTAMP_NTZ '2024-01-01 00:00:00'"
@@ -30,6 +30,7 @@ class ReaderViews:
         self.folder = folder
         self.streaming = streaming
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", PYTHON_BATCH)
         ship_package(spark)
 
     def table(self, name: str) -> DataFrame:
