@@ -18,6 +18,9 @@ LIMIT = 5
 
 TILE_ROWS = 2_048
 
+# Vectors dealt to cells at once: each may go to many, and all those copies are held together.
+DEAL_ROWS = 256
+
 
 def similar_to(
     embeddings: DataFrame,
@@ -64,6 +67,12 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for start in range(0, len(batch), DEAL_ROWS):
+            yield batch.iloc[start : start + DEAL_ROWS]
+
+
 def _pivots(groups: DataFrame, count: int) -> np.ndarray:
     """Sample of at most ``count`` unit vectors; how good they are affects speed, not the result."""
     rows = groups.orderBy(F.xxhash64("group_id"), "group_id").select("embedding").limit(count).collect()
@@ -80,9 +89,7 @@ def _cells_exact(groups: DataFrame, threshold: float, pivots: np.ndarray) -> Dat
     radius = np.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-9
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
+        for batch in _parts(batches):
             x = _unit(batch["embedding"])
             width = max(x.shape[1], pivots.shape[1])
             x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
@@ -110,9 +117,7 @@ def _cells_hashed(groups: DataFrame, bands: int, bits: int, width: int, seed: in
     planes = np.random.default_rng(seed).standard_normal((width, bands * bits))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
+        for batch in _parts(batches):
             x = _unit(batch["embedding"])[:, :width]
             signs = (x @ planes[: x.shape[1]] > 0).reshape(len(x), bands, bits)
             code = signs @ (1 << np.arange(bits)) + (np.arange(bands) << bits)

@@ -1,5 +1,6 @@
 """What a Python worker holds at once."""
 
+import numpy as np
 import pandas as pd
 
 from articleflow.sources.readerviews import ReaderViews
@@ -15,3 +16,12 @@ def test_wide_rows_come_in_small_batches(spark):
 
     held = [r["held"] for r in pages.mapInPandas(sizes, "held long").collect()]
     assert sum(held) == 16_000_000 and max(held) < 3_000_000
+
+
+def test_vectors_are_dealt_to_cells_in_small_parts(spark):
+    from articleflow.operators.similar import DEAL_ROWS, _parts
+
+    batch = pd.DataFrame({"group_id": np.arange(1000)})
+    parts = list(_parts(iter([batch, batch.iloc[:0], batch.iloc[:1]])))
+    assert pd.concat(parts)["group_id"].tolist() == [*range(1000), 0]
+    assert max(map(len, parts)) == DEAL_ROWS
