@@ -18,6 +18,11 @@ LIMIT = 5
 
 TILE_ROWS = 2_048
 
+# Column blocks a cell is cut into before its tiles grow, how many times ``TILE_ROWS`` they grow to, and how many
+# products a task holds at once. Each vector travels once per block, so blocks that grow keep the shuffle down.
+BLOCKS, GROWTH = 8, 8
+PRODUCTS = 4_194_304
+
 # Vectors dealt to cells at once: each may go to many, and all those copies are held together.
 DEAL_ROWS = 256
 
@@ -139,11 +144,15 @@ def _tiles(cells: DataFrame, tile_rows: int) -> DataFrame:
     """Cells cut into tiles of bounded size: (cell, a, b, side, group_id, embedding).
 
     Residents form the rows (side 0, block a), residents and visitors the columns (side 1, block
-    b). A crowded cell becomes many tiles, each with about ``tile_rows`` rows and columns.
+    b). A crowded cell becomes many tiles, each with about ``tile_rows`` rows and columns; where that were
+    more than ``BLOCKS`` column blocks, tiles grow up to ``GROWTH`` times that.
     """
-    sizes = cells.groupBy("cell").agg(
-        F.ceil(F.count_if("resident") / tile_rows).cast("int").alias("blocks_a"),
-        F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("blocks_b"),
+    counted = cells.groupBy("cell").agg(F.count_if("resident").alias("residents"), F.count(F.lit(1)).alias("all"))
+    side = F.least(F.greatest(F.col("all") / BLOCKS, F.lit(tile_rows)), F.lit(GROWTH * tile_rows))
+    sizes = counted.select(
+        "cell",
+        F.ceil(F.col("residents") / side).cast("int").alias("blocks_a"),
+        F.ceil(F.col("all") / side).cast("int").alias("blocks_b"),
     )
     # One row per pivot or hash bucket, a number fixed by the caller.
     sized = cells.join(F.broadcast(sizes), "cell").where("blocks_a > 0")
@@ -184,13 +193,17 @@ def _best_in_tile(threshold: float, limit: int):
         y = np.pad(y, ((0, 0), (0, width - y.shape[1])))
         ids, others = left["group_id"].to_numpy(), right["group_id"].to_numpy()
         order = np.argsort(others, kind="stable")
-        others, sims = others[order], (x @ y[order].T)
-        sims[ids[:, None] == others[None, :]] = -2.0
+        others, y = others[order], y[order]
         kept = []
-        for i in range(len(ids)):
-            near = np.nonzero(sims[i] >= threshold - 1e-12)[0]
-            near = near[np.argsort(-sims[i][near], kind="stable")[:limit]]
-            kept.append((np.full(len(near), ids[i]), others[near], sims[i][near]))
+        step = max(1, PRODUCTS // len(others))
+        for start in range(0, len(ids), step):
+            mine = ids[start : start + step]
+            sims = x[start : start + step] @ y.T
+            sims[mine[:, None] == others[None, :]] = -2.0
+            for i in range(len(mine)):
+                near = np.nonzero(sims[i] >= threshold - 1e-12)[0]
+                near = near[np.argsort(-sims[i][near], kind="stable")[:limit]]
+                kept.append((np.full(len(near), mine[i]), others[near], sims[i][near]))
         return pd.DataFrame(
             {
                 "group_id": np.concatenate([k[0] for k in kept]),

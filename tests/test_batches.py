@@ -25,3 +25,15 @@ def test_vectors_are_dealt_to_cells_in_small_parts(spark):
     parts = list(_parts(iter([batch, batch.iloc[:0], batch.iloc[:1]])))
     assert pd.concat(parts)["group_id"].tolist() == [*range(1000), 0]
     assert max(map(len, parts)) == DEAL_ROWS
+
+
+def test_tiles_of_crowded_cells_grow_and_every_pair_meets_once(spark):
+    from articleflow.operators.similar import _tiles
+
+    cells = spark.range(400).selectExpr("1L AS cell", "id < 100 AS resident", "id AS group_id", "array(1D) AS embedding")
+    tiles = _tiles(cells, 10).drop("embedding").cache()
+    # Eight column blocks for residents, two row blocks for all.
+    assert tiles.count() == 100 * 8 + 400 * 2
+    left, right = tiles.where("side = 0").alias("l"), tiles.where("side = 1").alias("r")
+    met = left.join(right, ["cell", "a", "b"]).select("l.group_id", "r.group_id")
+    assert met.count() == met.distinct().count() == 100 * 400
