@@ -1,12 +1,13 @@
 """Substring search over stored runs of three characters, so a search reads few postings instead of every text.
 
-Postings say which entries hold a run. They are cut by run and entry, so a very common run spreads over files, and
-are sorted, so a search reads the folders and row groups of its own runs alone. Candidates are verified against the
+Postings say which entries hold a run. They are cut by run and entry, so a very common run spreads over files, each
+of which is sorted by run, so a search reads the folders and row groups of its own runs alone. Candidates are verified against the
 entries as they are: postings of old texts cost time, never a wrong result.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,23 +36,29 @@ def runs_of(text: Column) -> Column:
 
 @dataclass
 class SearchIndex:
-    """Postings and counts of runs below ``path``; ``buckets`` folders hold the postings, ``rarest`` runs are looked up."""
+    """Postings and counts of runs below ``path``; ``buckets`` folders hold the postings of each addition, in up to
+    ``slices`` files by entry; ``rarest`` runs are looked up."""
 
     spark: SparkSession
     path: str
     buckets: int = 64
     rarest: int = 3
+    slices: int = 16
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("run"), F.lit(self.buckets)).cast("int").alias("bucket")
 
     def add(self, entries: DataFrame) -> None:
-        """Files new or changed entries: entry_id, title, content. Ids may repeat, texts may be null."""
+        """Files new or changed entries: entry_id, title, content. Ids may repeat, texts may be null.
+
+        The runs of a text are made once: files are dealt by hash, and counts are read from what was written.
+        """
         held = spread(entries.select("entry_id", "title", "content")).select("entry_id", F.explode(runs_of(_haystack())).alias("run"))
-        rows = held.select(self._bucket(), "run", "entry_id").repartitionByRange("bucket", "run", "entry_id")
-        rows = rows.sortWithinPartitions("bucket", "run", "entry_id")
-        rows.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
-        counts = held.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+        part = F.pmod(F.xxhash64("entry_id"), F.lit(self.slices))
+        rows = held.select(self._bucket(), "run", "entry_id").repartition("bucket", part)
+        added = f"{self.path}/postings/added=a{uuid.uuid4().hex}"
+        rows.sortWithinPartitions("bucket", "run", "entry_id").write.partitionBy("bucket").parquet(added)
+        counts = self.spark.read.schema(rows.schema).parquet(added).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
         counts.repartitionByRange("run").sortWithinPartitions("run").write.mode("append").parquet(f"{self.path}/runs")
 
     def _wanted(self, text: str) -> list[str] | None:

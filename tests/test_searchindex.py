@@ -50,3 +50,16 @@ def test_only_postings_of_the_search_are_read(spark, index):
     plan = index.candidates("spark news")._jdf.queryExecution().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket#", plan) and "PushedFilters: [In(run" in plan
     assert index.candidates("ab") is None and index.candidates("qqq").count() == 0
+
+
+def test_runs_of_a_text_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    entries = spark.createDataFrame(ROWS, SCHEMA).mapInPandas(counted, SCHEMA)
+    SearchIndex(spark, str(tmp_path / "i"), buckets=4).add(entries)
+    assert made.value == len(ROWS)
