@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import sys
+from collections import deque
 from collections.abc import Iterator
 from datetime import timedelta
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -17,6 +17,8 @@ OUTPUT = (
     "content_hash string, action string, version int"
 )
 
+_Decision = Row("entry_id", "feed_id", "polled_at", "source_hash", "content_hash", "action", "version")
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -25,6 +27,9 @@ class SnapshotState(StatefulProcessor):
 
     Decides like ``versions.detect_changes``; see the table there. With ``remember_ms`` a content that
     was not seen again for so long is forgotten, so state stops growing with an entry's history.
+
+    Every call of the state store is a round trip to the JVM. So the contents of a batch are gathered and
+    written once each, and an entry without state is not asked for contents, of which it has none.
     """
 
     def __init__(self, on_revert: str = "touch", remember_ms: int | None = None):
@@ -37,19 +42,19 @@ class SnapshotState(StatefulProcessor):
         )
         self.seen = handle.getMapState("seen", "content_hash string", "version int", self.remember_ms)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        """Start from stored snapshots: the newest one is the entry's state, all contents are seen."""
-        best = self.latest.get() if self.latest.exists() else None
-        for row in initialState.itertuples(index=False):
-            source = None if pd.isna(row.source_hash) else row.source_hash
-            if not pd.isna(row.content_hash):
-                self.seen.updateValue((row.content_hash,), (int(row.version),))
-            if best is None or int(row.version) > best[2]:
-                best = (source, row.content_hash, int(row.version))
-        if best is not None:
-            self.latest.update(tuple(best))
-
-    def _decide(self, poll, state):
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        """Start from stored snapshots, one a call: the newest is the entry's state, all contents are seen."""
+        row = initialState
+        if row.content_hash is not None:
+            self.seen.updateValue((row.content_hash,), (row.version,))
+        if not self.latest.exists() or row.version > self.latest.get()[2]:
+            self.latest.update((row.source_hash, row.content_hash, row.version))
+
+    def _is_seen(self, content, gathered: dict, stored: bool) -> bool:
+        return content in gathered or (stored and self.seen.containsKey((content,)))
+
+    def _decide(self, poll, state, gathered: dict, stored: bool):
+        """``gathered``: contents to write with their versions; ``stored``: whether the entry had state before."""
         exists = state is not None
         source, content, version = state if exists else (None, None, 0)
         forced = bool(poll.force)
@@ -64,47 +69,40 @@ class SnapshotState(StatefulProcessor):
             return "failed_retry", state
         if exists and poll.content_hash == content:
             return "unchanged_touch", (poll.source_hash, content, version)
-        if exists and self.on_revert == "touch" and self.seen.containsKey((poll.content_hash,)):
-            if self.remember_ms is not None:
-                self.seen.updateValue((poll.content_hash,), self.seen.getValue((poll.content_hash,)))
+        if exists and self.on_revert == "touch" and self._is_seen(poll.content_hash, gathered, stored):
+            if self.remember_ms is not None and poll.content_hash not in gathered:
+                gathered[poll.content_hash] = self.seen.getValue((poll.content_hash,))[0]
             return "revert_touch", (poll.source_hash, content, version)
-        self.seen.updateValue((poll.content_hash,), (version + 1,))
+        gathered[poll.content_hash] = version + 1
         action = "insert_version" if exists else "insert_new"
         return action, (poll.source_hash, poll.content_hash, version + 1)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stored = self.latest.get() if self.latest.exists() else None
-        state = tuple(stored) if stored is not None else None
-        polls = pd.concat(list(rows)).sort_values(
-            ["polled_at", "source_hash", "content_hash"], kind="stable", na_position="first"
-        )
-        out = []
-        for poll in polls.itertuples(index=False):
-            action, state = self._decide(poll, state)
-            out.append(
-                (
-                    key[0],
-                    poll.feed_id,
-                    poll.polled_at,
-                    poll.source_hash,
-                    poll.content_hash,
-                    action,
-                    0 if state is None else state[2],
-                )
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self.latest.get() if self.latest.exists() else None
+        state, gathered = before, {}
+        polls = deque(sorted(rows, key=_poll_order))
+        while polls:
+            poll = polls.popleft()
+            action, state = self._decide(poll, state, gathered, before is not None)
+            version = 0 if state is None else state[2]
+            yield _Decision(
+                key[0], poll.feed_id, poll.polled_at, poll.source_hash, poll.content_hash, action, version
             )
-        if state is not None:
+        for content, version in gathered.items():
+            self.seen.updateValue((content,), (version,))
+        if state != before:
             self.latest.update(state)
-        yield pd.DataFrame(
-            out,
-            columns=[
-                "entry_id", "feed_id", "polled_at", "source_hash", "content_hash", "action", "version",
-            ],
-        )
 
     def close(self) -> None:
         pass
 
 
+def _poll_order(poll: Row) -> tuple:
+    """Time, then source hash and content hash; nulls first."""
+    at, source, content = poll.polled_at, poll.source_hash, poll.content_hash
+    return (at is not None, at, source is not None, source, content is not None, content)
+
+
 def stream_changes(
     polls: DataFrame,
     on_revert: str = "touch",
@@ -139,7 +137,7 @@ def stream_changes(
         known = stored.select("entry_id", F.col("version").cast("int").alias("version"), "source_hash", "content_hash")
         initial = known.where("entry_id is not null and version is not null").groupBy("entry_id")
     span = None if remember is None else int(remember.total_seconds() * 1000)
-    return narrow.groupBy("entry_id").transformWithStateInPandas(
+    return narrow.groupBy("entry_id").transformWithState(
         statefulProcessor=SnapshotState(on_revert, span),
         outputStructType=OUTPUT,
         outputMode="Append",

@@ -3,13 +3,14 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from articleflow.operators import versions
 from articleflow.operators.rules import SavedFilter, parse_rules
 from articleflow.streaming import reads
 from articleflow.streaming.ingest import IngestJob
-from articleflow.streaming.versions import STATE_STORE
+from articleflow.streaming.versions import STATE_STORE, SnapshotState
 
 T0 = datetime(2024, 1, 1)
 POLL = "entry_id bigint, feed_id bigint, polled_at timestamp, source_hash string, fetched boolean, content_hash string, force boolean, url string, content_text string"
@@ -211,3 +212,61 @@ def test_enrichment_asks_once_and_keeps_failures_apart(spark, tmp_path):
     got = {r.entry_id: (r.value, r.attempts, r.error) for r in job.enriched(table).collect()}
     none = (None, None, None)
     assert got == {1: ("ONE", None, None), 2: (None, 3, "ValueError: bad text"), 3: ("THREE", None, None), 4: none, 5: none}
+
+
+class _Store:
+    """The state of one entry as a dictionary; ``calls`` are the round trips a state store would make."""
+
+    def __init__(self):
+        self.kept, self.calls = {}, []
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def exists(self):
+        return "latest" in self.kept
+
+    def get(self):
+        return self.kept["latest"]
+
+    def update(self, value):
+        self.calls.append("update")
+        self.kept["latest"] = value
+
+    def containsKey(self, key):
+        self.calls.append("contains")
+        return key in self.kept
+
+    def getValue(self, key):
+        return self.kept[key]
+
+    def updateValue(self, key, value):
+        self.calls.append("put")
+        self.kept[key] = value
+
+
+def test_a_batch_makes_one_state_call_per_new_content():
+    store, state = _Store(), SnapshotState()
+    state.init(store)
+
+    def actions(*polls):
+        store.calls.clear()
+        rows = [Row(feed_id=1, polled_at=T0 + timedelta(minutes=m), source_hash=s, fetched=True, content_hash=c, force=False) for m, s, c in polls]
+        return [(r.action, r.version) for r in state.handleInputRows((1,), iter(reversed(rows)), None)]
+
+    new = [("insert_new", 1), ("insert_version", 2), ("revert_touch", 2), ("insert_version", 3), ("skip", 3)]
+    assert actions((0, "a", "x"), (1, "b", "y"), (2, "c", "x"), (3, "d", "z"), (4, "d", "z")) == new
+    assert sorted(store.calls) == ["put", "put", "put", "update"]
+    assert actions((5, "e", "x"), (6, "f", "w"), (7, "g", "w")) == [("revert_touch", 3), ("insert_version", 4), ("unchanged_touch", 4)]
+    assert sorted(store.calls) == ["contains", "contains", "put", "update"]
+    assert actions((8, "g", "w")) == [("skip", 4)] and store.calls == []
+
+
+def test_large_ids_beside_nulls_stay_whole(spark, tmp_path, rocksdb):
+    big = 2**53
+    rows = [(entry, feed, *poll(1, 0, "a", "x")[2:]) for entry, feed in ((big, big), (big + 1, big + 1), (big + 2, None), (None, big + 3))]
+    _run(spark, tmp_path, rows)
+    got = spark.read.parquet(str(tmp_path / "out" / "decisions")).select("entry_id", "feed_id", "action", "version").collect()
+    assert {tuple(r) for r in got} == {(r[0], r[1], "insert_new", 1) for r in rows}
