@@ -149,6 +149,36 @@ def test_search_of_few_rows_is_exact(spark):
         assert np.allclose([s for _, s in found], [-s for s, _ in want[q]], rtol=1e-12)
 
 
+def test_cells_are_found_once_per_vector(spark):
+    """They come with the vectors' rows, not anew in every block; the result is that of all met rows scored one by one."""
+    options = cross_polytope.CrossPolytope(neighbours=6, tables=2, probes=3, block=50, queries_block=4)
+    rows = mixed_lengths(7, [(12, 300), (5, 200)])
+    rows += [(len(rows) + k, rows[k][1]) for k in range(0, 200, 10)]  # copies, with ties
+    table = spark.createDataFrame([(i, v.tolist(), i % 20 == 0) for i, v in rows], "id long, vector array<double>, query boolean")
+    turned = {r.id: r for r in cross_polytope.with_cells(table, options).collect()}
+    assert len(turned) == len(rows)
+    want = []
+    for q, v in rows:
+        assert bool(turned[q].probes) == (q % 20 == 0) and len(turned[q].cells) == options.tables
+        probes = set(turned[q].probes)
+        assert q % 20 or set(turned[q].cells) <= probes
+        met = [(-float((w * v).sum()), i) for i, w in rows if i != q and len(w) == len(v) and probes & set(turned[i].cells)]
+        if q % 20 == 0 and len(met) >= options.neighbours:
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(met)[: options.neighbours])]
+    assert want
+    found = cross_polytope.search(table, F.col("query"), options, "id", "vector").collect()
+    assert set(want) <= {tuple(r) for r in found}
+
+
+def test_close_and_huge_products_stay():
+    """Rows that rounding may put among the best stay, and all met rows where products are not finite."""
+    rows = np.array([[1.0, 1.0], [1.0, 1.0 + 2e-16], [1.0, 0.9], [5.0, 5.0]])
+    met = np.array([[True, True, True, False]])
+    assert cross_polytope.may_be_best(np.ones((1, 2)), rows, met, 1).tolist() == [[True, True, False, False]]
+    huge = cross_polytope.may_be_best(np.full((1, 2), 1e300), rows * 1e300, met, 1)
+    assert huge.tolist() == met.tolist()
+
+
 def test_recall_on_given_vectors(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, np.array(r.embedding, float)) for r in table.collect()]
