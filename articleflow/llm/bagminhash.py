@@ -21,6 +21,10 @@ from articleflow.llm.common import WORD_SLICE_BYTES, map_slices, shared
 from articleflow.llm.components import components
 from articleflow.llm.wordhash import mix, shingles, split_words, weighted
 
+# Points drawn at once where few lines are left, and of one line at most.
+POINTS = 1 << 14
+AHEAD = 256
+
 
 @dataclass(frozen=True)
 class NearDuplicates:
@@ -53,58 +57,50 @@ def signatures(
         length.append(np.full(len(more), float(level)))
         level *= 2
     line, low, length = map(np.concatenate, (line, low, length))
-    seed, row, weight = mix(hashes[line], 3) ^ mix(low.astype(np.uint64), 5), rows[line], times[line]
+    seed = mix(hashes[line], 3) ^ mix(low.astype(np.uint64), 5)
     earliest = np.full(count * registers, np.inf)
     value = np.zeros(count * registers, np.uint64)
-    step = 0
-    drawn = _points(seed, step)
-    time = -np.log(_unit(drawn)) / length
-    waiting = (seed, row, weight, low, length, drawn, time)
+    # Of each line also the time of its last point and the number of its next one.
+    lines = [seed, rows[line], times[line], low, length, np.zeros(len(line)), np.zeros(len(line), np.int64)]
     while True:
-        late = []
-        active = waiting
-        while len(active[0]):
-            seed, row, weight, low, length, drawn, time = active
-            due = time <= limit[row]
-            late.append([x[~due] for x in active] + [np.full((~due).sum(), step)])
-            seed, row, weight, low, length, drawn, time = (x[due] for x in active)
-            other = mix(drawn, 7)
-            seen = low + np.floor(_unit(mix(drawn, 11)) * length) < weight
-            at = (row * registers + (other % np.uint64(registers)).astype(np.int64))[seen]
-            np.minimum.at(earliest, at, time[seen])
-            won = time[seen] == earliest[at]
-            value[at[won]] = drawn[seen][won]
-            step += 1
-            drawn = _points(seed, step)
-            active = (seed, row, weight, low, length, drawn, time - np.log(_unit(drawn)) / length)
-        empty = np.isinf(earliest.reshape(count, registers)).any(axis=1) & held
-        if not empty.any():
+        lines = _arrivals(lines, limit, registers, earliest, value)
+        missing = np.isinf(earliest.reshape(count, registers)).any(axis=1) & held
+        if not missing.any():
             return value.reshape(count, registers)
         # A few rows still miss a register: go on in time, for them alone and from where they were.
-        limit[empty] *= 1.5
-        return _extended(late, limit, empty, earliest, value, count, registers)
+        lines = [x[missing[lines[1]]] for x in lines]
+        limit[missing] *= 1.5
 
 
-def _extended(late, limit, empty, earliest, value, count, registers) -> np.ndarray:
-    parts = [np.concatenate([part[k] for part in late]) for k in range(8)]
-    keep = empty[parts[1]]
-    seed, row, weight, low, length, drawn, time, step = (p[keep] for p in parts)
-    while True:
-        while (due := np.flatnonzero(time <= limit[row])).size:
-            seen = low[due] + np.floor(_unit(mix(drawn[due], 11)) * length[due]) < weight[due]
-            hit = due[seen]
-            register = (mix(drawn[hit], 7) % np.uint64(registers)).astype(np.int64)
-            at = row[hit] * registers + register
-            np.minimum.at(earliest, at, time[hit])
-            won = time[hit] == earliest[at]
-            value[at[won]] = drawn[hit][won]
-            step[due] += 1
-            drawn[due] = _points(seed[due], step[due])
-            time[due] -= np.log(_unit(drawn[due])) / length[due]
-        missing = np.isinf(earliest.reshape(count, registers)).any(axis=1) & empty
-        if not missing.any():
-            return value.reshape(count, registers)
-        limit[missing] *= 1.5
+def _arrivals(
+    lines: list[np.ndarray], limit: np.ndarray, registers: int, earliest: np.ndarray, value: np.ndarray
+) -> list[np.ndarray]:
+    """Give the points of all lines up to their row's limit to the registers; the lines as they are then.
+
+    A line has few points in a long text and thousands in a text of a few words. So the fewer lines
+    are left, the more points of each are drawn at once.
+    """
+    done = [[x[:0] for x in lines]]
+    while len(lines[0]):
+        seed, row, weight, low, length, time, step = lines
+        ahead = min(max(1, POINTS // len(seed)), AHEAD)
+        # One line per column.
+        drawn = _points(seed, step + np.arange(ahead)[:, None])
+        time = np.cumsum(np.concatenate([time[None], -np.log(_unit(drawn)) / length]), axis=0)
+        due = time[1:] <= limit[row]
+        taken = np.count_nonzero(due, axis=0)
+        of, point, at_time = np.nonzero(due)[1], drawn[due], time[1:][due]
+        seen = low[of] + np.floor(_unit(mix(point, 11)) * length[of]) < weight[of]
+        of, point, at_time = of[seen], point[seen], at_time[seen]
+        at = row[of] * registers + (mix(point, 7) % np.uint64(registers)).astype(np.int64)
+        np.minimum.at(earliest, at, at_time)
+        won = at_time == earliest[at]
+        value[at[won]] = point[won]
+        now = [*lines[:5], time[taken, np.arange(len(seed))], step + taken]
+        goes_on = taken == ahead
+        done.append([x[~goes_on] for x in now])
+        lines = [x[goes_on] for x in now]
+    return [np.concatenate(parts) for parts in zip(*done, strict=True)]
 
 
 def _points(seed: np.ndarray, step: int | np.ndarray) -> np.ndarray:

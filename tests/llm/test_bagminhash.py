@@ -82,3 +82,24 @@ def test_registers_agree_as_often_as_multisets_are_similar():
         for b in range(a):
             true = sum((bags[a] & bags[b]).values()) / sum((bags[a] | bags[b]).values())
             assert abs(np.mean(values[a] == values[b]) - true) < 5 * (0.25 / registers) ** 0.5
+
+
+def test_points_drawn_ahead_change_no_signature(monkeypatch):
+    """Texts of one shingle and of many, heavy ones too: one point at a time gives the same registers."""
+    rng = np.random.default_rng(11)
+    sizes = [1, 2, 0, 700, 5, 1, 90]
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    hashes = rng.integers(0, 1 << 63, len(rows)).astype(np.uint64)
+    times = rng.choice([1, 1, 1, 2, 9], len(rows))
+    ahead = bagminhash.signatures(hashes, rows, times, len(sizes), 64)
+    monkeypatch.setattr(bagminhash, "AHEAD", 1)
+    rounds = []
+    drawn = bagminhash._points
+    monkeypatch.setattr(bagminhash, "_points", lambda *x: rounds.append(1) or drawn(*x))
+    one = bagminhash.signatures(hashes, rows, times, len(sizes), 64)
+    assert (ahead == one).all() and len(rounds) > 200
+    monkeypatch.undo()
+    few = []
+    monkeypatch.setattr(bagminhash, "_points", lambda *x: few.append(1) or drawn(*x))
+    bagminhash.signatures(hashes, rows, times, len(sizes), 64)
+    assert len(few) < len(rounds) / 10

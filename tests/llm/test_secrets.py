@@ -101,3 +101,15 @@ def test_allow_list_excuses_pieces_only(spark):
         else:
             assert covered >= 0.95 * len(text) if text in long else covered >= len(key), text
     assert got[len(long)][-1].e == len(short[0])
+
+
+def test_texts_without_long_runs_are_looked_at_once(spark):
+    """Each kind is searched only behind the look that tells whether it can occur."""
+    plan = secrets.scan(spark.createDataFrame([], "text string"))._jdf.queryExecution().optimizedPlan().toString()
+    looks = plan.index("Contains(coalesce(text"), plan.index("(?<![")
+    for pattern, look in ((secrets.ASSIGN, looks[0]), (secrets.HEX, looks[1])):
+        assert plan.index(pattern) > look
+    classes = (secrets.CharacterClass("own", "-x0", "x0-", 0.5),)
+    rules = secrets.SecretRules(window=4, classes=classes, needs="0", allow=())
+    docs = spark.createDataFrame([("a x0-x-0 b " + "c" * 30,)], "text string")
+    assert [(x.s, x.kind, x.e) for x in secrets.scan(docs, rules).first().secrets] == [(2, "own", 8), (11, "hex", 41)]
